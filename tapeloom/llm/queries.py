@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import mixing
+from tapeloom.llm import mixing, simhash
 
 QUERIES = {
     "op9_mixing": mixing.op9_mixing,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op9_mixing": mixing.OP9_SQL,
