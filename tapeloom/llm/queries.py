@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import mixing, simhash
+from tapeloom.llm import mixing, sharding, simhash
 
 QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
