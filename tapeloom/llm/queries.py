@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import mixing, sharding, simhash
+from tapeloom.llm import mixing, packing, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
