@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import language, mixing, packing, sharding, simhash, token_counts
+from tapeloom.llm import language, mixing, packing, quality, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
+    "op3_quality": quality.op3_quality,
     "op6_language": language.op6_language,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
