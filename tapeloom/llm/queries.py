@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import language, mixing, packing, quality, sharding, simhash, token_counts
+from tapeloom.llm import language, mixing, packing, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
     "op3_quality": quality.op3_quality,
     "op6_language": language.op6_language,
+    "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
+    "op7_warc": warc.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
