@@ -128,7 +128,7 @@ class ArchiveWriter:
         self.out = None
 
     def finish(self) -> Iterator[tuple]:
-        if self.waiting:
+        while self.waiting:
             yield from self._open()
         if self.out is not None:
             self._close()
