@@ -107,7 +107,7 @@ class ArchiveWriter:
         self.compressor = z.ZstdCompressor(level=LEVEL, dict_data=made)
         self.archive = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
         system, path = filesystem(self.archive)
-        self.out = system.open_output_stream(path)
+        self.out = system.open_output_stream(path, compression=None)
         self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
         self.at = 8 + len(data)
         waiting, self.waiting, self.waiting_bytes = self.waiting, [], 0
@@ -179,7 +179,7 @@ def read_records(archive: str) -> Iterator[dict]:
     import zstandard as z
 
     system, path = filesystem(archive)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != DICTIONARY_FRAME:
             raise ValueError(f"{archive}: no dictionary frame")
