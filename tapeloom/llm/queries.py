@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import embedding_dedup, language, mixing, packing, quality, sharding, simhash, token_counts, warc
+from tapeloom.llm import audio, embedding_dedup, language, mixing, packing, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
     "op3_quality": quality.op3_quality,
+    "op4_audio": audio.op4_audio,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_language": language.op6_language,
     "op7_warc": warc.op7_warc,
