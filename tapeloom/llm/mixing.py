@@ -65,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     onward = by_ratio.rowsBetween(0, Window.unboundedFollowing)
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(onward)
     levels = ranked.withColumn("level", level).withColumn("capped", F.col("level") * F.col("weight") > F.col("cap"))
-    common = F.min(F.when(~F.col("capped"), F.col("level"))).over(every)
+    common = F.max(F.when(~F.col("capped"), F.col("level"))).over(every)  # of the first that is not; later ones give less
     target = F.when(F.col("capped") | common.isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), common * F.col("weight")))
     return levels.select("_source", "source_size", "place", target.alias("target"))
 
@@ -75,12 +75,11 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Which documents a mix takes, how often, and when.
 
     Per row of ``docs``: doc_id, size, source_size, target, taken, copies, first_position,
-    source_key columns, and the columns in ``keep``. Within a source, documents stand in the
+    and what ``position`` needs. Within a source, documents stand in the
     order of md5(doc_id), so reruns agree. A source's cumulative demand runs to its target:
     whole passes first, then one that ends where the target falls, so ``taken`` sums to the
     target (rounded down). The document in which it falls counts the words up to there;
@@ -96,11 +95,13 @@ def mix(
     An empty table gives an empty result. Columns not named here are ignored.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_order"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    return _positions(rows, weights, max_repeats, schedules, keep)
+    rows = docs.select(
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_order")
+    )
+    return _positions(rows, weights, max_repeats, schedules)
 
 
-def _positions(rows, weights, max_repeats, schedules, keep):
+def _positions(rows, weights, max_repeats, schedules):
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # never null, so that window and join share one shuffle
     rows = staged(rows.withColumns({"_source": named, "_chunk": F.substring("_order", 1, CHUNK_DIGITS)}), "mix-rows")
     chunks = staged(rows.groupBy("_source", "_chunk").agg(F.sum("size").alias("chunk_size"), F.min("source").alias("source")), "mix-chunks")
@@ -119,7 +120,7 @@ def _positions(rows, weights, max_repeats, schedules, keep):
     placed = placed.withColumn("taken", F.col("_passes") * F.col("size") + F.col("_part"))
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("_passes") + (F.col("_part") > 0).cast("long")).otherwise(F.lit(0)))
     placed = placed.withColumn("first_position", F.when(F.col("copies") > 0, position(F.col("_start"), schedules)))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position", "_start", "place", *[F.col(f"_keep_{c}").alias(f"keep_{c}") for c in keep])
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position", "_start", "place")
 
 
 def position(offset: Column, schedules=SCHEDULES) -> Column:
@@ -131,12 +132,22 @@ def position(offset: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def in_training_order(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
-    """One row per copy that the mix takes, range-sorted by training position."""
+def copies_taken(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """``doc_id, position``: one row per copy that the mix takes."""
     n = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("_pass")
     each = mixed.where("copies > 0").select("*", n)
     each = each.withColumn("position", position(F.col("_start") + F.col("_pass") * F.col("source_size"), schedules))
-    return each.orderBy("position", "doc_id")
+    return each.select("doc_id", "position")
+
+
+def mixed_documents(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """Every document as often as the mix takes it, whole, range-sorted by training position,
+    with all columns as they are. Rows that repeat a doc_id are copies of one document; rows
+    with a null doc_id, and documents without a word, are not taken."""
+    taken = copies_taken(mix(docs, schedules=schedules), schedules)
+    taken = taken.select(F.col("doc_id").alias("_taken"), F.col("position").alias("_position"))
+    out = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id") == F.col("_taken"))
+    return out.orderBy("_position", "_taken").drop("_taken", "_position")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +172,7 @@ WITH w AS (
             / CAST(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM r
 ), c AS (
-  SELECT *, level * weight > cap AS capped, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS common FROM l
+  SELECT *, level * weight > cap AS capped, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS common FROM l
 ), t AS (
   SELECT source, source_size, place,
          CASE WHEN capped OR common IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), common * weight) END AS target
