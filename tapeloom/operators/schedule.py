@@ -1,0 +1,84 @@
+"""Scoring under load: a bounded queue, a deadline and a virtual clock, for many settings.
+
+Who is scored depends on the count of offered events alone. A setting is a sequential fold
+whose state is one queue, so settings are what Spark deals out: a sweep is a table of them, each
+a task that streams its outcomes, with no shuffle; features join by ordinal afterwards.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tapeloom.operators.dataset import nearest_lower_percentiles
+
+WORK_NS = 1030
+BATCH = 50_000
+SETTINGS = "setting string, offered long, rate long, deadline_ns long, queue long, work_ns long"
+OUTCOMES = "setting string, ordinal long, arrive_ns long, depth long, outcome string, wait_ns long"
+
+
+def outcomes(offered: int, rate: int, deadline_ns: int, queue: int, work_ns: int) -> Iterator[tuple]:
+    """(ordinal, arrive_ns, depth, outcome, wait_ns) as requests leave the queue: processed,
+    full (evicted as the oldest of a full queue), or deadline (it had waited too long when its
+    turn came, which costs no time)."""
+    if queue < 1 or queue & (queue - 1):
+        raise ValueError("the queue's capacity must be a power of two")
+    interval, waiting, now = 1_000_000_000 // rate, deque(), 0
+    for n in range(offered + 1):
+        arrival = n * interval if n < offered else float("inf")
+        while waiting and now + work_ns <= arrival:
+            one, at, depth = waiting.popleft()
+            if now - at > deadline_ns:
+                yield one, at, depth, "deadline", None
+            else:
+                yield one, at, depth, "processed", now - at
+                now += work_ns
+        if n == offered:
+            return
+        if not waiting:
+            now = max(now, arrival)
+        if len(waiting) == queue:
+            yield (*waiting.popleft(), "full", None)
+        waiting.append((n, arrival, len(waiting) + 1))
+
+
+def simulate(settings: DataFrame) -> DataFrame:
+    """A row of ``SETTINGS`` each -> a row of ``OUTCOMES`` per offered event of each."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for setting, *options in frame.itertuples(index=False):
+                rows: list[tuple] = []
+                for one in outcomes(*options):
+                    rows.append((setting, *one))
+                    if len(rows) == BATCH:
+                        yield _frame(rows)
+                        rows = []
+                yield _frame(rows)
+
+    names = [c.split()[0] for c in SETTINGS.split(", ")]
+    return settings.select(*names).repartition("setting").mapInPandas(run, OUTCOMES)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUTCOMES.split(", ")])
+    return out.astype({"ordinal": "int64", "arrive_ns": "int64", "depth": "int64", "wait_ns": "Int64"})
+
+
+def report(simulated: DataFrame) -> DataFrame:
+    """Per setting: counts of outcomes, and percentiles of waits and depths."""
+    counts = simulated.groupBy("setting").agg(
+        F.count("*").alias("offered"),
+        F.count_if(F.col("outcome") == "processed").alias("processed"),
+        F.count_if(F.col("outcome") == "full").alias("drop_full"),
+        F.count_if(F.col("outcome") == "deadline").alias("drop_deadline"),
+    )
+    q = {"p50": 0.5, "p99": 0.99, "p999": 0.999, "max": 1.0}
+    waits = nearest_lower_percentiles(simulated.where("outcome = 'processed'"), "wait_ns", {f"wait_{k}": v for k, v in q.items()}, ["setting"])
+    depths = nearest_lower_percentiles(simulated, "depth", {f"depth_{k}": v for k, v in q.items()}, ["setting"])
+    return counts.join(waits, "setting", "left").join(depths, "setting", "left")
