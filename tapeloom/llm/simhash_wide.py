@@ -1,0 +1,137 @@
+"""Near-duplicates of a given similarity, by wide SimHash fingerprints and the same anchors.
+
+64 bits tell close copies only. Four times as many estimate the similarity of two texts'
+shingles: at 0.8 about 38 of 256 bits differ. The fingerprint is cut into eleven blocks, each
+covered by the Golay code; two texts meet if any of their blocks lie within two bits, each
+within the covering radius plus half of that of a shared anchor, and are linked if all 256 bits
+together are near enough. Up to 32 bits some block must be that near; at 40 bits one pair in
+fifty has none.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tapeloom.llm.common import discard, staged
+from tapeloom.llm.components import connected_components, local_roots
+from tapeloom.llm.grouped import group_bounds, whole_groups
+from tapeloom.llm.simhash import _BITS, BLOCK, RADIUS, SEED, codewords_within
+
+#: Words to a shingle; differing bits of 256 up to which texts count as similar.
+SHINGLE = 5
+MAX_BITS = 40
+BITS = 256
+BLOCKS = BITS // BLOCK
+LANES = ("l0", "l1", "l2", "l3")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
+    """256 bits: A-Z lower-cased, words at ASCII white space, shingles counted with repeats, a
+    bit set if it is in over half of their hashes. Texts without words have all bits at 0."""
+    import xxhash
+
+    words = text.lower().split() if text else []
+    if not words:
+        return bytes(BITS // 8)
+    parts = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    halves = [np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, SEED + k) for p in parts]), np.uint8).reshape(-1, 16) for k in (0, 1)]
+    counts = [np.bincount((h + (np.arange(16) << 8)).ravel(), minlength=4096).reshape(16, 256) @ _BITS for h in halves]
+    return np.packbits(np.concatenate(counts).ravel() * 2 > len(parts)).tobytes()
+
+
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id`` and the four lanes of its fingerprint: whole texts, no shuffle."""
+
+    def run(batches):
+        for b in batches:
+            fp = np.frombuffer(b"".join([fingerprint(t, shingle) for t in b.column(1).to_pylist()]), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(4)]], ["doc_id", *LANES])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, l0 long, l1 long, l2 long, l3 long")
+
+
+def block_values(fp: np.ndarray) -> np.ndarray:
+    """(rows, blocks) of (rows, 4) lanes."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)[:, : BLOCKS * BLOCK]
+    return bits.reshape(len(fp), BLOCKS, BLOCK) @ (1 << np.arange(BLOCK, dtype=np.uint32))
+
+
+def near_pairs(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect what lies within ``max_bits``, one per row and block of rows."""
+    x, left, right = fp.view(np.uint64), [], []
+    for at in range(0, len(x), 256):
+        own = x[at : at + 256]
+        gap = np.zeros((len(own), len(x) - at), np.uint16)
+        for lane in range(4):
+            gap += np.bitwise_count(own[:, lane, None] ^ x[None, at:, lane])
+        i, j = np.nonzero(gap <= max_bits)
+        new = i < j
+        i, j = i[new], j[new]
+        if len(i) > len(x):
+            roots = local_roots(len(x) - at, i, j)
+            j = np.flatnonzero(roots != np.arange(len(roots)))
+            i = roots[j]
+        left.append(i + at)
+        right.append(j + at)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``classes(id, lanes)`` of distinct fingerprints -> ``a, b``. One shuffle, of some sixty
+    rows to a fingerprint, which a task compares by anchor; what it returns grows with the
+    fingerprints, never with their pairs."""
+
+    def replicate(batches):
+        for b in batches:
+            fp = np.stack([b.column(c).to_numpy() for c in LANES], axis=1)
+            ids = b.column("id").to_numpy()
+            for k, values in enumerate(block_values(fp).T.astype(np.uint32)):
+                index, code = codewords_within(values, RADIUS + 1)
+                anchor = (code | np.uint32(k << BLOCK)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[index]), *[pa.array(fp[index, c]) for c in range(4)]], ["anchor", "id", *LANES])
+
+    def compare(batches):
+        for t in whole_groups(batches, "anchor"):
+            ids, fp = t.column("id").to_numpy(), np.stack([t.column(c).to_numpy() for c in LANES], axis=1)
+            bounds, left, right = group_bounds(t.column("anchor").to_numpy()), [], []
+            for g in np.flatnonzero(np.diff(bounds) > 1):
+                i, j = near_pairs(fp[bounds[g] : bounds[g + 1]], max_bits)
+                left.append(ids[bounds[g] + i])
+                right.append(ids[bounds[g] + j])
+            if not left:
+                continue
+            names, at = np.unique(np.concatenate((*left, *right)), return_inverse=True)
+            roots = local_roots(len(names), at[: len(at) // 2], at[len(at) // 2 :])
+            k = np.flatnonzero(roots != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[k]), pa.array(names[roots[k]])], ["a", "b"])
+
+    lanes = "l0 long, l1 long, l2 long, l3 long"
+    dealt = classes.select("id", *LANES).mapInArrow(replicate, f"anchor int, id long, {lanes}").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, component_id`` of rows with a doc_id: the smallest doc_id that links reach.
+
+    Equal fingerprints are one class before anything is compared. Texts without words are
+    equal. A doc_id that names different texts is one node. Rows with a null doc_id are left
+    out. An empty table gives an empty result. Columns but doc_id and text are ignored.
+    """
+    rows = staged(with_fingerprints(docs.where("doc_id is not null"), shingle), "wide-prints")
+    classes = staged(rows.groupBy(*LANES).agg(F.min("doc_id").alias("id")), "wide-classes")
+    roots = staged(connected_components(similar_links(classes, max_bits)), "wide-roots")
+    named = staged(classes.join(roots, F.col("id") == F.col("node"), "left").select(*LANES, F.coalesce("root", "id").alias("component_id")), "wide-named")
+    discard(classes, roots)
+    return rows.join(named, list(LANES)).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows, all columns as they are, whose doc_id is the smallest of its component; rows
+    that repeat a doc_id are one document, of which one row stays. Rows with a null doc_id
+    can't stand for a group and go. Texts are shuffled once, by doc_id."""
+    found = similar_documents(docs, shingle, max_bits)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])

@@ -1,0 +1,72 @@
+import numpy as np
+
+from tapeloom.llm import simhash_wide as S
+
+
+def bits_of(fp):
+    return int.from_bytes(fp, "big")
+
+
+def brute(rows, max_bits):
+    label = {d: d for d, _ in rows}
+    fps = [(d, bits_of(S.fingerprint(None if t is None else t.encode()))) for d, t in rows]
+    changed = True
+    links = [(a, b) for a, x in fps for b, y in fps if a < b and (x ^ y).bit_count() <= max_bits]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(label[a], label[b])
+            changed |= label[a] != m or label[b] != m
+            label[a] = label[b] = m
+    return label
+
+
+def test_bits_follow_similarity():
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 600)]
+    base = S.fingerprint(" ".join(words).encode())
+    gaps = []
+    for edits in (1, 6, 14, 60):
+        w = list(words)
+        for i in rng.choice(len(w), edits, replace=False):
+            w[i] = f"x{i}"
+        a = {tuple(words[i : i + 5]) for i in range(596)}
+        b = {tuple(w[i : i + 5]) for i in range(596)}
+        gaps.append((len(a & b) / len(a | b), (bits_of(base) ^ bits_of(S.fingerprint(" ".join(w).encode()))).bit_count()))
+    assert gaps[0][1] < gaps[1][1] < gaps[2][1] < gaps[3][1]
+    for similarity, gap in gaps:
+        assert abs(gap - 256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi) < 22
+
+
+def test_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows, S.MAX_BITS)
+    got = {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()}
+    assert len(got) == len(want)
+    assert sum(got[d] == c for d, c in want.items()) / len(want) > 0.995  # pairs near the limit may have no near block
+    assert all(want[c] == want[d] for d, c in got.items())  # no link that isn't there
+
+
+def test_within_thirty_two_bits_every_pair_meets(spark):
+    rng = np.random.default_rng(1)
+    fp = rng.integers(-(2**63), 2**63 - 1, (150, 4))
+    other = fp.copy().view(np.uint64)
+    for row in other:
+        for b in rng.choice(256, 32, replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    both = np.concatenate((fp, other.view(np.int64)))
+    classes = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(both)], "id long, l0 long, l1 long, l2 long, l3 long")
+    links = {(r.a, r.b) for r in S.similar_links(classes, 32).collect()}
+    assert {(i + 150, i) for i in range(150)} <= links
+
+
+def test_odd_rows(spark):
+    text = "one two three four five six seven eight nine ten " * 20
+    rows = [(1, text), (2, text.upper()), (2, text.upper()), (3, None), (4, ""), (5, " \t"), (None, text), (6, "short text"), (7, text + "and more words at the end of it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as l0", "2 as component_id")
+    got = {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()}
+    assert got == brute([(d, t) for d, t in dict(r for r in rows if r[0]).items()], S.MAX_BITS)
+    kept = S.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    assert S.keep_first(docs.limit(0)).collect() == []
