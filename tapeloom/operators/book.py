@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
-from tapeloom.operators.fold import BOOK_COLUMNS, FEATURE_COLUMNS, ORDER_SCHEMA, BookStage, FeatureStage, OrderStage, symbol_fold
+from tapeloom.operators.fold import BOOK_COLUMNS, FEATURE_COLUMNS, ORDER_SCHEMA, BookStage, Columns, FeatureStage, OrderStage, symbol_fold
 
 LEVEL_COLUMNS = "seq long, locate long, ts_ns long, event_type string, side string, price long, qty long"
 
 
 def order_fold(messages: DataFrame) -> DataFrame:
     """Messages -> level updates and statuses, one row per leg."""
-    return symbol_fold(messages, [_orders], ORDER_SCHEMA)
+    return symbol_fold(messages, [OrderStage], ORDER_SCHEMA)
 
 
 def books(updates: DataFrame) -> DataFrame:
@@ -27,7 +25,7 @@ def books(updates: DataFrame) -> DataFrame:
 
 def order_books(messages: DataFrame) -> DataFrame:
     """Messages -> the book after each leg, in one pass over each symbol."""
-    return symbol_fold(messages, [_orders, BookStage], f"{ORDER_SCHEMA}, {BOOK_COLUMNS}")
+    return symbol_fold(messages, [OrderStage, BookStage], f"{ORDER_SCHEMA}, {BOOK_COLUMNS}")
 
 
 def level_features(updates: DataFrame) -> DataFrame:
@@ -41,33 +39,16 @@ def order_features(messages: DataFrame, gate: str = "none") -> DataFrame:
     ``gate``: ``none`` computes on every two-sided message, ``hours`` only in market hours,
     ``serve`` also needs the column ``state`` of the messages to be T.
     """
-    stages = [_orders, BookStage, partial(FeatureStage, _GATES[gate])]
-    if gate == "serve":
-        stages[0] = _orders_with_state
+    stages = [OrderStage, BookStage, partial(FeatureStage, _GATES[gate])]
     return symbol_fold(messages, stages, f"{ORDER_SCHEMA}, {'state string, ' if gate == 'serve' else ''}{BOOK_COLUMNS}, {FEATURE_COLUMNS}")
 
 
-def _orders() -> OrderStage:
-    return OrderStage()
+def _in_hours(f: Columns) -> list[bool]:
+    return [m.MARKET_OPEN <= t < m.MARKET_CLOSE for t in f["ts_ns"]]
 
 
-def _orders_with_state():
-    stage = OrderStage()
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = stage(f)
-        out["state"] = out["seq"].map(dict(zip(f["seq"], f["state"], strict=True)))
-        return out
-
-    return run
-
-
-def _in_hours(f: pd.DataFrame) -> np.ndarray:
-    return ((f["ts_ns"] >= m.MARKET_OPEN) & (f["ts_ns"] < m.MARKET_CLOSE)).to_numpy()
-
-
-def _serving(f: pd.DataFrame) -> np.ndarray:
-    return _in_hours(f) & (f["state"] == "T").to_numpy()
+def _serving(f: Columns) -> list[bool]:
+    return [ok and state == "T" for ok, state in zip(_in_hours(f), f["state"], strict=True)]
 
 
 _GATES = {"none": None, "hours": _in_hours, "serve": _serving}

@@ -1,37 +1,64 @@
 """Ordered folds per symbol: the part of the work that is sequential by nature.
 
 ``symbol_fold`` deals rows by symbol once, sorts them by sequence and runs a chain of small
-stateful stages over each symbol's batches. The chain shares that one shuffle, and state
-passes from batch to batch, so a symbol's rows are never in memory together. One symbol can't
-be split; its sessions can, when the key holds a date.
+stateful stages over each symbol's rows. The chain shares that one shuffle, and state passes
+from batch to batch, so a symbol's rows are never in memory together. One symbol can't be
+split; its sessions can, when the key holds a date.
+
+A stage takes the columns of consecutive rows of one symbol, as lists by name, and returns
+columns. Batches hold many symbols, so what is paid per batch isn't paid per symbol.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 LEVELS = 5
+Columns = dict[str, list]
+Stage = Callable[[Columns], Columns]
 
 
-def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]], schema: str, key: str | Sequence[str] = "locate", order: str = "seq") -> DataFrame:
-    keys = [key] if isinstance(key, str) else list(key)
+def runs_of(keys: list[list]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, start, end) of each run of equal keys."""
+    n, start = len(keys[0]), 0
+    rows = list(zip(*keys, strict=True))
+    for i in range(1, n + 1):
+        if i == n or rows[i] != rows[start]:
+            yield rows[start], start, i
+            start = i
+
 
-    def run(_key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain = [make() for make in stages]
-        for frame in frames:
-            for stage in chain:
-                frame = stage(frame)
-            yield frame
+def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Stage]], schema: str, key: str | Sequence[str] = "locate", order: str = "seq") -> DataFrame:
+    keys = [key] if isinstance(key, str) else list(key)
+    types = _parse_datatype_string(schema)
+    assert isinstance(types, StructType)
+    arrow = to_arrow_schema(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, chain = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
+            out: Columns = {f.name: [] for f in arrow}
+            for own, start, end in runs_of([columns[k] for k in keys]):
+                if own != current:
+                    current, chain = own, [make() for make in stages]
+                part = {n: c[start:end] for n, c in columns.items()}
+                for stage in chain:
+                    part = stage(part)
+                for name, values in out.items():
+                    values.extend(part[name])
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    # sorted by key and sequence, so that grouping needs no sort or shuffle of its own
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
-    return dealt.groupBy(*keys).applyInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 class OrderStage:
@@ -76,9 +103,9 @@ class OrderStage:
             del self.orders[ref]
         return "ok", self._level(side, price, -shares)
 
-    def __call__(self, f: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, f: Columns) -> Columns:
         rows = []
-        columns = (f[c].tolist() for c in ("msg_type", "ref", "new_ref", "side", "shares", "price"))
+        columns = (f[c] for c in ("msg_type", "ref", "new_ref", "side", "shares", "price"))
         for i, (kind, ref, new_ref, side, shares, price) in enumerate(zip(*columns, strict=True)):
             trade, status, change = None, "ok", None
             if kind in "EC" and ref in self.orders:
@@ -95,16 +122,15 @@ class OrderStage:
                 status, change = self._reduce(ref, None)
                 if change is not None:
                     rows.append((i, 1, status, trade, False, *change, len(self.orders)))
-                    rows.append((i, 2, status, trade, True, *self._add(int(new_ref), rest, price, shares), len(self.orders)))
+                    rows.append((i, 2, status, trade, True, *self._add(new_ref, rest, price, shares), len(self.orders)))
                     continue
             else:
                 continue
             rows.append((i, 1, status, trade, True, *(change or (None, None, None)), len(self.orders)))
         at = [r[0] for r in rows]
-        out = f[["seq", "locate", "ts_ns", "msg_type"]].iloc[at].reset_index(drop=True)
+        out = {c: [values[i] for i in at] for c, values in f.items() if c in ("seq", "locate", "ts_ns", "msg_type", "state")}
         for k, name in enumerate(("leg", "status", "trade", "last_leg", "side", "price", "qty", "resting"), 1):
-            values = [r[k] for r in rows]
-            out[name] = pd.array(values, dtype="Int64") if name in ("trade", "price", "qty") else values
+            out[name] = [r[k] for r in rows]
         return out
 
 
@@ -120,16 +146,14 @@ class BookStage:
         self.qty: dict[str, dict[int, int]] = {"B": {}, "S": {}}
         self.keys: dict[str, list[int]] = {"B": [], "S": []}  # best first: bids by minus price
 
-    def __call__(self, f: pd.DataFrame) -> pd.DataFrame:
-        sides, prices, qtys = (f[c].tolist() for c in ("side", "price", "qty"))
-        actions = f["action"].tolist() if "action" in f else [None] * len(f)
-        out: dict[str, list] = {c: [] for c in ("bid_px", "bid_qty", "ask_px", "ask_qty", "bid_levels", "ask_levels", "found", "rank", "existed")}
-        for side, price, qty, action in zip(sides, prices, qtys, actions, strict=True):
+    def __call__(self, f: Columns) -> Columns:
+        actions = f.get("action") or [None] * len(f["side"])
+        out: list[tuple] = []
+        for side, price, qty, action in zip(f["side"], f["price"], f["qty"], actions, strict=True):
             if action == "clear":
                 self.__init__()
             found = rank = existed = None
-            if price is not None and price is not pd.NA and price == price:
-                price, qty = int(price), int(qty)
+            if price is not None:
                 totals, keys = self.qty[side], self.keys[side]
                 key = -price if side == "B" else price
                 found, rank, existed = len(keys), bisect_left(keys, key), price in totals
@@ -140,20 +164,11 @@ class BookStage:
                 elif existed:
                     del totals[price], keys[rank]
             bids, asks = self.keys["B"], self.keys["S"]
-            bid_px = [-x for x in bids[:LEVELS]]
-            out["bid_px"].append(bid_px)
-            out["bid_qty"].append([self.qty["B"][p] for p in bid_px])
-            out["ask_px"].append(asks[:LEVELS])
-            out["ask_qty"].append([self.qty["S"][p] for p in asks[:LEVELS]])
-            out["bid_levels"].append(len(bids))
-            out["ask_levels"].append(len(asks))
-            out["found"].append(found)
-            out["rank"].append(rank)
-            out["existed"].append(existed)
-        f = f.copy()
-        for name, values in out.items():
-            f[name] = pd.array(values, dtype="Int64") if name in ("found", "rank") else pd.array(values, dtype="boolean") if name == "existed" else values
-        return f
+            bid_px, ask_px = [-x for x in bids[:LEVELS]], asks[:LEVELS]
+            bid_qty, ask_qty = [self.qty["B"][p] for p in bid_px], [self.qty["S"][p] for p in ask_px]
+            out.append((bid_px, bid_qty, ask_px, ask_qty, len(bids), len(asks), found, rank, existed))
+        names = ("bid_px", "bid_qty", "ask_px", "ask_qty", "bid_levels", "ask_levels", "found", "rank", "existed")
+        return f | dict(zip(names, map(list, zip(*out, strict=True)) if out else ([] for _ in names), strict=True))
 
 
 BOOK_COLUMNS = "bid_px array<long>, bid_qty array<long>, ask_px array<long>, ask_qty array<long>, bid_levels int, ask_levels int, found long, rank long, existed boolean"
@@ -164,54 +179,45 @@ class FeatureStage:
     averages of the middle price, decayed signed volume and trade count, and the average
     absolute move. Trades add up at every row; all else moves only with rows kept."""
 
-    def __init__(self, keep: Callable[[pd.DataFrame], np.ndarray] | None = None):
+    def __init__(self, keep: Callable[[Columns], list[bool]] | None = None):
         self.keep = keep
         self.fast = self.middle = self.slow = self.moves = self.before = None
         self.volume = self.rate = np.float32(0)
 
-    def __call__(self, f: pd.DataFrame) -> pd.DataFrame:
-        one, decay = np.float32(1), np.float32(0.999)
-        alphas = np.float32([0.10, 0.03, 0.01])
-        kept = np.array([bool(len(b)) and bool(len(a)) for b, a in zip(f["bid_px"], f["ask_px"], strict=True)])
-        if "last_leg" in f:
-            kept &= f["last_leg"].to_numpy(bool)
-        if self.keep is not None:
-            kept &= self.keep(f)
-        trades = f["trade"].tolist() if "trade" in f else [None] * len(f)
-        legs = f["leg"].tolist() if "leg" in f else [1] * len(f)
-        out = np.full((len(f), 5), np.nan, np.float32)
-        mids, spreads = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
-        with np.errstate(all="ignore"):
-            for i, (bids, asks) in enumerate(zip(f["bid_px"], f["ask_px"], strict=True)):
-                if legs[i] == 1 and trades[i] is not None and trades[i] is not pd.NA and trades[i] == trades[i]:
-                    self.volume += np.float32(trades[i])
-                    self.rate += one
-                if not kept[i]:
-                    continue
-                self.volume, self.rate = self.volume * decay, self.rate * decay
-                spread = asks[0] - bids[0]
-                mid = bids[0] + int(spread / 2)
-                x = np.float32(mid)
-                move = np.float32(0) if self.before is None else np.float32(abs(mid - self.before))
-                if self.fast is None:
-                    self.fast, self.middle, self.slow, self.moves = x, x, x, move
-                else:
-                    self.fast += alphas[0] * (x - self.fast)
-                    self.middle += alphas[1] * (x - self.middle)
-                    self.slow += alphas[2] * (x - self.slow)
-                    self.moves += alphas[2] * (move - self.moves)
-                self.before = mid
-                mids[i], spreads[i] = mid, spread
-                inverse = one / np.float32(spread)
-                out[i] = ((self.fast - self.middle) * inverse, (self.middle - self.slow) * inverse, self.volume / np.float32(1000), self.rate, self.moves * inverse)
-        f = f.copy()
-        f["kept"], f["mid"], f["spread"] = kept, mids, spreads
-        zero = kept & (spreads == 0)
-        for k, name in enumerate(("mom_fast", "mom_slow", "signed_vol", "trade_rate", "realized_vol")):
-            values = pd.array(out[:, k], dtype="Float32")
-            values[~kept | (zero if k in (0, 1, 4) else False)] = pd.NA
-            f[name] = values
-        return f
+    def __call__(self, f: Columns) -> Columns:
+        f32 = np.float32
+        one, thousand, decay, quick, mild, calm = f32(1), f32(1000), f32(0.999), f32(0.10), f32(0.03), f32(0.01)
+        n = len(f["bid_px"])
+        trades, legs, lasts = f.get("trade") or [None] * n, f.get("leg") or [1] * n, f.get("last_leg") or [True] * n
+        gate = self.keep(f) if self.keep else [True] * n
+        out: list[tuple] = []
+        for bids, asks, trade, leg, last, open_ in zip(f["bid_px"], f["ask_px"], trades, legs, lasts, gate, strict=True):
+            if trade is not None and leg == 1:
+                self.volume += f32(trade)
+                self.rate += one
+            if not (bids and asks and last and open_):
+                out.append((False, 0, 0, None, None, None, None, None))
+                continue
+            self.volume, self.rate = self.volume * decay, self.rate * decay
+            spread = asks[0] - bids[0]
+            mid = bids[0] + int(spread / 2)
+            x = f32(mid)
+            if self.fast is None:
+                self.fast, self.middle, self.slow, self.moves = x, x, x, f32(0)
+            else:
+                self.fast += quick * (x - self.fast)
+                self.middle += mild * (x - self.middle)
+                self.slow += calm * (x - self.slow)
+                self.moves += calm * (f32(abs(mid - self.before)) - self.moves)
+            self.before = mid
+            if spread:
+                inverse = one / f32(spread)
+                by = ((self.fast - self.middle) * inverse, (self.middle - self.slow) * inverse, self.moves * inverse)
+            else:
+                by = (None, None, None)
+            out.append((True, mid, spread, by[0], by[1], self.volume / thousand, self.rate, by[2]))
+        names = ("kept", "mid", "spread", "mom_fast", "mom_slow", "signed_vol", "trade_rate", "realized_vol")
+        return f | dict(zip(names, map(list, zip(*out, strict=True)) if out else ([] for _ in names), strict=True))
 
 
 FEATURE_COLUMNS = "kept boolean, mid long, spread long, mom_fast float, mom_slow float, signed_vol float, trade_rate float, realized_vol float"

@@ -14,6 +14,9 @@ from tapeloom.operators.book import LEVEL_COLUMNS
 from tapeloom.operators.fold import BOOK_COLUMNS, ORDER_SCHEMA, BookStage, OrderStage
 
 
+_DTYPES = {"long": "Int64", "int": "Int32", "boolean": "boolean"}
+
+
 def stream_fold(rows: DataFrame, stages: Sequence[Callable[[], Any]], schema: str, key: str = "locate", order: str = "seq") -> DataFrame:
     """``rows`` of a stream folded per symbol; output in append mode.
 
@@ -22,6 +25,8 @@ def stream_fold(rows: DataFrame, stages: Sequence[Callable[[], Any]], schema: st
     of the fold (and of the result, where a join with the input finds them).
     """
 
+    types = [tuple(c.strip().split(" ", 1)) for c in schema.split(",")]
+
     def run(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chain, last = (pickle.loads(state.get[0]), state.get[1]) if state.exists else ([make() for make in stages], None)
         frame = pd.concat(list(frames)).sort_values(order, kind="stable")
@@ -29,11 +34,12 @@ def stream_fold(rows: DataFrame, stages: Sequence[Callable[[], Any]], schema: st
             frame = frame[frame[order] > last]
         if len(frame):
             last = int(frame[order].iloc[-1])
-            frame = frame.reset_index(drop=True)
+            # numbers that pandas holds as floats, for a null among them, are whole again
+            part = {c: [None if v is None or v is pd.NA or v != v else int(v) if isinstance(v, float) else v for v in frame[c].tolist()] for c in frame}
             for stage in chain:
-                frame = stage(frame)
+                part = stage(part)
             state.update((pickle.dumps(chain), last))
-            yield frame
+            yield pd.DataFrame({c: pd.Series(part[c], dtype=_DTYPES.get(kind, object)) for c, kind in types})
 
     return rows.groupBy(key).applyInPandasWithState(run, schema, "stages binary, last long", "append", GroupStateTimeout.NoTimeout)
 

@@ -1,7 +1,7 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from tapeloom.operators import book as B
@@ -10,16 +10,14 @@ from tapeloom.operators.fold import BookStage, FeatureStage, OrderStage
 
 def messages(rows):
     names = ["msg_type", "ref", "new_ref", "side", "shares", "price"]
-    f = pd.DataFrame(rows, columns=names)
-    f.insert(0, "seq", range(len(f)))
-    f.insert(1, "locate", 1)
-    f.insert(2, "ts_ns", f["seq"] * 1000)
-    return f
+    f = {n: [r[k] for r in rows] for k, n in enumerate(names)}
+    return f | {"seq": list(range(len(rows))), "locate": [1] * len(rows), "ts_ns": [1000 * i for i in range(len(rows))]}
 
 
 def fold(rows):
     out = OrderStage()(messages(rows))
-    return [(r.seq, r.leg, r.status, None if pd.isna(r.price) else (r.side, int(r.price), int(r.qty))) for r in out.itertuples()]
+    each = zip(*(out[c] for c in ("seq", "leg", "status", "side", "price", "qty")), strict=True)
+    return [(n, leg, status, None if price is None else (side, price, qty)) for n, leg, status, side, price, qty in each]
 
 
 def test_add_partial_and_cancel_to_zero():
@@ -47,18 +45,19 @@ def test_duplicate_reference_and_empty_add():
 
 def test_trades_are_attributed_before_the_reduction():
     out = OrderStage()(messages([("A", 1, None, "S", 5, 100), ("E", 1, None, None, 9, None), ("C", 1, None, None, 2, None), ("A", 2, None, "B", 5, 90), ("E", 2, None, None, 1, None), ("E", 7, None, None, 1, None)]))
-    assert [None if pd.isna(t) else int(t) for t in out["trade"]] == [None, 9, 2, None, -1, None]
-    assert out["resting"].tolist() == [1, 1, 1, 2, 2, 2]
+    assert out["trade"] == [None, 9, 2, None, -1, None]
+    assert out["resting"] == [1, 1, 1, 2, 2, 2]
 
 
 def test_book_stage_matches_a_plain_book():
     rng = random.Random(4)
     rows = [(rng.choice("BS"), 100 + rng.randint(0, 30), rng.choice([0, 0, 1, 5, 9])) for _ in range(1500)]
-    f = pd.DataFrame(rows, columns=["side", "price", "qty"])
+    f = dict(zip(("side", "price", "qty"), map(list, zip(*rows, strict=True)), strict=True))
     stage = BookStage()
-    got = pd.concat([stage(f[:400].reset_index(drop=True)), stage(f[400:].reset_index(drop=True))], ignore_index=True)
+    parts = [stage({n: v[s] for n, v in f.items()}) for s in (slice(0, 400), slice(400, None))]
+    got = [SimpleNamespace(**dict(zip(p, r, strict=True))) for p in parts for r in zip(*p.values(), strict=True)]
     books = {"B": {}, "S": {}}
-    for (side, price, qty), r in zip(rows, got.itertuples(), strict=True):
+    for (side, price, qty), r in zip(rows, got, strict=True):
         own = books[side]
         ahead = sum(p > price for p in own) if side == "B" else sum(p < price for p in own)
         assert (r.found, r.rank, r.existed) == (len(own), ahead, price in own)
@@ -72,21 +71,20 @@ def test_book_stage_matches_a_plain_book():
 
 
 def test_clear_empties_the_book():
-    f = pd.DataFrame([("B", 100, 5, None), ("S", 101, 5, "clear")], columns=["side", "price", "qty", "action"])
-    got = BookStage()(f)
-    assert got["bid_px"].tolist() == [[100], []] and got["ask_px"].tolist() == [[], [101]]
+    got = BookStage()({"side": ["B", "S"], "price": [100, 101], "qty": [5, 5], "action": [None, "clear"]})
+    assert got["bid_px"] == [[100], []] and got["ask_px"] == [[], [101]]
 
 
 def test_features_match_the_recurrences():
-    f = pd.DataFrame([(100, 104), (101, 104), (102, 102), (99, 104)], columns=["b", "a"])
-    rows = pd.DataFrame({"bid_px": [[b] for b in f.b], "ask_px": [[a] for a in f.a], "trade": pd.array([None, 50, -20, None], dtype="Int64")})
+    touch = [(100, 104), (101, 104), (102, 102), (99, 104)]
+    rows = {"bid_px": [[b] for b, _ in touch], "ask_px": [[a] for _, a in touch], "trade": [None, 50, -20, None]}
     got = FeatureStage()(rows)
     fast = slow = move = None
     volume = rate = np.float32(0)
     before = None
-    for i, (b, a) in enumerate(zip(f.b, f.a, strict=True)):
+    for i, (b, a) in enumerate(touch):
         t = rows["trade"][i]
-        if not pd.isna(t):
+        if t is not None:
             volume, rate = np.float32(volume + np.float32(t)), np.float32(rate + np.float32(1))
         volume, rate = np.float32(volume * np.float32(0.999)), np.float32(rate * np.float32(0.999))
         mid = b + (a - b) // 2
@@ -95,7 +93,7 @@ def test_features_match_the_recurrences():
         fast, slow, move, before = up(fast, 0.10, x), up(slow, 0.03, x), up(move, 0.01, d), mid
         assert got["trade_rate"][i] == rate and got["signed_vol"][i] == np.float32(volume / np.float32(1000))
         if a == b:
-            assert pd.isna(got["mom_fast"][i]) and pd.isna(got["realized_vol"][i])
+            assert got["mom_fast"][i] is None and got["realized_vol"][i] is None
         else:
             inverse = np.float32(1) / np.float32(a - b)
             assert got["mom_fast"][i] == np.float32(np.float32(fast - slow) * inverse) and got["realized_vol"][i] == np.float32(move * inverse)
@@ -117,7 +115,7 @@ def test_one_shuffle_for_the_whole_chain(spark, sf):
     from tapeloom.sources import feeds
 
     plan = B.level_features(feeds.level_updates(spark, sf))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FlatMapGroupsInPandas") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
 
 
 def test_halts_and_resumes(spark):
