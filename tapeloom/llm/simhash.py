@@ -240,15 +240,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows, all columns as they are, whose doc_id is the smallest of its component; rows
-    that repeat a doc_id are one document, of which one row stays. Rows with a null doc_id
-    can't stand for a group and go. Texts are shuffled once, by doc_id."""
-    found = near_duplicates(docs, shingle, max_bits)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
