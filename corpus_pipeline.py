@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import language, mixing, packing, quality, simhash
+from tapeloom.llm import language, mixing, packing, quality, simhash_wide
 from tapeloom.llm.common import staged, table
 
 
@@ -23,8 +23,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity of about 0.8 or more),
+    the document with the smallest doc_id stays."""
+    return simhash_wide.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
