@@ -72,6 +72,23 @@ def model_accuracy(spark, sf):
     return scored.agg(F.count_if(F.col("y") == F.col("pred")).alias("hits"), F.count("*").alias("n"))
 
 
+def round_trip(w: M.Weights, per_row: bool) -> M.Weights:
+    """The weights as they are after quantisation to int8 and back."""
+    back = {n: M.dequantize(*M.quantize_tensor(getattr(w, n), per_row)) for n in ("w0", "w2", "w4")}
+    return M.Weights(w.mean, w.std, back["w0"], w.b0, back["w2"], w.b2, back["w4"], w.b4)
+
+
+def quantized_accuracy(spark, sf):
+    """Right answers with float weights, and with weights quantised by tensor and by row."""
+    rows, w = _rows(spark, sf), demo_weights()
+    ways = {"float": w, "tensor": round_trip(w, False), "row": round_trip(w, True)}
+    out = None
+    for name, weights in ways.items():
+        hits = M.score(rows, weights).join(rows.select("id", "y"), "id").agg(F.lit(name).alias("weights"), F.count_if(F.col("y") == F.col("pred")).alias("hits"), F.count("*").alias("n"))
+        out = hits if out is None else out.union(hits)
+    return out
+
+
 def quantize_values(spark, sf):
     e = feeds.table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v"))
     return e.select("vec_id", "i", m.quantize(F.col("v"), F.lit(0.03125)).alias("q"))
@@ -130,7 +147,7 @@ def schedule_report(spark, sf):
 
 
 def _lists(a: np.ndarray) -> str:
-    return "[" + ", ".join("[" + ", ".join(f"{int(v)}::DOUBLE" for v in row) + "]" for row in a) + "]"
+    return "[" + ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in row) + "]" for row in a) + "]"
 
 
 def _dots(a: np.ndarray, b: np.ndarray, x: str, scale: float = 1.0, relu: bool = True) -> str:
@@ -149,6 +166,15 @@ _FLOAT = _BASE + f", l1 AS (SELECT id, y, x, {_dots(_WT.w0, _WT.b0, 'x')} AS h1
 _s = [a * b for a, b in zip(INT8_SCALES, WEIGHT_SCALES, strict=True)]
 _INT8 = _BASE + f", i1 AS (SELECT id, {_dots(_WT.w0, _WT.b0, _q('x', INT8_SCALES[0]), _s[0])} AS h1 FROM n), i2 AS (SELECT id, {_dots(_WT.w2, _WT.b2, _q('h1', INT8_SCALES[1]), _s[1])} AS h2 FROM i1), i3 AS (SELECT id, {_dots(_WT.w4, _WT.b4, _q('h2', INT8_SCALES[2]), _s[2], relu=False)} AS lg FROM i2)"
 _PRED = "CAST(list_position(lg, list_max(lg)) - 1 AS INTEGER)"
+
+
+def _hits(name: str, w: M.Weights) -> str:
+    return (
+        f"SELECT '{name}' AS weights, count(CASE WHEN y = {_PRED} THEN 1 END) AS hits, count(*) AS n FROM (SELECT y, {_dots(w.w4, w.b4, 'h2', relu=False)} AS lg FROM "
+        f"(SELECT y, {_dots(w.w2, w.b2, 'h1')} AS h2 FROM (SELECT y, {_dots(w.w0, w.b0, 'x')} AS h1 FROM n)))"
+    )
+
+
 _FLAT = f" SELECT id, lg[1] AS logit_0, lg[2] AS logit_1, lg[3] AS logit_2, {_PRED} AS pred FROM "
 
 CATALOG = {
@@ -158,6 +184,7 @@ CATALOG = {
     "checksum": (checksum, _INT8 + " SELECT sum(lg[1]) AS checksum, count(*) AS n FROM i3"),
     "diff_float_int8": (diff_float_int8, _FLOAT + _INT8.replace(_BASE, "") + ", d AS (SELECT l3.lg AS a, i3.lg AS b, list_transform(list_zip(l3.lg, i3.lg), lambda p: abs(p[1] - p[2])) AS g FROM l3 JOIN i3 USING (id)) SELECT count(*) AS n, round(max(list_max(g)), 6) AS max_gap, round(sum(list_sum(g)) / sum(len(g)), 6) AS mean_gap, round(max(list_max(g) / greatest(list_max(list_transform(a, lambda v: abs(v))), 1e-12)), 6) AS max_relative, count(CASE WHEN list_position(a, list_max(a)) <> list_position(b, list_max(b)) THEN 1 END) AS class_changes, count(CASE WHEN list_max(g) = 0 THEN 1 END) AS equal_rows FROM d"),
     "model_accuracy": (model_accuracy, _FLOAT + f" SELECT count(CASE WHEN y = {_PRED} THEN 1 END) AS hits, count(*) AS n FROM l3"),
+    "quantized_accuracy": (quantized_accuracy, _BASE + " " + " UNION ALL ".join(_hits(n, w) for n, w in (("float", _WT), ("tensor", round_trip(_WT, False)), ("row", round_trip(_WT, True))))),
     "quantize_values": (quantize_values, "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, CAST(greatest(-127, least(127, round_even(v / 0.03125::DOUBLE, 0))) AS INTEGER) AS q FROM (SELECT vec_id, unnest(range(1, 9)) AS i, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS v FROM embeddings)"),
     "weight_quantize": (weight_quantize, "SELECT vec_id, round(s, 9) AS scale, CAST(list_sum(q) AS BIGINT) AS code_sum, CAST(len(list_filter(q, lambda v: abs(v) = 127)) AS BIGINT) AS at_limit FROM (SELECT vec_id, s, list_transform(t, lambda v: greatest(-127, least(127, round_even(v / s, 0)))) AS q FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS t, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))) / 127 AS s FROM embeddings))"),
     "quantize_error": (quantize_error, "SELECT vec_id, round(list_max(list_transform(t, lambda v: abs(v - round_even(v / s, 0) * s))), 9) AS max_error FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS t, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))) / 127 AS s FROM embeddings)"),

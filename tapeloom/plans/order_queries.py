@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import book as B
 from tapeloom.plans.sql import ORDER_FOLD, ORDERS
 from tapeloom.sources import feeds
 
+SAMPLE_EVERY = 64
+
 
 def order_feed(spark, sf):
     return feeds.order_messages(spark, sf)
@@ -69,6 +72,22 @@ def served_records(spark, sf):
     return records.groupBy("locate").agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def order_profile_mix(spark, sf):
+    """What order messages do to levels, a replace's removal and addition apart."""
+    p = B.access_profile(B.order_books(feeds.order_messages(spark, sf)))
+    return p.groupBy((F.col("msg_type") == "U").alias("replace"), F.col("leg").cast("long").alias("leg"), "op").agg(F.count("*").alias("n"))
+
+
+def peak_orders_sampled(spark, sf):
+    """Resting orders of all symbols at every 64th message: each chunk sums its changes, and a
+    running sum over the chunks gives the samples."""
+    rows = B.order_fold(feeds.order_messages(spark, sf)).where("last_leg")
+    change = F.col("resting") - F.lag("resting", 1, 0).over(Window.partitionBy("locate").orderBy("seq"))
+    rows = rows.select(F.ceil(F.col("seq") / SAMPLE_EVERY).cast("long").alias("chunk"), change.alias("change"))
+    chunks = rows.groupBy("chunk").agg(F.sum("change").alias("change"))
+    return chunks.select((F.col("chunk") * SAMPLE_EVERY).alias("seq"), F.sum("change").over(Window.orderBy("chunk")).alias("resting"))  # a row per chunk
+
+
 _O = "WITH RECURSIVE " + ORDER_FOLD
 _BOOK = _O + """, lv AS (
   SELECT seq, leg, locate, side, price, CAST(greatest(0, sum(change) OVER (PARTITION BY locate, side, price ORDER BY seq, leg)) AS BIGINT) AS qty,
@@ -100,6 +119,8 @@ CATALOG = {
     "trade_attribution": (trade_attribution, _O + " SELECT seq, locate, trade, CASE WHEN trade > 0 THEN 'S' ELSE 'B' END AS resting_side FROM fold WHERE trade IS NOT NULL"),
     "shared_refs": (shared_refs, "WITH " + ORDERS + " SELECT count(*) AS refs, count(CASE WHEN lo <> hi THEN 1 END) AS shared FROM (SELECT ref, min(locate) AS lo, max(locate) AS hi FROM om WHERE ref >= 0 GROUP BY ref)"),
     "order_book_touch": (order_book_touch, _BOOK + " SELECT seq, best_bid, best_ask, bid_levels, ask_levels FROM ob"),
+    "order_profile_mix": (order_profile_mix, _BOOK + ", pv AS (SELECT *, coalesce(lag(qty) OVER (PARTITION BY locate, side, price ORDER BY seq, leg), 0) > 0 AS existed FROM lv) SELECT m.msg_type = 'U' AS replace, CAST(leg AS BIGINT) AS leg, CASE WHEN existed AND qty <> 0 THEN 'modify' WHEN existed THEN 'erase' WHEN qty <> 0 THEN 'insert' ELSE 'none' END AS op, count(*) AS n FROM pv JOIN om m ON m.seq = pv.seq GROUP BY ALL"),
+    "peak_orders_sampled": (peak_orders_sampled, _O + " SELECT chunk * 64 AS seq, CAST(sum(change) OVER (ORDER BY chunk) AS BIGINT) AS resting FROM (SELECT CAST(ceil(seq / 64) AS BIGINT) AS chunk, sum(CAST(added AS INTEGER) - CAST(gone AS INTEGER)) AS change FROM fold WHERE seq IS NOT NULL GROUP BY 1)"),
     "feat_decayed_volume": (feat_decayed_volume, _FLOW + " SELECT seq, CAST(CAST(v.t / CAST(1000 AS FLOAT) AS FLOAT) AS DOUBLE) AS signed_vol FROM fl"),
     "feat_trade_rate": (feat_trade_rate, _FLOW + " SELECT seq, CAST(v.c AS DOUBLE) AS trade_rate FROM fl"),
     "served_records": (served_records, _BOOK + """, st AS (
