@@ -27,7 +27,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CHUNKS = 64
 #: Entries to a worker's word cache before it starts anew; results don't depend on it.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 
 
 # ---- tokens ------------------------------------------------------------------------------
