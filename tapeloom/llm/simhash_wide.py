@@ -1,7 +1,7 @@
 """Near-duplicates of a given similarity, by wide SimHash fingerprints and the same anchors.
 
 64 bits tell close copies only. Four times as many estimate the similarity of two texts'
-shingles: at 0.8 about 38 of 256 bits differ. The fingerprint is cut into eleven blocks, each
+distinct shingles: at 0.8 about 38 of 256 bits differ. The fingerprint is cut into eleven blocks, each
 covered by the Golay code; two texts meet if any of their blocks lie within two bits, each
 within the covering radius plus half of that of a shared anchor, and are linked if all 256 bits
 together are near enough. Up to 32 bits some block must be that near; at 40 bits one pair in
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import discard, staged
 from tapeloom.llm.components import connected_components, local_roots
 from tapeloom.llm.grouped import group_bounds, whole_groups
+from tapeloom.llm.shingle_sets import MIN_SIMILARITY, first_rows
 from tapeloom.llm.simhash import _BITS, BLOCK, RADIUS, SEED, codewords_within
 
 #: Words to a shingle; differing bits of 256 up to which texts count as similar.
@@ -29,14 +30,14 @@ LANES = ("l0", "l1", "l2", "l3")
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> bytes:
-    """256 bits: A-Z lower-cased, words at ASCII white space, shingles counted with repeats, a
-    bit set if it is in over half of their hashes. Texts without words have all bits at 0."""
+    """256 bits: A-Z lower-cased, words at ASCII white space, a bit set if it is in over half of
+    the hashes of the distinct shingles. Texts without words have all bits at 0."""
     import xxhash
 
     words = text.lower().split() if text else []
     if not words:
         return bytes(BITS // 8)
-    parts = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    parts = [b" ".join(words)] if len(words) < shingle else list(set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))))
     halves = [np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, SEED + k) for p in parts]), np.uint8).reshape(-1, 16) for k in (0, 1)]
     counts = [np.bincount((h + (np.arange(16) << 8)).ravel(), minlength=4096).reshape(16, 256) @ _BITS for h in halves]
     return np.packbits(np.concatenate(counts).ravel() * 2 > len(parts)).tobytes()
@@ -128,10 +129,11 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = M
     return rows.join(named, list(LANES)).select("doc_id", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows, all columns as they are, whose doc_id is the smallest of its component; rows
-    that repeat a doc_id are one document, of which one row stays. Rows with a null doc_id
-    can't stand for a group and go. Texts are shuffled once, by doc_id."""
-    found = similar_documents(docs, shingle, max_bits)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+def keep_first(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """The rows, all columns as they are, whose doc_id is the smallest of a group that links of
+    an exact shingle similarity of at least ``min_similarity`` connect (``shingle_sets``; bits
+    decide nothing here). Rows that repeat a doc_id are one document, of which one row stays.
+    Rows with a null doc_id can't stand for a group and go. Texts are shuffled twice."""
+    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary"))
+    first = first_rows(keyed, min_similarity).select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
