@@ -45,3 +45,19 @@ def test_pairs_at_the_limit_against_brute_force(spark):
 def test_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert sorted(r.doc_id for r in S.keep_first(docs).collect()) == brute_first([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_hot_block_in_tiles(spark):
+    """Texts that share most of a boilerplate are one block; tiles give what one group gives."""
+    rng, base = np.random.default_rng(6), [f"b{i}" for i in range(200)]
+    rows = [(k, " ".join(base + [f"t{v}" for v in rng.integers(0, 10**6, 60)])) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " and some more") for k in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) h1", "xxhash64(1, text) h2", "cast(text as binary) text")
+    got = sorted(r.doc_id for r in J.first_rows(docs, tile_texts=10).collect())
+    assert got == brute_first(rows) == list(range(60))
+
+
+def test_tiles_compare_only_between_each_other():
+    sets = [J.shingle_set(" ".join(f"w{i}" for i in range(k % 2, 200 + k % 2)).encode()) for k in range(4)]
+    assert len(J.connecting_pairs(sets, np.zeros(4, int), 0.8)) == 3
+    assert {tuple(sorted(p)) for p in J.connecting_pairs(sets[:2], np.array([0, 1]), 0.8)} == {(0, 1)}
