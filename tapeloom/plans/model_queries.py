@@ -7,6 +7,7 @@ sums are exact in any order.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
@@ -17,6 +18,7 @@ from tapeloom.sources import feeds
 
 INT8_SCALES = (2.0**-5, 2.0**-1, 2.0**2)
 WEIGHT_SCALES = (1.0, 0.5, 0.25)
+#: Rows that networks are trained on, about, chosen by hash.
 TRAIN_ROWS = 20_000
 
 
@@ -115,24 +117,68 @@ def activation_calibration(spark, sf):
     return c.select("point", F.round("largest", 6).alias("largest"), F.round("cutoff", 6).alias("cutoff"), F.round("scale", 6).alias("scale"), F.round("clipped", 9).alias("clipped"))
 
 
-def _sample(spark, sf):
-    """At most TRAIN_ROWS rows in order, split by time, for the driver to train on."""
-    rows = D.chrono_split(_rows(spark, sf).where(F.col("id") < TRAIN_ROWS), "id")
+def _split_rows(spark, sf):
+    return D.chrono_split(_rows(spark, sf), "id")
+
+
+def _sample(rows, limit: int):
+    """About ``limit`` rows at most, chosen by a hash of the id, for training: normalised
+    training and validation rows, and the mean and deviation of the training ones."""
+    n = rows.count()
+    if n > limit:
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) < limit)
     data = rows.select("id", "f", "y", "split").orderBy("id").toArrow()
-    x, y, split = np.array(data.column("f").to_pylist(), np.float64), data.column("y").to_numpy(), np.array(data.column("split").to_pylist())
-    mean, std = x[split == "train"].mean(0), x[split == "train"].std(0)
-    z = (x - mean) / np.where(std == 0, 1, std)
-    return z[split == "train"], y[split == "train"], z[split == "val"], y[split == "val"]
+    x, y, train = np.array(data.column("f").to_pylist(), np.float64).reshape(-1, M.INPUTS), data.column("y").to_numpy(), np.array(data.column("split").to_pylist()) == "train"
+    val = np.array(data.column("split").to_pylist()) == "val"
+    mean, std = (x[train].mean(0), x[train].std(0)) if train.any() else (np.zeros(M.INPUTS), np.ones(M.INPUTS))
+    std = np.where(std == 0, 1, std)
+    z = (x - mean) / std
+    return (z[train], y[train], z[val], y[val]), mean, std
+
+
+def _accuracy(rows, weights: list) -> list[float]:
+    """Share of right answers of each network over all validation rows: one scan of them."""
+
+    def run(batches):
+        for b in batches:
+            f, y = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(1).to_numpy(zero_copy_only=False)
+            hits = [int((w.forward(f).argmax(1) == y).sum()) for w in weights]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(hits)), pa.int32()), pa.array(hits, pa.int64()), pa.array([b.num_rows] * len(hits), pa.int64())], ["k", "hits", "n"])
+
+    each = rows.where("split = 'val'").select(F.col("f").cast("array<float>"), F.col("y").cast("int")).mapInArrow(run, "k int, hits long, n long")
+    found = {r.k: r.hits / r.n for r in each.groupBy("k").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
+    return [found.get(k, 0.0) for k in range(len(weights))]
 
 
-def train_mlp(spark, sf):
-    w, accuracy = M.train(*_sample(spark, sf), epochs=4, batch=256)
+def train_mlp(spark, sf, limit: int = TRAIN_ROWS):
+    rows = _split_rows(spark, sf)
+    sample, mean, std = _sample(rows, limit)
+    w = M.train(*sample, mean, std, epochs=4, batch=256)[0]
+    accuracy = _accuracy(rows, [w])[0]
     return M.score(_rows(spark, sf), w).groupBy("pred").agg(F.count("*").alias("n")).withColumn("val_accuracy", F.lit(accuracy))
 
 
-def feature_ablation(spark, sf):
-    rows = M.ablation(*_sample(spark, sf), epochs=2, batch=256)
-    return spark.createDataFrame(rows, "feature int, accuracy double, change double")
+def feature_ablation(spark, sf, limit: int = TRAIN_ROWS):
+    """A network for all features and one for each at zero, a task each, on one sample; right
+    answers are counted over all validation rows."""
+    rows = _split_rows(spark, sf)
+    sample, mean, std = _sample(rows, limit)
+    sent = spark.sparkContext.broadcast(sample)  # TRAIN_ROWS rows of sixteen numbers
+
+    def fit(k: int):
+        x, y, val_x, val_y = (a.copy() for a in sent.value)
+        if k >= 0:
+            x[:, k] = val_x[:, k] = 0
+        w = M.train(x, y, val_x, val_y, mean, std, epochs=2, batch=256)[0]
+        if k >= 0:
+            w.w0[:, k] = 0
+        return w
+
+    n = M.INPUTS + 1
+    weights = spark.sparkContext.parallelize(range(-1, M.INPUTS), n).map(fit).collect()
+    whole, *without = _accuracy(rows, weights)
+    out = sorted(((k, a, a - whole) for k, a in enumerate(without)), key=lambda r: (r[2], r[0]))
+    return spark.createDataFrame(out, "feature int, accuracy double, change double")
 
 
 def schedule_sim(spark, sf):
