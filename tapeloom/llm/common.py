@@ -2,58 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a single-machine session gets a temporary folder; on a
-    cluster that is an error, since executors don't share a machine's own folders.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        return fs.makeQualified(path).toString().rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
-    return _LOCAL_DIRS[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tapeloom/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends there,
-    so a lost executor costs a read, and what uses it twice doesn't compute it twice."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tapeloom_path = path
-    return out
-
+from tapeloom.staging import clean, discard, new_path, shared_dir, staged
 
-def discard(*frames: DataFrame) -> None:
-    """Delete what ``staged`` wrote once nothing will read it again."""
-    for df in frames:
-        path = getattr(df, "_tapeloom_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+__all__ = ["clean", "discard", "held_out", "new_path", "shared_dir", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
