@@ -1,13 +1,18 @@
-"""Sharding by longest-processing-time scheduling of groups that must stay together."""
+"""Sharding by longest-processing-time scheduling of groups that must stay together.
+
+Groups of one size are interchangeable, so what the heap schedules is the histogram of their
+sizes: each size in turn, largest first, deals its groups to the least-loaded shards. Groups
+then find their shard by their rank within their size. Every group meets the heap, and shards
+end with the loads that a heap over single groups gives.
+"""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,65 +21,100 @@ from tapeloom.llm.common import discard, staged, table, text_or_empty
 SHARDS = 24
 #: Bytes that a document costs besides its text.
 OVERHEAD = 8
-#: Jobs that the heap schedules are at least 1/GRAIN of a shard, but for the remainders of
-#: bundles; so it schedules 2 x shards x GRAIN of them at most, whatever the input.
-GRAIN = 1024
-#: Parts in which the rows of a shard are numbered.
+#: Parts in which the rows of a shard, and the groups of a size, are numbered.
 CHUNKS = 64
 
 
-def schedule(jobs: Iterator[tuple[int, int]], shards: int) -> Iterator[tuple[int, int]]:
-    """(job, size) in descending order of size -> (job, shard): each goes to the least-loaded
-    shard, of equals to the one with the smallest number."""
-    heap = [(0, s) for s in range(shards)]
-    for job, size in jobs:
-        load, shard = heapq.heappop(heap)
-        yield job, shard
-        heapq.heappush(heap, (load + size, shard))
-
-
-def shard_groups(rows: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:
-    """``rows(group, size)`` -> ``group, shard``, one row per distinct group, sizes near equal.
-
-    Groups of at least ``total / (shards x grain)`` are jobs of their own; there can't be more
-    than ``shards x grain`` of them. Smaller ones are bundled by hash into jobs of about that
-    size, of which there are as many at most. So the jobs have a bound that doesn't depend on
-    the input, and one heap schedules all of them, largest first. Shards end within one job of
-    each other, unless a single group is larger than a shard.
+class Shards:
+    """Loads by shard, and a heap of them: of equal loads the smaller number comes first."""
+
+    def __init__(self, shards: int):
+        self.heap = [(0, s) for s in range(shards)]
+
+    def deal(self, size: int, n: int) -> np.ndarray:
+        """How many of ``n`` jobs of one size each shard takes, largest-first scheduling being
+        at that size. Far more jobs than shards are dealt in rounds: while the fullest shard
+        lies within reach, all shards can be filled to a common level at once."""
+        taken = np.zeros(len(self.heap), np.int64)
+        if size <= 0:
+            taken[self.heap[0][1]] = n
+            return taken
+        if n > 4 * len(taken):
+            loads = np.zeros(len(taken), np.int64)
+            for load, shard in self.heap:
+                loads[shard] = load
+            # jobs that start below a level: the heap deals all of those before any at or
+            # above it, whatever their order; the highest level that asks for at most n
+            low, high = int(loads.min()), int(loads.max()) + size * n
+            started = lambda level: np.maximum(0, -((loads - level) // size))
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if started(middle).sum() <= n else (low, middle)
+            taken = started(low).astype(np.int64)
+            self.heap = [(int(loads[s] + size * taken[s]), s) for s in range(len(taken))]
+            heapq.heapify(self.heap)
+            n -= int(taken.sum())
+        for _ in range(n):
+            load, shard = self.heap[0]
+            heapq.heapreplace(self.heap, (load + size, shard))
+            taken[shard] += 1
+        return taken
+
+
+def schedule_sizes(histogram: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``histogram(bytes, jobs)``, a row per distinct size -> ``bytes, ends, shards``: the jobs
+    of a size with a rank below the first end go to the first shard, and so on.
+
+    One task runs the heap over batches in descending order of size and keeps nothing but the
+    loads. It reads a row per distinct size: fewer than the square root of twice the total
+    bytes, and no more than the longest text has bytes, plus one per larger group.
     """
-    groups = staged(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    least = max(1, -(-total // (shards * grain)))
-    small_total = groups.where(F.col("bytes") < least).agg(F.sum("bytes")).first()[0] or 0
-    bundles = max(1, -(-small_total // least))
-    # A large group's job is a hash of its key, told from bundles by its sign; two that share
-    # one by chance are scheduled together.
-    own = F.expr("-1 - (xxhash64(group) & 9223372036854775807)")
-    job = F.when(F.col("bytes") >= least, own).otherwise(F.pmod(F.xxhash64("group", F.lit(1)), F.lit(bundles)))
-    jobbed = groups.select("group", "bytes", job.alias("job"))
-
-    def run(_key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        jobs = pd.concat(list(frames)).sort_values(["bytes", "job"], ascending=[False, True])
-        done = list(schedule(zip(jobs["job"], jobs["bytes"], strict=True), shards))
-        yield pd.DataFrame(done, columns=["job", "shard"]).astype({"job": np.int64, "shard": np.int32})
-
-    jobs = jobbed.groupBy("job").agg(F.sum("bytes").alias("bytes"))
-    placed = staged(jobs.groupBy(F.lit(0).alias("all")).applyInPandas(run, "job long, shard int"), "jobs")
-    # broadcast: at most 2 x shards x grain rows of two numbers, see above
-    out = staged(jobbed.join(F.broadcast(placed), "job").select("group", "shard"), "group-shards")
-    discard(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heap = Shards(shards)
+        for b in batches:
+            ends, names = [], []
+            for size, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                taken = heap.deal(size, n)
+                used = np.flatnonzero(taken)
+                ends.append(np.cumsum(taken[used]).tolist())
+                names.append(used.tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.int32()))], ["bytes", "ends", "shards"])
+
+    ordered = histogram.select("bytes", "jobs").repartition(1).sortWithinPartitions(F.col("bytes").desc())
+    return ordered.mapInArrow(run, "bytes long, ends array<long>, shards array<int>")
+
+
+def shard_groups(rows: DataFrame, shards: int = SHARDS, chunks: int = CHUNKS) -> DataFrame:
+    """``rows(group, size)`` -> ``group, shard``, one row per distinct group, sizes near equal:
+    longest processing time over all groups. Shards end within one group of each other, unless
+    a single group is larger than a shard. Ranks within a size are counted by (size, chunk of
+    the hashed group), so that a common size is dealt out."""
+    groups = staged(
+        rows.groupBy("group").agg(F.sum("size").alias("bytes")).withColumn("chunk", F.pmod(F.xxhash64("group"), F.lit(chunks)).cast("int")),
+        "groups",
+    )
+    counts = staged(groups.groupBy("bytes", "chunk").agg(F.count("*").alias("n")), "size-counts")
+    dealt = staged(schedule_sizes(counts.groupBy("bytes").agg(F.sum("n").alias("jobs")), shards), "dealt")
+    along = Window.partitionBy("bytes").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # chunks of a size
+    starts = counts.select("bytes", "chunk", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start")).join(dealt, "bytes")
+    inside = F.row_number().over(Window.partitionBy("bytes", "chunk").orderBy("group"))
+    ranked = groups.withColumn("_n", inside).join(starts, ["bytes", "chunk"]).withColumn("rank", F.col("start") + F.col("_n") - 1)
+    before = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    out = staged(ranked.select("group", F.element_at("shards", before + 1).alias("shard")), "group-shards")
+    discard(groups, counts, dealt)
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, chunks: int = CHUNKS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, chunks: int = CHUNKS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for each row of ``docs``.
 
     Equal texts form a group and share a shard; null counts as the empty text. size is the
     text's UTF-8 bytes plus 8. Slots number a shard's rows from 0 without gaps: rows are
-    numbered within (shard, chunk of the hashed doc_id), and the counts of those give each
+    numbered within (shard, chunk of the hashed row), and the counts of those give each
     chunk its start, so no task holds a shard. Repeated rows and doc_ids have slots of their
-    own, in no given order among equals; null doc_ids share one chunk. An empty table gives an
-    empty result. Columns but doc_id and text are ignored.
+    own, in no given order among equals. An empty table gives an empty result. Columns but
+    doc_id and text are ignored.
     """
     text = text_or_empty()
     rows = staged(
@@ -86,8 +126,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, c
         ),
         "sizes",
     )
-    homes = shard_groups(rows, shards, grain)
-    placed = rows.join(homes, "group").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    homes = shard_groups(rows, shards, chunks)
+    placed = rows.join(homes, "group").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).cast("int").alias("chunk"))
     placed = staged(placed, "placed")
     discard(rows, homes)
     counts = placed.groupBy("shard", "chunk").count()
