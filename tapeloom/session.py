@@ -10,13 +10,15 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
-    """A single-JVM session whose Python workers can import this repository."""
+def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g", shared: str | None = None) -> SparkSession:
+    """A single-JVM session whose Python workers can import this repository; intermediate
+    tables go to ``shared``, or to the warehouse if it isn't given."""
     paths = [ROOT, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
     os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("tapeloom")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -11,8 +11,7 @@ def spark(tmp_path_factory):
     from tapeloom.session import local_session
     from tapeloom.staging import clean
 
-    session = local_session(4, shuffle_partitions=4)
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+    session = local_session(4, shuffle_partitions=4, shared=f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     clean(session)
     session.stop()
