@@ -1,7 +1,7 @@
 """Near-duplicate embeddings through randomised-rotation binary codes.
 
-A unit vector's code is the signs of its random rotation, stored with the correction factor
-that makes inner-product estimates from the code unbiased. Bits of further rotations deal
+A unit vector's code is the signs of its random rotation; it is computed once and stored, with
+the correction factor that makes inner-product estimates from the code unbiased. Bits of further rotations deal
 vectors to buckets, so that a pair at the threshold meets in at least one of the tables with
 the probability asked for. In a bucket, estimates and their confidence bounds tell which pairs
 can reach the threshold; only those are recomputed, in double precision.
@@ -89,16 +89,31 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare_tile(unit: np.ndarray, tile: np.ndarray, a: int, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at the threshold or above: all within a tile, or those between two."""
+def pack_codes(codes: np.ndarray) -> pa.Array:
+    """Codes of -1/1 as a bit each."""
+    bits = np.packbits(codes > 0, axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(bits), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+
+
+def unpack_codes(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    bits = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
+
+
+def compare_tile(unit: np.ndarray, codes: np.ndarray, factors: np.ndarray, tile: np.ndarray, a: int, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs at the threshold or above: all within a tile, or those between two. Rows are
+    sorted by id; stored codes stand for the smaller index, or the rows of tile ``a``, and are
+    compared with rotations of the others."""
     left, right = (np.arange(len(unit)),) * 2 if a == b else (np.flatnonzero(tile == a), np.flatnonzero(tile == b))
-    codes, factors = encode(unit[left])
     rotated = unit[right] @ rotations(unit.shape[1], codes.shape[1]).T
     out = []
     for at in range(0, len(left), 512):
-        may = upper_bounds(codes[at : at + 512], factors[at : at + 512], rotated) >= threshold
+        own = left[at : at + 512]
+        may = upper_bounds(codes[own], factors[own], rotated) >= threshold
         i, j = np.nonzero(may)
-        i, j = left[i + at], right[j]
+        i, j = own[i], right[j]
         if a == b:
             i, j = i[i < j], j[i < j]
         for part in range(0, len(i), 100_000):
@@ -112,39 +127,44 @@ def vector_links(classes: DataFrame, threshold: float = THRESHOLD, miss: float =
     """``classes(id, copies, embedding)`` of distinct usable vectors -> rows ``kind, x, y``:
     kind 0, that class x is linked to y vectors of other classes; kind 1, a link (x, y) of a
     set that connects what all links connect. Their number grows with the vectors, not with
-    the pairs: a pair counts in the first table where it meets, and no pair is a row."""
+    the pairs: a pair counts in the first table where it meets, and no pair is a row. (So the
+    vector travels with its code: fetching vectors for the pairs that a bound lets through
+    would make rows of them.)"""
     bits, tables = plan_tables(classes.count(), threshold, miss)
 
     def add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim in np.unique(batch.column("dim").to_numpy()):
                 b = batch.filter(pa.compute.equal(batch.column("dim"), int(dim)))
-                keys = bucket_keys(unit_rows(b.column("embedding")), bits, tables)
+                unit = unit_rows(b.column("embedding"))
+                codes, factors = encode(unit)
+                keys = bucket_keys(unit, bits, tables)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "keys"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pack_codes(codes), pa.array(factors), lists], [*b.schema.names, "code", "factor", "keys"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
     sized = classes.select("id", "copies", "embedding", F.size("embedding").alias("dim"))
-    keyed = staged(sized.mapInArrow(add_keys, f"id long, copies long, embedding {kind}, dim int, keys array<long>"), "keyed")
+    keyed = staged(sized.mapInArrow(add_keys, f"id long, copies long, embedding {kind}, dim int, code binary, factor double, keys array<long>"), "keyed")
     each = keyed.select("dim", F.explode("keys").alias("key"))
     large = each.groupBy("dim", "key").count().where(F.col("count") > tile)
     large = staged(large.select("dim", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "large-buckets")
-    rows = keyed.select("id", "copies", "embedding", "dim", F.explode("keys").alias("key")).join(large, ["dim", "key"], "left")
+    rows = keyed.select("id", "copies", "embedding", "dim", "code", "factor", F.explode("keys").alias("key")).join(large, ["dim", "key"], "left")
     rows = rows.withColumn("tile", F.coalesce(F.pmod(F.xxhash64("id"), F.col("tiles")), F.lit(0)).cast("int"))
     # with another tile each time: every two tiles of a bucket meet once, each with itself too
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
     rows = rows.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
-    rows = rows.select("id", "copies", "embedding", "key", "tile", "a", "b", F.xxhash64("dim", "key", "a", "b").alias("group"))
+    rows = rows.select("id", "copies", "embedding", "code", "factor", "key", "tile", "a", "b", F.xxhash64("dim", "key", "a", "b").alias("group"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "group"):
-            ids, copies, key, tile_of, a, b, group = (t.column(c).to_numpy() for c in ("id", "copies", "key", "tile", "a", "b", "group"))
+            ids, copies, factor, key, tile_of, a, b, group = (t.column(c).to_numpy() for c in ("id", "copies", "factor", "key", "tile", "a", "b", "group"))
             bounds = group_bounds(group)
             counts, links = [], []
             for g in np.flatnonzero(np.diff(bounds) > 1):
                 s = slice(bounds[g], bounds[g + 1])
                 unit = unit_rows(t.column("embedding").slice(bounds[g], bounds[g + 1] - bounds[g]))
-                i, j = compare_tile(unit, tile_of[s], a[s.start], b[s.start], threshold)
+                codes = unpack_codes(t.column("code").slice(bounds[g], bounds[g + 1] - bounds[g]))
+                i, j = compare_tile(unit, codes, factor[s], tile_of[s], a[s.start], b[s.start], threshold)
                 if not len(i):
                     continue
                 roots = local_roots(len(unit), i, j)
@@ -165,7 +185,7 @@ def vector_links(classes: DataFrame, threshold: float = THRESHOLD, miss: float =
                     x, y = np.concatenate(found, axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), n, np.int32)), pa.array(x), pa.array(y)], ["kind", "x", "y"])
 
-    dealt = rows.repartition("group").sortWithinPartitions("group")
+    dealt = rows.repartition("group").sortWithinPartitions("group", "id")
     return dealt.mapInArrow(compare, "kind int, x long, y long")
 
 

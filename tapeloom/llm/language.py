@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,11 +18,14 @@ from tapeloom.llm.common import held_out, table
 #: about this many, chosen by hash, whatever the size of the corpus.
 PROFILE = 400
 LEARN_FROM = 1500
-#: Languages learned, the most frequent ones first.
-LANGUAGES = 200
+#: More language names than this are an error in the labels: profiles of all are sent to every
+#: worker, and each document is compared with all.
+MAX_LANGUAGES = 5_000
 #: Documents whose best profile is nearer than this share of the largest distance are kept.
 KEEP_FROM = 0.05
+#: Characters counted at a time, up to the next white space.
 _BLOCK = 1 << 20
+_SPACE = re.compile(r"\s")
 
 
 @lru_cache
@@ -29,12 +33,23 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def _blocks(text: str) -> Iterator[str]:
+    """Parts of a text that end at white space, so that no word and no letter case depends on
+    where it is parted."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + _BLOCK)
+        end = space.end() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram, count) of one to three characters of the lower-cased text, words padded with a
     space; anything but letters parts words. An n-gram is its code points in 21 bits each."""
     found = []
-    for at in range(0, len(text), _BLOCK):
-        c = np.frombuffer(text[at : at + _BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    for part in _blocks(text):
+        c = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         word = _letters()[c]
         c = np.where(word, c, 32)
         keep = word.copy()
@@ -88,17 +103,19 @@ class Profiles:
         return best[1], 1.0 - min(1.0, best[0] / (len(own) * self.k))
 
 
-def learn_profiles(docs: DataFrame, k: int = PROFILE, learn_from: int = LEARN_FROM, languages: int = LANGUAGES) -> Profiles:
+def learn_profiles(docs: DataFrame, k: int = PROFILE, learn_from: int = LEARN_FROM, max_languages: int = MAX_LANGUAGES) -> Profiles:
     """Profiles from ``text`` and non-null ``lang`` of documents outside the held-out fold.
 
     A first pass counts languages (no text is read); about ``learn_from`` documents of each,
     chosen by the hash of doc_id, give the n-grams, which are summed in Spark. The driver gets
-    ``k`` ranks of at most ``languages`` languages.
+    ``k`` ranks of each language; more than ``max_languages`` are refused.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages + 1).collect()
     if not counts:
         return Profiles({}, k)
+    if len(counts) > max_languages:
+        raise ValueError(f"documents name more than {max_languages} languages; pass a higher max_languages if they do mean that")
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, learn_from / r["count"])))])
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000
 
@@ -144,10 +161,15 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 def keep_identified(docs: DataFrame, profiles: Profiles, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows, all columns as they are, whose text has a language: not ``und``, and nearer
-    to its profile than ``keep_from`` asks."""
-    columns = docs.columns
-    p = docs.withColumn("__language", language_of(profiles))
-    return p.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= keep_from)).select(*[F.col(f"`{c}`") for c in columns])
+    to its profile than ``keep_from`` asks. Null texts and texts without letters go; repeated
+    rows stay or go together."""
+
+    @F.pandas_udf("boolean")
+    def identified(texts: pd.Series) -> pd.Series:
+        found = (profiles.predict(t) for t in texts)
+        return pd.Series([lang != "und" and score >= keep_from for lang, score in found], dtype=bool)
+
+    return docs.where(identified(F.col("text")))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

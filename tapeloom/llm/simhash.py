@@ -2,11 +2,13 @@
 
 A fingerprint's two 23-bit blocks are covered by the binary Golay code, whose covering radius
 is 3 and which is perfect: each block value lies within 3 bits of one codeword. Anchors are
-pairs of codewords. For two fingerprints within t bits there is a value within t/2 bits of
-both, and the anchor that covers it lies within the covering radius plus t/2 of both; so each
-fingerprint goes to every anchor within that distance, and all links meet at some anchor.
-(Half of the threshold on either side is the known refinement of anchor points; sending one
-side the whole threshold away finds the same links with six times the copies.)
+pairs of codewords. A fingerprint goes to every anchor within the covering radius plus the
+threshold, so that the anchor that covers one fingerprint holds all that are near it.
+
+``spare`` says how far beyond the covering radius both sides go. Half of the threshold is
+enough, too: for two fingerprints within t bits there is a value within t/2 bits of both, whose
+anchor lies within the covering radius plus t/2 of both. That refinement finds the same links
+with a sixth of the copies; the threshold itself is the default.
 """
 
 from __future__ import annotations
@@ -111,10 +113,9 @@ def codewords_within(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return index, x[index] ^ patterns[at]
 
 
-def anchors_of(fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(index into fp, anchor) for every anchor within the covering radius plus half of
-    ``max_bits``, rounded up, that the two blocks may share in any way."""
-    spare = (max_bits + 1) // 2
+def anchors_of(fp: np.ndarray, spare: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(index into fp, anchor) for every anchor within the covering radius plus ``spare`` bits,
+    which the two blocks may share in any way."""
     x = fp.view(np.uint64)
     high, low = (x & np.uint64(2**BLOCK - 1)).astype(np.uint32), ((x >> np.uint64(BLOCK)) & np.uint64(2**BLOCK - 1)).astype(np.uint32)
     parts = []
@@ -122,8 +123,13 @@ def anchors_of(fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np
         i, a = codewords_within(high, RADIUS + extra)
         k, b = codewords_within(low[i], RADIUS + spare - extra)
         parts.append(np.stack([i[k], (a[k].astype(np.int64) << BLOCK) | b.astype(np.int64)]))
-    both = np.unique(np.concatenate(parts, axis=1), axis=1) if spare else parts[0]
-    return both[0], both[1]
+    index, anchor = np.concatenate(parts, axis=1)
+    if spare:  # an anchor found with several shares of the spare bits
+        order = np.lexsort((anchor, index))
+        index, anchor = index[order], anchor[order]
+        new = np.concatenate(([True], (index[1:] != index[:-1]) | (anchor[1:] != anchor[:-1]))) if len(index) else np.zeros(0, bool)
+        index, anchor = index[new], anchor[new]
+    return index, anchor
 
 
 # ---- links -------------------------------------------------------------------------------
@@ -196,15 +202,21 @@ def spanning_links(anchor: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndar
     return np.stack([values[k], values[roots[k]]])
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, spare: int | None = None) -> DataFrame:
     """``fp`` (distinct) -> ``a, b``: links whose closure is that of all pairs within
-    ``max_bits``. One shuffle, of some ten (anchor, fp) pairs to a fingerprint."""
+    ``max_bits``. One shuffle, of some sixty (anchor, fp) pairs to a fingerprint at 2 bits, or
+    ten with a ``spare`` of 1; links are lost below half of ``max_bits``, which is refused."""
+    spare = max_bits if spare is None else spare
+    if 2 * spare < max_bits:
+        raise ValueError("anchors must reach at least half of the threshold beyond the covering radius")
 
     def replicate(batches):
         for b in batches:
-            fp = b.column(0).to_numpy()
-            index, anchor = anchors_of(fp, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[index])], ["anchor", "fp"])
+            every = b.column(0).to_numpy()
+            for at in range(0, len(every), 4096):
+                fp = every[at : at + 4096]
+                index, anchor = anchors_of(fp, spare)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[index])], ["anchor", "fp"])
 
     def compare(batches):
         for t in whole_groups(batches, "anchor"):
@@ -216,7 +228,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, spare: int | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs``.
 
     component_id is the smallest doc_id that links of at most ``max_bits`` bits reach. Equal
@@ -231,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """
     rows = staged(with_fingerprints(docs, shingle), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = staged(connected_components(fingerprint_links(classes, max_bits)), "roots")
+    roots = staged(connected_components(fingerprint_links(classes, max_bits, spare)), "roots")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
     first = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "first")

@@ -79,3 +79,21 @@ def test_odd_rows(spark):
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11)]
     assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (10, 3, 1, False), (None, 0, None, None), *alone], key=str)
     assert E.near_duplicate_vectors(df.limit(0)).collect() == []
+
+
+def test_stored_codes_and_reruns(spark):
+    rng = np.random.default_rng(2)
+    codes, factors = E.encode(rng.normal(size=(50, 64)) / 8)
+    assert np.array_equal(E.unpack_codes(E.pack_codes(codes)), codes) and len(E.pack_codes(codes)[0].as_py()) == 32
+    rows = [(i, v) for i, v in enumerate(clustered(400, 24, 5))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    first, again = (sorted(map(tuple, E.near_duplicate_vectors(d, tile=64).collect())) for d in (df, df.repartition(7).orderBy("embedding")))
+    assert first == again
+
+
+def test_default_miss_against_brute_force(spark):
+    rows = [(i, v) for i, v in enumerate(clustered(700, 48, 11))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = brute(rows)
+    assert sum(n for n, _ in got.values()) >= 0.998 * sum(n for n, _ in want.values()) > 1000
+    assert all(got[d][0] <= n for d, (n, _) in want.items())

@@ -89,3 +89,28 @@ def test_long_chain_is_one_component(spark):
 
     links = spark.range(200).selectExpr("id as a", "id + 1 as b")
     assert {(r.node, r.root) for r in connected_components(links).collect()} == {(i, 0) for i in range(201)}
+
+
+def test_half_of_the_threshold_finds_the_same_links(spark):
+    rng = np.random.default_rng(9)
+    fp = rng.integers(0, 2**64, 400, np.uint64)
+    near = fp[:200].copy()
+    for i in range(len(near)):
+        for b in rng.choice(64, rng.integers(1, 4), replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(b)
+    values = np.unique(np.concatenate((fp, near))).view(np.int64).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+
+    def roots(spare):
+        label = {v: v for v in values}
+        links = [(r.a, r.b) for r in S.fingerprint_links(df, 2, spare).collect()]
+        for _ in range(50):
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    whole = roots(None)
+    assert whole == roots(2) == roots(1) and 100 < sum(k != v for k, v in whole.items())
+    assert len(S.anchors_of(fp.view(np.int64), 2)[0]) > 4 * len(S.anchors_of(fp.view(np.int64), 1)[0])
+    with __import__("pytest").raises(ValueError):
+        S.fingerprint_links(df, 2, 0)
