@@ -1,28 +1,36 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer
-network in NumPy whose probabilities are calibrated by a temperature."""
+network in NumPy whose probabilities are calibrated by a temperature.
+
+Vocabulary and word vectors are statistics of all documents outside the held-out fold, summed
+in Spark. Only the small network is fitted on a bounded sample of labelled rows, of which the
+driver gets the pooled vectors, not the texts.
+"""
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections import Counter
-from itertools import islice
+from collections.abc import Iterator
+from itertools import chain, islice
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import held_out, table
 
-#: The classifier and its word vectors are fitted on about this many labelled rows, chosen by
-#: hash, none of them longer than MAX_CHARS; scores are of whole texts of any length.
+#: The network is fitted on about this many labelled rows, chosen by hash.
 FIT_ROWS = 3000
-MAX_CHARS = 12_000
 #: Score from which a document counts as good.
 KEEP_FROM = 0.3
+#: Units that have a vector: the most frequent ones, each seen more often than LEAST_SEEN.
 VOCABULARY = 20_000
+LEAST_SEEN = 2
 DIMENSIONS = 48
 #: Entries of an index vector that are not zero, and units to either side that a word vector adds.
 NON_ZERO = 6
@@ -58,24 +66,96 @@ def index_vector(unit: str) -> np.ndarray:
     return v
 
 
-def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
+class _Units(dict):
+    """Word -> what ``of`` makes of its units; a word seen before costs a lookup."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        out = self[word] = self.of(units(word))
+        return out
+
+
+def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
+    """The ``size`` most frequent units of all texts, each counted once per distinct word of a
+    document, by rank. Tasks count their own texts; the driver gets the top only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Units(tuple)
+        for b in batches:
+            words: Counter[str] = Counter()
+            for text in b.column(0):
+                words.update(set((text.as_py() or "").split()))
+            seen: Counter[str] = Counter()
+            for w, n in words.items():
+                for u in known[w]:
+                    seen[u] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") > LEAST_SEEN).orderBy(F.col("n").desc(), "unit").limit(size).collect()
+    return {r["unit"]: i for i, r in enumerate(top)}
+
+
+def neighbour_sums(ids: np.ndarray, base: np.ndarray, out: np.ndarray, seen: int = 0) -> None:
+    """Add to ``out`` the index vectors of each unit's neighbours up to WINDOW places away;
+    negative ids are no units and part texts. Pairs among the first ``seen`` ids, which a part
+    before ended in, are not counted again."""
+    n = len(base)
+    for k in range(1, WINDOW + 1):
+        skip = max(0, seen - k)
+        a, b = ids[skip : len(ids) - k], ids[skip + k :]
+        ok = (a >= 0) & (b >= 0)
+        a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
+        pairs, times = np.unique(np.concatenate((a * n + b, b * n + a)), return_counts=True)
+        if not len(pairs):
+            continue
+        unit, other = pairs // n, pairs % n
+        first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        out[unit[first]] += np.add.reduceat(base[other] * times[:, None].astype(np.int32), first, axis=0)
+
+
+def word_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     """Random indexing: a unit's vector sums its own index vector and those of its neighbours,
-    over all its places, at length one."""
-    docs = [[u for w in t.split() for u in units(w)] for t in texts]
-    seen = Counter(u for d in docs for u in set(d))
-    kept = sorted((u for u, n in seen.items() if n > 2), key=lambda u: (-seen[u], u))[:VOCABULARY]
-    vocabulary = {u: i for i, u in enumerate(kept)}
-    base = np.array([index_vector(u) for u in kept], np.float32).reshape(-1, DIMENSIONS)
-    out = base.copy()
-    for d in docs:
-        ids = np.array([vocabulary.get(u, -1) for u in d])
-        for k in range(1, WINDOW + 1):
-            a, b = ids[:-k], ids[k:]
-            ok = (a >= 0) & (b >= 0)
-            a, b = a[ok], b[ok]
-            np.add.at(out, a, base[b])
-            np.add.at(out, b, base[a])
-    return vocabulary, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+    over all its places in all texts, at length one. Sums are of whole numbers, so no order of
+    tasks changes them; a task sends a row per unit that it met, the driver gets the sums."""
+    base = np.array([index_vector(u) for u in vocabulary], np.int32).reshape(-1, DIMENSIONS)
+    if not len(vocabulary):
+        return np.zeros((0, DIMENSIONS), np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Units(lambda own: tuple(vocabulary.get(u, -1) for u in own))
+        sums = np.zeros((len(vocabulary), DIMENSIONS), np.int64)
+        held: list[np.ndarray] = []
+        size = seen = 0
+        for b in batches:
+            for text in b.column(0):
+                words = (text.as_py() or "").split()
+                held.append(np.full(WINDOW, -1, np.int32))
+                for at in range(0, len(words), 200_000):
+                    held.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words[at : at + 200_000])), np.int32))
+                    size += len(held[-1])
+                    if size > 1_000_000:
+                        ids = np.concatenate(held)
+                        neighbour_sums(ids, base, sums, seen)
+                        held, size, seen = [ids[-WINDOW:]], 0, WINDOW
+        if held:
+            neighbour_sums(np.concatenate(held), base, sums, seen)
+        met = np.flatnonzero(sums.any(1)).astype(np.int32)
+        for at in range(0, len(met), 2000):
+            part = met[at : at + 2000]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * DIMENSIONS), pa.array(sums[part].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(part), lists], ["unit", "v"])
+
+    each = docs.select("text").mapInArrow(run, "unit int, v array<long>")
+    found = each.groupBy("unit").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIMENSIONS)]).toArrow()
+    out = base.astype(np.float64)
+    if found.num_rows:
+        out[found.column(0).to_numpy()] += np.column_stack([c.to_numpy() for c in found.columns[1:]])
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 class Pooler:
@@ -172,33 +252,45 @@ class Network:
 
 class Classifier:
     """What is sent to the executors: a vocabulary, its vectors and a small network, all of
-    fixed size. Without both labels to learn from, every score is the labels' mean (or 1)."""
+    fixed size. Without both labels to learn from there is no network, and every score is the
+    labels' mean, or 1 without any."""
 
-    def __init__(self, texts: list[str | None], labels: list[int]):
-        y = np.array(labels, np.float64)
-        self.constant = None if len(set(labels)) > 1 else float(y.mean()) if len(y) else 1.0
-        if self.constant is None:
-            self.pooler = Pooler(*word_vectors([t or "" for t in texts]))
-            self.network = Network().fit(np.array([self.pooler.pool(t) for t in texts], np.float64), y)
+    def __init__(self, pooler: Pooler, x: np.ndarray, y: np.ndarray):
+        self.pooler, self.network, self.constant = pooler, None, None
+        if len(set(y.tolist())) > 1:
+            self.network = Network().fit(x, y)
+        else:
+            self.constant = float(y.mean()) if len(y) else 1.0
+            warnings.warn(f"no two labels to learn quality from: every document scores {self.constant}", stacklevel=3)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if self.constant is not None or not len(texts):
+        if self.network is None or not len(texts):
             return np.full(len(texts), 0.0 if self.constant is None else self.constant)
         return self.network.probability(np.array([self.pooler.pool(t) for t in texts], np.float64))
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_chars: int = MAX_CHARS) -> Classifier:
-    """Fit on labelled documents outside the held-out fold. The driver gets about ``fit_rows``
-    texts of at most ``max_chars`` characters."""
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
+    """Word vectors from all documents outside the held-out fold; the network from about
+    ``fit_rows`` labelled ones of them, whatever their length, chosen by the hash of doc_id.
+    Texts stay on the executors. Null labels and labels without a document are ignored."""
+    open_docs = docs.where(~held_out(F.col("doc_id")))
+    vocabulary = vocabulary_of(open_docs)
+    pooler = Pooler(vocabulary, word_vectors(open_docs, vocabulary))
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "quality")
     total = known.count()
     share = min(1.0, fit_rows / total) if total else 0.0
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * fit_rows)
+
+    @F.pandas_udf("array<float>")
+    def pooled(texts: pd.Series) -> pd.Series:
+        return pd.Series([pooler.pool(t) for t in texts])
+
     # broadcast: at most 2 x fit_rows ids
-    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("doc_id", "text", "quality").limit(2 * fit_rows).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["quality"]))
-    return Classifier([r["text"] for r in rows], [int(r["quality"] > 0) for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("doc_id", "quality", pooled("text").alias("x")).limit(2 * fit_rows).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["x"], r["quality"]))
+    x = np.array([r["x"] for r in rows], np.float64).reshape(-1, DIMENSIONS + 4)
+    return Classifier(pooler, x, np.array([r["quality"] > 0 for r in rows], np.float64))
 
 
 def score_of(model: Classifier, text: str = "text") -> Column:
@@ -224,7 +316,8 @@ def score_documents(docs: DataFrame, model: Classifier, keep_from: float = KEEP_
 
 
 def keep_good(docs: DataFrame, model: Classifier, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows, all columns as they are, that score ``keep_from`` or more."""
+    """The rows, all columns as they are, that score ``keep_from`` or more; null and empty
+    texts have a score, too. Repeated rows stay or go together."""
     return docs.where(score_of(model) >= keep_from)
 
 

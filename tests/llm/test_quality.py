@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tapeloom.llm import quality as Q
 
@@ -11,16 +12,48 @@ def test_units():
     assert Q.units("|") == ["~|", "=|"]
 
 
-def test_word_vectors_follow_neighbours():
-    texts = ["red apple sweet", "red apple sweet", "red apple sweet", "green pear sweet", "green pear sweet", "green pear sweet", "bolt nut steel", "bolt nut steel", "bolt nut steel"]
-    known, v = Q.word_vectors(texts)
+def learned(spark, texts):
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    known = Q.vocabulary_of(docs)
+    return known, Q.word_vectors(docs, known)
+
+
+def test_word_vectors_follow_neighbours(spark):
+    texts = ["red apple sweet", "red apple sweet", "red apple sweet", "green pear sweet", "green pear sweet", "green pear sweet", "bolt nut steel", "bolt nut steel", "bolt nut steel", None]
+    known, v = learned(spark, texts)
     near = v[known["apple"]] @ v[known["pear"]]
     assert np.allclose(np.linalg.norm(v, axis=1), 1, atol=1e-5)
     assert near > v[known["apple"]] @ v[known["steel"]]
 
 
-def test_pooling_matches_a_plain_mean():
-    known, v = Q.word_vectors(["a b c d a b"] * 5)
+def test_vectors_against_plain_loops(spark, sf):
+    """All texts of the table, one of them over the size at which sums are taken."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:60] + ["alpha beta, gamma delta. " * 90_000]
+    known, v = learned(spark, texts)
+    seen, want = {}, {}
+    ids = [[known.get(u) for w in t.split() for u in Q.units(w)] for t in texts]
+    for t in texts:
+        for w in set(t.split()):
+            for u in Q.units(w):
+                seen[u] = seen.get(u, 0) + 1
+    assert known == {u: i for i, u in enumerate(sorted((u for u, n in seen.items() if n > Q.LEAST_SEEN), key=lambda u: (-seen[u], u)))}
+    base = np.array([Q.index_vector(u) for u in known], np.float64)
+    pairs = {}
+    for own in ids:
+        for k in range(1, Q.WINDOW + 1):
+            for a, b in zip(own, own[k:], strict=False):
+                if a is not None and b is not None:
+                    pairs[a, b] = pairs.get((a, b), 0) + 1
+    want = base.copy()
+    for (a, b), n in pairs.items():
+        want[a] += n * base[b]
+        want[b] += n * base[a]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(v, want, atol=1e-6)
+
+
+def test_pooling_matches_a_plain_mean(spark):
+    known, v = learned(spark, ["a b c d a b"] * 5)
     p = Q.Pooler(known, v)
     us = [u for w in "a b zzz a a".split() for u in Q.units(w)]
     want = sum(v[known[u]] for u in us if u in known) / len(us)
@@ -49,6 +82,11 @@ def test_query_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     out = [r for r in got if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in out) / len(out) > 0.97
+    # scores are those that the model gives one text at a time
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = Q.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(abs(r.score - model.score([text[r.doc_id]])[0]) < 1e-9 for r in got[::50])
 
 
 def test_odd_rows(spark):
@@ -62,6 +100,7 @@ def test_odd_rows(spark):
     assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 200)
     kept = Q.keep_good(docs, m)
     assert kept.columns == docs.columns
-    none = Q.learn(docs, labels.limit(0))
+    with pytest.warns(UserWarning, match="quality"):
+        none = Q.learn(docs, labels.limit(0))
     assert {r.score for r in Q.score_documents(docs, none).collect()} == {1.0}
     assert Q.score_documents(docs.limit(0), m).collect() == []
