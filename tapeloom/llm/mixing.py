@@ -80,7 +80,7 @@ def mix(
 
     Per row of ``docs``: doc_id, size, source_size, target, taken, copies, first_position,
     and what ``position`` needs. Within a source, documents stand in the
-    order of md5(doc_id), so reruns agree. A source's cumulative demand runs to its target:
+    order of md5(doc_id), or of their text's where that is null, so reruns agree. A source's cumulative demand runs to its target:
     whole passes first, then one that ends where the target falls, so ``taken`` sums to the
     target (rounded down). The document in which it falls counts the words up to there;
     ``copies`` counts it whole. A document's position inverts the source's integrated schedule
@@ -91,25 +91,30 @@ def mix(
     together; a source with a third of all rows is dealt over all its chunks.
 
     Null text and white space give size 0, which takes nothing. A null source is a source of
-    its own. Null doc_ids stand first in their chunk; repeated rows are rows of their own.
+    its own. Repeated rows and doc_ids are rows of their own.
     An empty table gives an empty result. Columns not named here are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_order")
-    )
+    rows = staged(_sized(docs).select("doc_id", "source", "size", "_order", "_source", "_chunk"), "mix-rows")
     return _positions(rows, weights, max_repeats, schedules)
 
 
-def _positions(rows, weights, max_repeats, schedules):
+def _sized(docs: DataFrame) -> DataFrame:
+    """``docs`` as a struct, with what decides a row's place and size."""
+    by_text = F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), by_text).cast("binary"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_order"), F.xxhash64("text").alias("_text"), F.struct("*").alias("_row"))
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # never null, so that window and join share one shuffle
-    rows = staged(rows.withColumns({"_source": named, "_chunk": F.substring("_order", 1, CHUNK_DIGITS)}), "mix-rows")
+    return rows.withColumns({"_source": named, "_chunk": F.substring("_order", 1, CHUNK_DIGITS)})
+
+
+def _positions(rows, weights, max_repeats, schedules, carried=()):
     chunks = staged(rows.groupBy("_source", "_chunk").agg(F.sum("size").alias("chunk_size"), F.min("source").alias("source")), "mix-chunks")
     sources = chunks.groupBy("_source").agg(F.sum("chunk_size").alias("source_size"), F.min("source").alias("source"))
     targets = source_targets(sources, weights, max_repeats)
     along = Window.partitionBy("_source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.select("_source", "_chunk", F.coalesce(F.sum("chunk_size").over(along), F.lit(0)).alias("chunk_start")).join(targets, "_source")
-    inside = Window.partitionBy("_source", "_chunk").orderBy("_order", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["_order", F.col("doc_id").asc_nulls_first(), "size", *[c for c in ("_text",) if c in carried]]
+    inside = Window.partitionBy("_source", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["_source", "_chunk"])
     start = F.col("chunk_start") + F.col("_inside")
     whole = F.floor(F.col("target")).cast("long")
@@ -120,7 +125,7 @@ def _positions(rows, weights, max_repeats, schedules):
     placed = placed.withColumn("taken", F.col("_passes") * F.col("size") + F.col("_part"))
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("_passes") + (F.col("_part") > 0).cast("long")).otherwise(F.lit(0)))
     placed = placed.withColumn("first_position", F.when(F.col("copies") > 0, position(F.col("_start"), schedules)))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position", "_start", "place")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position", "_start", "place", *carried)
 
 
 def position(offset: Column, schedules=SCHEDULES) -> Column:
@@ -132,22 +137,15 @@ def position(offset: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def copies_taken(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
-    """``doc_id, position``: one row per copy that the mix takes."""
-    n = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("_pass")
-    each = mixed.where("copies > 0").select("*", n)
-    each = each.withColumn("position", position(F.col("_start") + F.col("_pass") * F.col("source_size"), schedules))
-    return each.select("doc_id", "position")
-
-
-def mixed_documents(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
-    """Every document as often as the mix takes it, whole, range-sorted by training position,
-    with all columns as they are. Rows that repeat a doc_id are copies of one document; rows
-    with a null doc_id, and documents without a word, are not taken."""
-    taken = copies_taken(mix(docs, schedules=schedules), schedules)
-    taken = taken.select(F.col("doc_id").alias("_taken"), F.col("position").alias("_position"))
-    out = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id") == F.col("_taken"))
-    return out.orderBy("_position", "_taken").drop("_taken", "_position")
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it, whole, range-sorted by training
+    position, with all columns as they are. Rows are placed as ``mix`` places them: repeated
+    rows and doc_ids are rows of their own, those with a null doc_id too; documents without a
+    word are not taken. Texts go with their rows through the shuffle that numbers them."""
+    placed = _positions(_sized(docs), weights, max_repeats, schedules, ("_order", "_text", "_row"))
+    each = placed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("_pass"))
+    each = each.withColumn("_position", position(F.col("_start") + F.col("_pass") * F.col("source_size"), schedules))
+    return each.orderBy("_position", "_order", "_text", "_pass").select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +156,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH w AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '#' || md5(coalesce(text, '')))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (

@@ -1,8 +1,10 @@
 """Near-duplicates by the exact Jaccard similarity of their sets of word shingles.
 
-Bands of min-hashes only propose: texts that share a band are joined to the smallest of the
-band, and what hangs together is a block. Within a block sets are compared exactly. Blocks
-over a bound are dealt into tiles, and each two tiles are a group of their own.
+Anchors and bands only propose. SimHash fingerprints of the sets meet at their anchors
+(``simhash.fingerprint_links``), which finds close copies; at a similarity of 0.8 fingerprints
+are too far apart for that, so bands of min-hashes join texts, too. What hangs together is a
+block. Within a block sets are compared exactly. Blocks over a bound are dealt into tiles, and
+each two tiles are a group of their own.
 """
 
 from __future__ import annotations
@@ -15,9 +17,13 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import discard, staged
 from tapeloom.llm.components import connected_components
 from tapeloom.llm.grouped import group_bounds, whole_groups
+from tapeloom.llm.simhash import fingerprint_links
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
+#: Bits of 64 in which fingerprints of proposed pairs differ at most; anchors reach half of
+#: them beyond the covering radius, which is enough to meet.
+SIMHASH_BITS = 4
 #: A pair at 0.8 shares none of 40 bands of 8 min-hashes with a chance of 0.0007; one at 0.5
 #: shares some with 0.15, one at 0.3 with 0.003.
 BANDS, ROWS = 40, 8
@@ -66,25 +72,72 @@ def minima(sets: list[np.ndarray], odd: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_bands(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, h1, h2, text)`` -> ``doc_id, h1, h2, node, n, bands``: a number that equal
-    sets share, the set's size and its band keys. Whole texts, no shuffle."""
+def simhash_of(shingles: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set: a bit is set if it is in over half of the hashes."""
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(bits * 2 > len(shingles)).tobytes(), "little", signed=True)
+
+
+#: A row's key: whether its doc_id is null, the doc_id, two hashes of its text and one of all
+#: other columns. Rows of one key are the same row.
+KEY = ("no_id", "id", "h1", "h2", "h3")
+_KEY_SCHEMA = "no_id boolean, id long, h1 long, h2 long, h3 long"
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as the columns of ``KEY``, the text in UTF-8, and the whole row as a struct."""
+    other = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(F.to_json(F.struct(*other))) if other else F.lit(0).cast("long")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(
+        doc_id.isNull().alias("no_id"),
+        F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"),
+        F.xxhash64("text").alias("h1"),
+        F.xxhash64(F.lit(1), "text").alias("h2"),
+        rest.alias("h3"),
+        F.col("text").cast("binary").alias("text"),
+        F.struct("*").alias("row"),
+    )
+
+
+def with_bands(keyed: DataFrame) -> DataFrame:
+    """The key and text of rows -> the key, and ``node, n, fp, bands``: a number that equal sets
+    share, the set's size, SimHash and band keys. Whole texts, no shuffle."""
+    width = len(KEY)
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(3).to_pylist()]
+            sets = [shingle_set(t) for t in b.column(width).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            node, keys = np.zeros(len(sets), np.uint64), np.zeros((0, BANDS), np.uint64)
+            node, fp, keys = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.int64), np.zeros((0, BANDS), np.uint64)
             if len(full):
                 node[full] = mix(np.array([mix(sets[i] ^ np.uint64(0x5EED)).sum() for i in full], np.uint64))
+                fp[full] = [simhash_of(sets[i]) for i in full]
                 found = minima([sets[i] for i in full], _BAND).reshape(len(full), BANDS, ROWS)
                 keys = mix((found * _ROW).sum(2) + np.arange(BANDS, dtype=np.uint64))
             ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node.view(np.int64)), pa.array(sizes), lists], ["doc_id", "h1", "h2", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(node.view(np.int64)), pa.array(sizes), pa.array(fp), lists], [*KEY, "node", "n", "fp", "bands"])
+
+    return keyed.select(*KEY, "text").mapInArrow(run, f"{_KEY_SCHEMA}, node long, n long, fp long, bands array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, node long, n long, bands array<long>")
+def proposed_pairs(classes: DataFrame) -> DataFrame:
+    """``classes(node, fp, bands)`` -> ``a, b``: each node with the smallest one of each of its
+    bands and of its fingerprint, and the smallest of two fingerprints that meet at an anchor."""
+    each = classes.select("node", F.explode("bands").alias("key"))
+    first = each.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("key", "least")
+    by_band = each.join(first, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    # the empty set is a class of its own, whatever its fingerprint
+    prints = staged(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("least")), "set-prints")
+    near = fingerprint_links(prints.select("fp"), SIMHASH_BITS, (SIMHASH_BITS + 1) // 2)
+    one, two = prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), prints.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    by_anchor = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = classes.where("n > 0").join(prints, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    out = staged(by_band.union(by_anchor).union(same).distinct(), "set-proposals")
+    discard(prints)
+    return out
 
 
 def connecting_pairs(sets: list[np.ndarray], tile: np.ndarray, min_similarity: float) -> list[tuple[int, int]]:
@@ -110,19 +163,17 @@ def connecting_pairs(sets: list[np.ndarray], tile: np.ndarray, min_similarity: f
     return out
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, min_similarity: float = MIN_SIMILARITY, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+def similar_links(keyed: DataFrame, rows: DataFrame, min_similarity: float = MIN_SIMILARITY, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """``a, b``: nodes whose sets are at least ``min_similarity`` alike, as many links as connect
     them. Texts of blocks, and no others, are read again for their sets."""
-    classes = staged(rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.min(F.struct("doc_id", "h1", "h2")).alias("row")), "set-classes")
-    each = classes.select("node", F.explode("bands").alias("key"))
-    first = each.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("key", "least")
-    joined = each.join(first, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    blocks = staged(connected_components(joined), "set-blocks")
+    classes = staged(rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.min(F.struct(*KEY)).alias("row")), "set-classes")
+    proposed = proposed_pairs(classes)
+    blocks = staged(connected_components(proposed), "set-blocks")
     members = blocks.join(classes.select("node", "n", "row.*"), "node")
     totals = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
-    members = staged(members.join(totals, "root").select("doc_id", "h1", "h2", "node", "root", "tiles"), "set-members")
-    discard(blocks, classes)
-    texts = docs.join(members, ["doc_id", "h1", "h2"]).select("node", "root", "tiles", "text")
+    members = staged(members.join(totals, "root").select(*KEY, "node", "root", "tiles"), "set-members")
+    discard(blocks, classes, proposed)
+    texts = keyed.select(*KEY, "text").join(members, list(KEY)).select("node", "root", "tiles", "text")
 
     def sets(batches):
         for b in batches:
@@ -151,14 +202,29 @@ def similar_links(docs: DataFrame, rows: DataFrame, min_similarity: float = MIN_
     return links
 
 
-def first_rows(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """``doc_id, h1, h2`` of ``docs(doc_id, h1, h2, text)``: the smallest of each group that
-    similar texts connect. Texts without words are equal."""
-    rows = staged(with_bands(docs), "set-rows")
-    links = similar_links(docs, rows, min_similarity, tile_texts, tile_shingles)
+def first_rows(keyed: DataFrame, min_similarity: float = MIN_SIMILARITY, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """The keys of the smallest row of each group that similar texts connect. Texts without
+    words are equal."""
+    rows = staged(with_bands(keyed), "set-rows")
+    links = similar_links(keyed, rows, min_similarity, tile_texts, tile_shingles)
     roots = staged(connected_components(links), "set-roots")
     discard(links)
-    named = rows.select("doc_id", "h1", "h2", "node").join(roots, "node", "left")
-    first = staged(named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct("doc_id", "h1", "h2")).alias("row")).select("row.*"), "set-first")
+    named = rows.select(*KEY, "node").join(roots, "node", "left")
+    first = staged(named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct(*KEY)).alias("row")).select("row.*"), "set-first")
     discard(rows, roots)
     return first
+
+
+def keep_first(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, **tiles: int) -> DataFrame:
+    """One row, all columns as they are, of each group of ``docs`` that links of an exact
+    shingle similarity of at least ``min_similarity`` connect: the one with the smallest doc_id.
+
+    Rows with a null doc_id come after all others, so one of them stays only for a group of
+    nothing else. Among rows of one doc_id hashes of the text and of all other columns decide;
+    rows that are equal throughout are one. Null texts and texts without words are equal. An
+    empty table gives an empty result. Texts are shuffled twice.
+    """
+    keyed = keyed_rows(docs)
+    first = first_rows(keyed, min_similarity, **tiles)
+    out = keyed.drop("text").join(first, list(KEY), "left_semi").dropDuplicates(list(KEY))
+    return out.select("row.*")

@@ -1,7 +1,6 @@
 import numpy as np
 
 from tapeloom.llm import shingle_sets as J
-from tapeloom.llm import simhash_wide as S
 
 
 def shingles(text):
@@ -38,13 +37,13 @@ def test_pairs_at_the_limit_against_brute_force(spark):
     rows = edited_pairs()
     want = brute_first(rows)
     assert 240 < len(want) < 360
-    got = sorted(r.doc_id for r in S.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted(r.doc_id for r in J.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == want
 
 
 def test_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    assert sorted(r.doc_id for r in S.keep_first(docs).collect()) == brute_first([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(r.doc_id for r in J.keep_first(docs).collect()) == brute_first([(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_hot_block_in_tiles(spark):
@@ -52,8 +51,8 @@ def test_hot_block_in_tiles(spark):
     rng, base = np.random.default_rng(6), [f"b{i}" for i in range(200)]
     rows = [(k, " ".join(base + [f"t{v}" for v in rng.integers(0, 10**6, 60)])) for k in range(60)]
     rows += [(100 + k, rows[k][1] + " and some more") for k in range(0, 60, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) h1", "xxhash64(1, text) h2", "cast(text as binary) text")
-    got = sorted(r.doc_id for r in J.first_rows(docs, tile_texts=10).collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in J.keep_first(docs, tile_texts=10).collect())
     assert got == brute_first(rows) == list(range(60))
 
 
@@ -61,3 +60,37 @@ def test_tiles_compare_only_between_each_other():
     sets = [J.shingle_set(" ".join(f"w{i}" for i in range(k % 2, 200 + k % 2)).encode()) for k in range(4)]
     assert len(J.connecting_pairs(sets, np.zeros(4, int), 0.8)) == 3
     assert {tuple(sorted(p)) for p in J.connecting_pairs(sets[:2], np.array([0, 1]), 0.8)} == {(0, 1)}
+
+
+def test_fingerprint_of_a_set():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 300):
+        x = rng.integers(0, 2**63, n, np.uint64) * np.uint64(2) + rng.integers(0, 2, n, np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > n)
+        got = J.simhash_of(x) & (2**64 - 1)
+        # bytes are read in the machine's order, bits of a byte from the top: one fixed order of bits
+        assert bin(got).count("1") == bin(want).count("1")
+
+
+def test_anchors_alone_propose_close_copies(spark):
+    """Without bands, fingerprints within four bits and equal ones are proposed by op10's links."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(-(2**62), 2**62, 40)
+    rows = [(int(k), int(v), 9, []) for k, v in enumerate(values)] + [(100 + int(k), int(v ^ 0b1010011), 9, []) for k, v in enumerate(values)] + [(300, int(values[0]), 9, []), (400, 0, 0, []), (401, 0, 5, [])]
+    classes = spark.createDataFrame(rows, "node long, fp long, n long, bands array<long>")
+    got = {(r.a, r.b) for r in J.proposed_pairs(classes).collect()}
+    assert {tuple(sorted(p)) for p in got} == {(k, 100 + k) for k in range(40)} | {(0, 300)}
+
+
+def test_odd_rows(spark):
+    text = "one two three four five six seven eight nine ten " * 20
+    rows = [(1, text, "a"), (2, text.upper(), "a"), (2, text.upper(), "a"), (3, None, None), (4, "", "b"), (5, " \t", "b"), (None, text, "a"), (6, "short text", "a"), (7, "unlike all the others here", "a"),
+            (7, "a second text under the same number", "a"), (None, "a text without a number", None), (None, "a text without a number", None), (None, None, "c"), (8, "same text and number", "z"), (8, "same text and number", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as h1", "2 as `row`", "3 as node", "4 as _first")
+    kept = J.keep_first(docs)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    assert got == sorted([(1, text), (3, None), (6, "short text"), (7, "unlike all the others here"), (7, "a second text under the same number"), (None, "a text without a number"), (8, "same text and number")], key=str)
+    one = [r.source for r in J.keep_first(docs).collect() if r.doc_id == 8]
+    assert one == [r.source for r in J.keep_first(docs.orderBy("source")).collect() if r.doc_id == 8]  # not by chance
+    assert J.keep_first(docs.limit(0)).collect() == []
