@@ -8,6 +8,7 @@ then find their place by their rank within their length.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -26,22 +27,34 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CHUNKS = 64
-#: Entries to a worker's word cache before it starts anew; results don't depend on it.
-CACHE_WORDS = 400_000
+#: Bytes, about, that a worker's word cache may take before it starts anew, and what an entry
+#: takes besides its word and ids; results don't depend on it.
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 180
 
 
 # ---- tokens ------------------------------------------------------------------------------
 class WordCoder(dict):
     """UTF-8 word -> its ids as little-endian 32-bit bytes, from the ``tokenizers`` model.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words. A word seen before costs a lookup. Words of printable ASCII and Latin-1 are
-    split by the tokenizer's own pattern and given to its model; all others go through its
-    whole pipeline.
+    A tokenizer of the known kind drops white space and never joins across it, so a text's ids
+    are those of its words, and a word seen before costs a lookup. Words of printable ASCII and
+    Latin-1 are split by the tokenizer's own pattern and given to its model; all others go
+    through its whole pipeline. The file says whether it is of that kind; the texts of any
+    other tokenizer go through its pipeline whole.
     """
 
-    #: The tokenizer's splitting pattern, with Latin-1's letters and numbers
-    #: spelled out, and the characters that pattern is known for.
+    #: The known normalizer and pre-tokenizer, its pattern with Latin-1's letters
+    #: and numbers spelled out, and the characters that the spelling holds for.
+    _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
     _LETTERS = "a-zªµºß-öø-ÿ"
     _NUMBERS = "0-9²³¹¼-¾"
     _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
@@ -51,34 +64,53 @@ class WordCoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.by_word = (
+            (parts["normalizer"], parts["pre_tokenizer"], parts["post_processor"]) == (self._NORMALIZER, self._PRE_TOKENIZER, None)
+            and parts["model"]["type"] == "BPE"
+            and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        )
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
+        self.size = 0
         # byte-level alphabet: printable bytes stand for themselves, others follow from 256
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.alphabet = [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
+    def _room_for(self, entry: int) -> None:
+        self.size += ENTRY_BYTES + entry
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.parts.clear()
+            self.size = ENTRY_BYTES + entry
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         if self._PLAIN.fullmatch(text) and "<|" not in text:
             out = b"".join([self.parts.get(p) or self.part(p) for p in self._SPLIT.findall(text.lower())])
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+            out = self._encode(text)
+        self._room_for(len(word) + len(out))
         self[word] = out
         return out
 
     def part(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in part.encode()]))]
-        if len(self.parts) >= CACHE_WORDS:
-            self.parts.clear()
-        self.parts[part] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        self._room_for(2 * len(part) + len(out))
+        self.parts[part] = out
         return out
 
     def ids(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        if not text:
+            return b""
+        return b"".join(map(self.__getitem__, text.split())) if self.by_word else self._encode(text.decode())
 
 
 _CODERS: dict[str, WordCoder] = {}

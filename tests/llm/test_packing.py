@@ -3,6 +3,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -126,3 +127,29 @@ def test_odd_rows_and_sequences(spark, tokenizer):
     want = [i for _, t in rows for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]]
     assert Counter(ids) == Counter(want)
     assert P.pack_documents(docs.limit(0), PATH, 16).collect() == []
+
+
+def test_words_and_whole_texts_give_the_same_ids(tmp_path):
+    """A tokenizer file of another kind is never taken apart word by word."""
+    import json
+
+    path = P.default_tokenizer()
+    known = P.WordCoder(path)
+    parts = json.load(open(path, encoding="utf-8"))
+    other = tmp_path / "other.json"
+    parts["normalizer"] = None
+    other.write_text(json.dumps(parts), encoding="utf-8")
+    unknown = P.WordCoder(str(other))
+    assert known.by_word and not unknown.by_word
+    for text in ("It's a Test, 12½ x", "ÀÉ naïve <|endoftext|> don't", "日本 é   z", "a" * 3000 + " b"):
+        for c in (known, unknown):
+            want = c.tokenizer.encode(text, add_special_tokens=False).ids
+            assert c.ids(text.encode()) == np.array(want, "<u4").tobytes()
+
+
+def test_cache_stays_within_its_bytes(monkeypatch):
+    monkeypatch.setattr(P, "CACHE_BYTES", 4000)
+    c = P.WordCoder(P.default_tokenizer())
+    text = " ".join(f"word{i} {i}x" for i in range(500))
+    assert c.ids(text.encode()) == np.array(c.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert c.size <= 4000 + 2000 and len(c) + len(c.parts) < 40
