@@ -13,16 +13,15 @@ import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice
-from operator import eq
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import held_out, table
+from tapeloom.llm.common import discard, held_out, staged, table
 
 #: The network is fitted on about this many labelled rows, chosen by hash.
 FIT_ROWS = 3000
@@ -32,13 +31,14 @@ KEEP_FROM = 0.3
 VOCABULARY = 20_000
 LEAST_SEEN = 2
 DIMENSIONS = 48
-#: Entries of an index vector that are not zero, and units to either side that a word vector adds.
+#: Entries of an index vector that are not zero, and words to either side that a word vector adds.
 NON_ZERO = 6
 WINDOW = 2
 HIDDEN = 24
 EPOCHS = 60
 SEED = 7
-CACHE_WORDS = 300_000
+#: Words whose vectors a worker keeps before it starts anew; results don't depend on it.
+CACHE_WORDS = 100_000
 
 _PARTS = re.compile(r"\w+|[^\w\s]+")
 
@@ -46,6 +46,8 @@ _PARTS = re.compile(r"\w+|[^\w\s]+")
 def units(word: str) -> list[str]:
     """A word's units: each letter run in lower case, each run of signs as it is, and the
     shape of the whole."""
+    if word.isalnum():
+        return [word.lower(), "=0" if word.isdigit() else "=X" if word.isupper() and len(word) > 1 else "=x"]
     out, shape = [], []
     for part in _PARTS.findall(word):
         if part[0].isalnum() or part[0] == "_":
@@ -66,84 +68,159 @@ def index_vector(unit: str) -> np.ndarray:
     return v
 
 
-class _Units(dict):
-    """Word -> what ``of`` makes of its units; a word seen before costs a lookup."""
-
-    def __init__(self, of):
-        self.of = of
-
-    def __missing__(self, word: str):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = self.of(units(word))
-        return out
+def sums_of_runs(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums over the runs of rows of whole numbers that begin at ``first``."""
+    upto = np.cumsum(x, axis=0, dtype=np.int64)[np.concatenate((first[1:], [len(x)])) - 1]
+    upto[1:] -= upto[:-1].copy()
+    return upto
+
+
+def grown(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """``x`` with ``more`` behind it, in place where the array that ``x`` begins has room."""
+    n, room = len(x), x.base
+    if room is None or room.ndim != x.ndim or len(room) < n + len(more):
+        room = np.empty((2 * (n + len(more)), *x.shape[1:]), x.dtype)
+        room[:n] = x
+    room[n : n + len(more)] = more
+    return room[: n + len(more)]
+
+
+class WordRows(dict):
+    """Word -> a row number from 1 on; row 0 is no word. ``settle`` gives the rows that are new
+    since its last call the ids of their units (negative: not in the vocabulary) and the sum of
+    their units' rows of ``each``, whose last row is for unknown units."""
+
+    def __init__(self, vocabulary: dict[str, int], each: np.ndarray):
+        self.vocabulary, self.each, self.new = vocabulary, each, []
+        self.sizes, self.ids, self.values = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros_like(each[:1])
+
+    def __missing__(self, word: str) -> int:
+        self.new.append([self.vocabulary.get(u, -1) for u in units(word)])
+        row = self[word] = len(self) + 1
+        return row
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        sizes, flat = np.array([len(x) for x in self.new]), np.array(list(chain.from_iterable(self.new)), np.int64)
+        self.new = []
+        made, starts, left, k = np.zeros((len(sizes), self.each.shape[1]), self.each.dtype), np.cumsum(sizes) - sizes, np.arange(len(sizes)), 0
+        while len(left):
+            made[left] += self.each[flat[starts[left] + k]]
+            k += 1
+            left = left[sizes[left] > k]
+        self.values, self.sizes, self.ids = grown(self.values, made), grown(self.sizes, sizes), grown(self.ids, flat)
+
+    def shrink(self) -> None:
+        """Forget words that have an unknown unit, which are seldom seen twice; all, if that
+        leaves more than half of CACHE_WORDS. Rows are numbered anew."""
+        self.settle()
+        unknown = np.zeros(len(self.sizes), bool)
+        unknown[np.repeat(np.arange(len(self.sizes)), self.sizes)[self.ids < 0]] = True
+        keep = np.flatnonzero(~unknown)[1:]
+        if len(keep) > CACHE_WORDS // 2:
+            keep = keep[:0]
+        names = list(self)  # in the order of their rows
+        self.clear()
+        for row in keep:
+            self[names[row - 1]] = len(self) + 1
+        stays = np.zeros(len(self.sizes), bool)
+        stays[keep] = True
+        self.ids = self.ids[np.repeat(stays, self.sizes)]
+        self.sizes = np.concatenate(([0], self.sizes[keep]))
+        self.values = np.concatenate((self.values[:1], self.values[keep]))
 
 
 def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
     """The ``size`` most frequent units of all texts, each counted once per distinct word of a
-    document, by rank. Tasks count their own texts; the driver gets the top only."""
+    document, by rank. Tasks count their own texts. The driver gets the top and ties with its
+    last unit only: a window over the distinct counts says where the top ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Units(tuple)
         for b in batches:
             words: Counter[str] = Counter()
             for text in b.column(0):
                 words.update(set((text.as_py() or "").split()))
-            seen: Counter[str] = Counter()
+            seen: dict[str, int] = {}
             for w, n in words.items():
-                for u in known[w]:
-                    seen[u] += n
+                for u in units(w):
+                    seen[u] = seen.get(u, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
     counts = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") > LEAST_SEEN).orderBy(F.col("n").desc(), "unit").limit(size).collect()
-    return {r["unit"]: i for i, r in enumerate(top)}
-
-
-def neighbour_sums(ids: np.ndarray, base: np.ndarray, out: np.ndarray, seen: int = 0) -> None:
-    """Add to ``out`` the index vectors of each unit's neighbours up to WINDOW places away;
-    negative ids are no units and part texts. Pairs among the first ``seen`` ids, which a part
-    before ended in, are not counted again."""
-    n = len(base)
+    counts = staged(counts.where(F.col("n") > LEAST_SEEN), "units")
+    more = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct count
+    least = counts.groupBy("n").agg(F.count("*").alias("units")).withColumn("before", F.coalesce(F.sum("units").over(more), F.lit(0)))
+    least = least.where(F.col("before") < size).agg(F.min("n")).first()[0]
+    top = counts.where(F.col("n") >= least).collect() if least is not None else []
+    discard(counts)
+    return {r["unit"]: i for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["unit"]))[:size])}
+
+
+def neighbour_sums(rows: np.ndarray, words: WordRows, out: np.ndarray, start: int = 0) -> None:
+    """Add to ``out``, a row per unit, the index vectors of all units of the words up to WINDOW
+    places beside each of its words. Rows of 0 are no words and part texts. Words before
+    ``start`` and the last WINDOW ones are only neighbours."""
+    words.settle()
+    beside = words.values[rows]
+    around = np.zeros((len(rows), DIMENSIONS), np.int32)
     for k in range(1, WINDOW + 1):
-        skip = max(0, seen - k)
-        a, b = ids[skip : len(ids) - k], ids[skip + k :]
-        ok = (a >= 0) & (b >= 0)
-        a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
-        pairs, times = np.unique(np.concatenate((a * n + b, b * n + a)), return_counts=True)
-        if not len(pairs):
-            continue
-        unit, other = pairs // n, pairs % n
+        around[k:] += beside[:-k]
+        around[:-k] += beside[k:]
+    at = np.arange(start, len(rows) - WINDOW)
+    at = at[rows[at] > 0]
+    at = at[np.argsort(rows[at], kind="stable")]
+    word = rows[at]
+    if not len(word):
+        return
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    sums, word = sums_of_runs(around[at], first), word[first]
+    sizes, flat = words.sizes, words.ids
+    starts, own = np.cumsum(sizes) - sizes, sizes[word]
+    at = np.repeat(starts[word], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    unit, source = flat[at], np.repeat(np.arange(len(word)), own)
+    unit, source = unit[unit >= 0], source[unit >= 0]
+    order = np.argsort(unit, kind="stable")
+    unit, source = unit[order], source[order]
+    if len(unit):
         first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        out[unit[first]] += np.add.reduceat(base[other] * times[:, None].astype(np.int32), first, axis=0)
+        out[unit[first]] += sums_of_runs(sums[source], first)
 
 
 def word_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """Random indexing: a unit's vector sums its own index vector and those of its neighbours,
-    over all its places in all texts, at length one. Sums are of whole numbers, so no order of
-    tasks changes them; a task sends a row per unit that it met, the driver gets the sums."""
+    """Random indexing: a unit's vector sums its own index vector and those of all units of the
+    neighbouring words, over all its places in all texts, at length one. Sums are of whole
+    numbers, so no order of tasks changes them; a task sends a row per unit that it met, the
+    driver gets the sums."""
     base = np.array([index_vector(u) for u in vocabulary], np.int32).reshape(-1, DIMENSIONS)
     if not len(vocabulary):
         return np.zeros((0, DIMENSIONS), np.float32)
+    padded = np.concatenate((base, np.zeros((1, DIMENSIONS), np.int32)))  # the last for unknown units
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Units(lambda own: tuple(vocabulary.get(u, -1) for u in own))
+        words = WordRows(vocabulary, padded)
         sums = np.zeros((len(vocabulary), DIMENSIONS), np.int64)
-        held: list[np.ndarray] = []
-        size = seen = 0
+        border = np.zeros(WINDOW, np.int64)
+        held, size, start = [border], 0, 0
         for b in batches:
             for text in b.column(0):
-                words = (text.as_py() or "").split()
-                held.append(np.full(WINDOW, -1, np.int32))
-                for at in range(0, len(words), 200_000):
-                    held.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words[at : at + 200_000])), np.int32))
+                own = (text.as_py() or "").split()
+                for at in range(0, len(own), 25_000):
+                    held.append(words.rows(own[at : at + 25_000]))
                     size += len(held[-1])
-                    if size > 1_000_000:
-                        ids = np.concatenate(held)
-                        neighbour_sums(ids, base, sums, seen)
-                        held, size, seen = [ids[-WINDOW:]], 0, WINDOW
-        if held:
-            neighbour_sums(np.concatenate(held), base, sums, seen)
+                    if size > 25_000:
+                        rows = np.concatenate(held)
+                        neighbour_sums(rows, words, sums, start)
+                        held, size, start = [rows[-2 * WINDOW :]], 0, WINDOW
+                held.append(border)
+                if len(words) > CACHE_WORDS:
+                    neighbour_sums(np.concatenate(held), words, sums, start)
+                    words.shrink()
+                    held, size, start = [border], 0, 0
+        neighbour_sums(np.concatenate([*held, border]), words, sums, start)
         met = np.flatnonzero(sums.any(1)).astype(np.int32)
         for at in range(0, len(met), 2000):
             part = met[at : at + 2000]
@@ -159,44 +236,41 @@ def word_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
 
 
 class Pooler:
-    """A text's mean word vector, and how much of it is known, repeated and distinct."""
+    """Texts' mean word vectors, and how much of them is known, repeated and distinct."""
 
     def __init__(self, vocabulary: dict[str, int], vectors: np.ndarray):
-        self.vocabulary, self.vectors = vocabulary, vectors
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.vocabulary, self.vectors, self.words = vocabulary, vectors, None
+        # of each unit its vector, whether it is known, and that it is one; the last for unknown units
+        self.each = np.zeros((len(vectors) + 1, DIMENSIONS + 2), np.float32)
+        self.each[:-1, :DIMENSIONS], self.each[:-1, DIMENSIONS], self.each[:, -1] = vectors, 1, 1
 
     def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "vectors": self.vectors, "known": {}}
-
-    def ids(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            found = self.known[word] = tuple(self.vocabulary.get(u, -1) for u in units(word))
-        return found
-
-    def pool(self, text: str | None) -> np.ndarray:
-        out = np.zeros(DIMENSIONS + 4, np.float32)
-        words = text.split() if text else []
-        if not words:
-            return out
-        counts = Counter(words)
-        ids, weights = [], []
-        for w, n in counts.items():
-            own = self.ids(w)
-            ids += own
-            weights += [n] * len(own)
-        ids, weights = np.array(ids), np.array(weights, np.float32)
-        ok = ids >= 0
-        if ok.any():
-            out[:DIMENSIONS] = weights[ok] @ self.vectors[ids[ok]] / weights.sum()
-        out[DIMENSIONS:] = (
-            weights[ok].sum() / weights.sum(),
-            sum(map(eq, words, islice(words, 1, None))) / len(words),
-            len(counts) / len(words),
-            np.log1p(len(words)) / 10,
-        )
+        return self.__dict__ | {"words": None}
+
+    def pool(self, texts: list[str | None]) -> np.ndarray:
+        """(texts, DIMENSIONS + 4). A text without words is all zeros."""
+        out, at = np.zeros((len(texts), DIMENSIONS + 4)), 0
+        while at < len(texts):
+            if self.words is None:
+                self.words = WordRows(self.vocabulary, self.each)
+            elif len(self.words) > CACHE_WORDS:
+                self.words.shrink()
+            held, owner, size = [], [], 0
+            while at < len(texts) and size < 25_000:
+                words = texts[at].split() if texts[at] else []
+                if words:
+                    held.append(self.words.rows(words))
+                    owner.append(at)
+                    out[at, -3:] = (np.count_nonzero(held[-1][1:] == held[-1][:-1]) / len(words), len(set(words)) / len(words), np.log1p(len(words)) / 10)
+                size += len(words)
+                at += 1
+            self.words.settle()
+            for row, own in zip(owner, held, strict=True):
+                total = np.zeros(DIMENSIONS + 2)
+                for part in range(0, len(own), 50_000):
+                    values = self.words.values[own[part : part + 50_000]]
+                    total += np.ones(len(values), np.float32) @ values
+                out[row, : DIMENSIONS + 1] = total[:-1] / total[-1]
         return out
 
 
@@ -266,7 +340,7 @@ class Classifier:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.network is None or not len(texts):
             return np.full(len(texts), 0.0 if self.constant is None else self.constant)
-        return self.network.probability(np.array([self.pooler.pool(t) for t in texts], np.float64))
+        return self.network.probability(self.pooler.pool(texts))
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
@@ -283,7 +357,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Class
 
     @F.pandas_udf("array<float>")
     def pooled(texts: pd.Series) -> pd.Series:
-        return pd.Series([pooler.pool(t) for t in texts])
+        return pd.Series(list(pooler.pool(texts.tolist()).astype(np.float32)))
 
     # broadcast: at most 2 x fit_rows ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))

@@ -10,6 +10,7 @@ def test_units():
     assert Q.units("This***") == ["this", "~***", "=x**"]
     assert Q.units("THE!!") == ["the", "~!!", "=X!!"]
     assert Q.units("|") == ["~|", "=|"]
+    assert Q.units("River") == ["river", "=x"] and Q.units("12") == ["12", "=0"] and Q.units("USA") == ["usa", "=X"] and Q.units("I") == ["i", "=x"]
 
 
 def learned(spark, texts):
@@ -31,23 +32,25 @@ def test_vectors_against_plain_loops(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:60] + ["alpha beta, gamma delta. " * 90_000]
     known, v = learned(spark, texts)
     seen, want = {}, {}
-    ids = [[known.get(u) for w in t.split() for u in Q.units(w)] for t in texts]
     for t in texts:
         for w in set(t.split()):
             for u in Q.units(w):
                 seen[u] = seen.get(u, 0) + 1
     assert known == {u: i for i, u in enumerate(sorted((u for u, n in seen.items() if n > Q.LEAST_SEEN), key=lambda u: (-seen[u], u)))}
     base = np.array([Q.index_vector(u) for u in known], np.float64)
+    ids = lambda w: [known[u] for u in Q.units(w) if u in known]
     pairs = {}
-    for own in ids:
+    for t in texts:
+        own = t.split()
         for k in range(1, Q.WINDOW + 1):
             for a, b in zip(own, own[k:], strict=False):
-                if a is not None and b is not None:
-                    pairs[a, b] = pairs.get((a, b), 0) + 1
+                pairs[a, b] = pairs.get((a, b), 0) + 1
     want = base.copy()
     for (a, b), n in pairs.items():
-        want[a] += n * base[b]
-        want[b] += n * base[a]
+        for i in ids(a):
+            for j in ids(b):
+                want[i] += n * base[j]
+                want[j] += n * base[i]
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     assert np.allclose(v, want, atol=1e-6)
 
@@ -57,10 +60,12 @@ def test_pooling_matches_a_plain_mean(spark):
     p = Q.Pooler(known, v)
     us = [u for w in "a b zzz a a".split() for u in Q.units(w)]
     want = sum(v[known[u]] for u in us if u in known) / len(us)
-    got = p.pool("a b zzz a a")
+    got = p.pool(["x", "a b zzz a a", None, ""])[1]
     assert np.allclose(got[: Q.DIMENSIONS], want, atol=1e-5)
     assert np.isclose(got[-3], 1 / 5) and np.isclose(got[-2], 3 / 5)
-    assert not p.pool("").any() and not p.pool(None).any()
+    assert not p.pool(["", None]).any() and p.pool([]).shape == (0, Q.DIMENSIONS + 4)
+    many = [" ".join(f"w{i % 7} a b{i}" for i in range(k)) for k in range(1, 60)]
+    assert np.array_equal(p.pool(many), np.concatenate([p.pool([t]) for t in many]))
 
 
 def test_temperature_lowers_loss():
