@@ -23,6 +23,12 @@ def books(updates: DataFrame) -> DataFrame:
     return symbol_fold(updates, [BookStage], f"{LEVEL_COLUMNS}, {BOOK_COLUMNS}")
 
 
+def books_with_states(updates: DataFrame, states: DataFrame) -> DataFrame:
+    """Level updates -> the book after each, and the trading state as of it: states and updates
+    are dealt by symbol once, for both."""
+    return symbol_fold(state_as_of(updates, states), [BookStage], f"{LEVEL_COLUMNS}, state string, since long, {BOOK_COLUMNS}", dealt=True)
+
+
 def order_books(messages: DataFrame) -> DataFrame:
     """Messages -> the book after each leg, in one pass over each symbol."""
     return symbol_fold(messages, [OrderStage, BookStage], f"{ORDER_SCHEMA}, {BOOK_COLUMNS}")
@@ -33,14 +39,14 @@ def level_features(updates: DataFrame) -> DataFrame:
     return symbol_fold(updates, [BookStage, FeatureStage], f"{LEVEL_COLUMNS}, {BOOK_COLUMNS}, {FEATURE_COLUMNS}")
 
 
-def order_features(messages: DataFrame, gate: str = "none") -> DataFrame:
+def order_features(messages: DataFrame, gate: str = "none", dealt: bool = False) -> DataFrame:
     """Messages -> book and recurrent features after each leg.
 
     ``gate``: ``none`` computes on every two-sided message, ``hours`` only in market hours,
     ``serve`` also needs the column ``state`` of the messages to be T.
     """
     stages = [OrderStage, BookStage, partial(FeatureStage, _GATES[gate])]
-    return symbol_fold(messages, stages, f"{ORDER_SCHEMA}, {'state string, ' if gate == 'serve' else ''}{BOOK_COLUMNS}, {FEATURE_COLUMNS}")
+    return symbol_fold(messages, stages, f"{ORDER_SCHEMA}, {'state string, ' if gate == 'serve' else ''}{BOOK_COLUMNS}, {FEATURE_COLUMNS}", dealt=dealt)
 
 
 def _in_hours(f: Columns) -> list[bool]:
@@ -72,11 +78,11 @@ def crossings(book: DataFrame) -> DataFrame:
 def state_as_of(rows: DataFrame, states: DataFrame) -> DataFrame:
     """Rows with the last state of their symbol up to their sequence number, and its time; T
     and 0 before the first. One shuffle: both sides are put in order together, and the last
-    state is carried along."""
+    state is carried along. The result is dealt by symbol, as ``symbol_fold`` asks."""
     marks = states.select("locate", "seq", F.lit(0).alias("_side"), F.struct("state", F.col("ts_ns").alias("since")).alias("_mark"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
     mine = rows.select("locate", "seq", F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark"), F.struct("*").alias("_row"))
     last = F.last("_mark", ignorenulls=True).over(Window.partitionBy("locate").orderBy("seq", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    out = marks.union(mine).withColumn("_last", last).where("_side = 1")
+    out = marks.union(mine).repartition("locate").withColumn("_last", last).where("_side = 1")
     return out.select("_row.*", F.coalesce("_last.state", F.lit("T")).alias("state"), F.coalesce("_last.since", F.lit(0)).alias("since"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
+from tapeloom.staging import staged
 
 
 def training_rows(records: DataFrame, max_spread: int = m.MAX_SPREAD) -> DataFrame:
@@ -26,24 +27,33 @@ def horizon_labels(records: DataFrame, horizon: int = m.HORIZON, threshold: int
 
 
 def numbered(rows: DataFrame, order: str, width: int = 1 << 20) -> DataFrame:
-    """Adds ``row_no``, from 0, in the order of a whole-number column. Rows are numbered in
-    ranges of it, and the ranges' counts give each its start: no task sorts all rows."""
-    rows = rows.withColumn("_range", F.floor(F.col(order) / width).cast("long"))
+    """Adds ``row_no``, from 0, in the order of a whole-number column, and ``row_count``. Rows
+    are staged once and numbered in ranges of the column; the ranges' counts give each its
+    start and the whole its count: no task sorts all rows."""
+    rows = staged(rows.withColumn("_range", F.floor(F.col(order) / width).cast("long")), "numbered")
     counts = rows.groupBy("_range").count()
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    starts = counts.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    starts = counts.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"), F.sum("count").over(Window.partitionBy()).alias("row_count"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
     out = rows.withColumn("_n", inside).join(starts, "_range")
     return out.withColumn("row_no", F.col("_start") + F.col("_n")).drop("_range", "_n", "_start")
 
 
+def running_sum(rows: DataFrame, order: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """``order`` and the sum of ``value`` up to it, of rows with distinct whole numbers
+    ``order``: block by block, then within blocks, so that no task orders all rows."""
+    rows = staged(rows.select(order, value, F.floor(F.col(order) / width).cast("long").alias("_block")), "running")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    blocks = rows.groupBy("_block").agg(F.sum(value).alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = F.sum(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_inside", inside).join(blocks, "_block").select(order, (F.col("_start") + F.col("_inside")).alias(name))
+
+
 def chrono_split(rows: DataFrame, order: str = "seq", train: float = 0.7, val: float = 0.15, width: int = 1 << 20) -> DataFrame:
     """Adds ``split``: the first share of rows trains, the next validates, the rest tests."""
-    n = rows.agg(F.count("*").alias("_all"))
-    out = numbered(rows, order, width).crossJoin(F.broadcast(n))  # one row
-    first, second = F.floor(F.col("_all") * F.lit(train)), F.floor(F.col("_all") * F.lit(train + val))
-    split = F.when(F.col("row_no") < first, "train").when(F.col("row_no") < second, "val").otherwise("test")
-    return out.withColumn("split", split).drop("_all", "row_no")
+    n, number = F.col("row_count"), F.col("row_no")
+    split = F.when(number < F.floor(n * F.lit(train)), "train").when(number < F.floor(n * F.lit(train + val)), "val").otherwise("test")
+    return numbered(rows, order, width).withColumn("split", split).drop("row_count", "row_no")
 
 
 def zscore_stats(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,15 +71,51 @@ def zscore_apply(rows: DataFrame, stats: DataFrame, columns: Sequence[str]) -> D
     return out.withColumns(scaled).drop(*stats.columns)
 
 
+def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: Sequence[str] = (), cells: int = 4096) -> DataFrame:
+    """The value at given positions, from 0, of each group's sorted finite values, exactly;
+    ``ranks`` makes positions of a group's count.
+
+    Values are dealt to cells between the group's smallest and largest. Counts of the cells say
+    in which one a position falls, and only the values of those are counted one by one and put
+    in order: no task holds or orders a group.
+    """
+    v = F.col("_v").cast("double")
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    rows = rows.where(F.col(value).isNotNull()).select(*by, key.alias("_g"), F.col(value).alias("_v"))
+    ends = rows.groupBy("_g").agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_all"), *[F.first(c).alias(c) for c in by])
+    place = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells).cast("int")
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(cells - 1))).otherwise(0)
+    dealt = rows.select("_g", "_v").join(ends.select("_g", "_lo", "_hi"), "_g").select("_g", "_v", cell.alias("_cell"))
+    upto = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # cells of a group
+    counts = dealt.groupBy("_g", "_cell").count().withColumn("_to", F.sum("count").over(upto)).join(ends.select("_g", "_all"), "_g")
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_all")).cast("long").alias("rank")) for name, rank in ranks.items()]))
+    asked = counts.select("_g", "_cell", (F.col("_to") - F.col("count")).alias("_from"), "_to", asked.alias("_ask"))
+    asked = asked.where((F.col("_ask.rank") >= F.col("_from")) & (F.col("_ask.rank") < F.col("_to")))
+    asked = staged(asked.select("_g", "_cell", "_ask.name", (F.col("_ask.rank") - F.col("_from")).alias("_k")), "asked")
+    inside = Window.partitionBy("_g", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = dealt.join(asked.select("_g", "_cell").distinct(), ["_g", "_cell"], "left_semi").groupBy("_g", "_cell", "_v").count()
+    values = values.withColumn("_to", F.sum("count").over(inside))
+    found = values.join(asked, ["_g", "_cell"]).where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("count")))
+    picked = found.groupBy("_g").agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return ends.select("_g", "_all", *by).join(picked, "_g").drop("_g")
+
+
 def nearest_lower_percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """The sorted value at position floor(p x (n-1)) of each group, exactly. Values are
-    counted first, so what is put in order is a row per distinct value."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).count()
-    upto = F.sum("count").over(Window.partitionBy(*by).orderBy(value))
-    every = F.sum("count").over(Window.partitionBy(*by))
-    ranked = counts.withColumns({"_to": upto, "_n": every})
-    picks = [F.min(F.when(F.col("_to") > F.floor(F.lit(p) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, p in quantiles.items()]
-    return ranked.groupBy(*by).agg(*picks)
+    """The sorted value at position floor(p x (n-1)) of each group, exactly."""
+    ranks = {name: lambda n, p=p: F.floor(F.lit(p) * (n - 1)) for name, p in quantiles.items()}
+    return order_statistics(rows, value, ranks, by).drop("_all")
+
+
+def linear_percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Percentiles of each group with linear steps between the two nearest values, exactly."""
+    at = lambda n, p: F.lit(float(p)) * (n - 1)
+    ranks = {f"{name}_{side}": lambda n, p=p, cut=cut: cut(at(n, p)) for name, p in quantiles.items() for side, cut in (("lo", F.floor), ("hi", F.ceil))}
+    found = order_statistics(rows, value, ranks, by)
+    out = []
+    for name, p in quantiles.items():
+        lo, hi = F.col(f"{name}_lo").cast("double"), F.col(f"{name}_hi").cast("double")
+        out.append((lo + (hi - lo) * (at(F.col("_all"), p) - F.floor(at(F.col("_all"), p)))).alias(name))
+    return found.select(*by, *out)
 
 
 def log2_histogram(rows: DataFrame, value: Column) -> DataFrame:
@@ -107,22 +153,25 @@ def feature_summary(rows: DataFrame, values: str = "f") -> DataFrame:
     """Per position of an array column: range, linear percentiles, and what isn't finite."""
     each = rows.select(F.posexplode(values).alias("feature", "v")).withColumn("v", F.col("v").cast("double"))
     ok = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != F.lit(float("inf")))
-    v = F.when(ok, F.col("v"))
-    return each.groupBy("feature").agg(F.min(v).alias("low"), F.percentile(v, F.lit(0.01)).alias("p1"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.99)).alias("p99"), F.max(v).alias("high"), F.count_if(~ok).alias("bad"))
+    bad = each.groupBy("feature").agg(F.count_if(~ok).alias("bad"))
+    points = linear_percentiles(each.where(ok), "v", {"low": 0.0, "p1": 0.01, "p50": 0.5, "p99": 0.99, "high": 1.0}, ["feature"])
+    return bad.join(points, "feature", "left")
 
 
 def difference(a: DataFrame, b: DataFrame, key: str = "id", values: str = "logits") -> DataFrame:
-    """How two scorings of the same rows differ: largest and mean gap, largest relative gap,
-    rows whose class differs, and rows that are equal throughout."""
+    """How two scorings of the same rows differ: largest and mean gap, largest relative gap, the
+    row with the largest gap (the first of equals), rows whose class differs, and rows that are
+    equal throughout."""
     both = a.select(key, F.col(values).alias("x")).join(b.select(key, F.col(values).alias("y")), key)
     gaps = F.transform(F.arrays_zip("x", "y"), lambda p: F.abs(p["x"].cast("double") - p["y"].cast("double")))
     scale = F.array_max(F.transform("x", lambda v: F.abs(v.cast("double"))))
-    rows = both.select(F.array_max(gaps).alias("gap"), F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g).alias("total"), scale.alias("scale"), (m.first_argmax(F.col("x")) != m.first_argmax(F.col("y"))).alias("other"), F.size("x").alias("k"))
+    rows = both.select(F.col(key).alias("key"), F.array_max(gaps).alias("gap"), F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g).alias("total"), scale.alias("scale"), (m.first_argmax(F.col("x")) != m.first_argmax(F.col("y"))).alias("other"), F.size("x").alias("k"))
     return rows.agg(
         F.count("*").alias("n"),
         F.max("gap").alias("max_gap"),
         (F.sum("total") / F.sum("k")).alias("mean_gap"),
         F.max(F.col("gap") / F.greatest(F.col("scale"), F.lit(1e-12))).alias("max_relative"),
+        F.max_by("key", F.struct("gap", -F.col("key"))).alias("worst_row"),
         F.count_if(F.col("other")).alias("class_changes"),
         F.count_if(F.col("gap") == 0).alias("equal_rows"),
     )

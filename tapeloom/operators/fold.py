@@ -35,7 +35,8 @@ def runs_of(keys: list[list]) -> Iterator[tuple[tuple, int, int]]:
             start = i
 
 
-def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Stage]], schema: str, key: str | Sequence[str] = "locate", order: str = "seq") -> DataFrame:
+def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Stage]], schema: str, key: str | Sequence[str] = "locate", order: str = "seq", dealt: bool = False) -> DataFrame:
+    """``dealt`` says that all rows of a key are in one partition already."""
     keys = [key] if isinstance(key, str) else list(key)
     types = _parse_datatype_string(schema)
     assert isinstance(types, StructType)
@@ -58,7 +59,8 @@ def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Stage]], schema:
                     values.extend(part[name])
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    rows = rows if dealt else rows.repartition(*keys)
+    return rows.sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 class OrderStage:
@@ -128,7 +130,7 @@ class OrderStage:
                 continue
             rows.append((i, 1, status, trade, True, *(change or (None, None, None)), len(self.orders)))
         at = [r[0] for r in rows]
-        out = {c: [values[i] for i in at] for c, values in f.items() if c in ("seq", "locate", "ts_ns", "msg_type", "state")}
+        out = {c: [values[i] for i in at] for c, values in f.items() if c in ("seq", "locate", "ts_ns", "msg_type", "state", "since")}
         for k, name in enumerate(("leg", "status", "trade", "last_leg", "side", "price", "qty", "resting"), 1):
             out[name] = [r[k] for r in rows]
         return out

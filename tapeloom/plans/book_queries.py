@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
 from tapeloom.operators import book as B
+from tapeloom.operators.dataset import running_sum
 from tapeloom.plans.sql import BOOK, LEVELS, STATES
 from tapeloom.sources import feeds
 
@@ -104,7 +105,7 @@ def state_final(spark, sf):
 
 
 def _crossed_states(spark, sf):
-    return B.state_as_of(B.crossings(B.books(feeds.level_updates(spark, sf))).drop("two_sided", "crossed"), feeds.trading_states(spark, sf))
+    return B.crossings(B.books_with_states(feeds.level_updates(spark, sf), feeds.trading_states(spark, sf)))
 
 
 def near_resume_crossings(spark, sf):
@@ -117,18 +118,19 @@ def crossing_totals(spark, sf):
 
 
 def symbol_directory(spark, sf):
+    """The last name of each symbol: signups name it by what they hold."""
     e = feeds.table(spark, sf, "events").where("event_type = 'signup'")
-    return e.groupBy(F.col("user_id").alias("locate")).agg(F.max_by("event_type", "event_id").alias("name"), F.max("event_id").alias("named_at"))
+    name = F.concat(F.lit("K"), F.get_json_object("props", "$.k"))
+    return e.groupBy(F.col("user_id").alias("locate")).agg(F.max_by(name, "event_id").alias("name"), F.max("event_id").alias("named_at"))
 
 
 def peak_levels_sampled(spark, sf):
-    """Levels of all books at every 64th update: each chunk sums its changes, and a running
-    sum over the chunks gives the samples."""
+    """Levels of all books at every 64th update: each chunk sums its changes, and running sums
+    over blocks of chunks, then within them, give the samples."""
     p = B.access_profile(B.books(feeds.level_updates(spark, sf)))
     change = F.when(F.col("op") == "insert", 1).when(F.col("op") == "erase", -1).otherwise(0)
     chunks = p.groupBy(F.ceil(F.col("seq") / SAMPLE_EVERY).cast("long").alias("chunk")).agg(F.sum(change).alias("change"))
-    levels = F.sum("change").over(Window.orderBy("chunk"))  # a row per chunk
-    return chunks.select((F.col("chunk") * SAMPLE_EVERY).alias("seq"), levels.alias("levels"))
+    return running_sum(chunks, "chunk", "change", "levels").select((F.col("chunk") * SAMPLE_EVERY).alias("seq"), "levels")
 
 
 def peak_levels(spark, sf):
@@ -259,7 +261,7 @@ CATALOG = {
     "state_final": (state_final, _W + STATES + " SELECT state, count(*) AS symbols FROM (SELECT locate, arg_max(state, seq) AS state FROM st GROUP BY locate) GROUP BY state"),
     "near_resume_crossings": (near_resume_crossings, _REPORT + " SELECT * FROM rp"),
     "crossing_totals": (crossing_totals, _REPORT + " SELECT count(*) AS symbols, CAST(sum(crossings) AS BIGINT) AS crossings, CAST(sum(while_halted) AS BIGINT) AS while_halted, CAST(sum(near_resume) AS BIGINT) AS near_resume, count(CASE WHEN worst <= 100 THEN 1 END) AS one_cent FROM rp"),
-    "symbol_directory": (symbol_directory, "SELECT user_id AS locate, arg_max(event_type, event_id) AS name, max(event_id) AS named_at FROM events WHERE event_type = 'signup' GROUP BY user_id"),
+    "symbol_directory": (symbol_directory, "SELECT user_id AS locate, arg_max('K' || json_extract_string(props, '$.k'), event_id) AS name, max(event_id) AS named_at FROM events WHERE event_type = 'signup' GROUP BY user_id"),
     "peak_levels_sampled": (peak_levels_sampled, _SAMPLES + " SELECT seq, levels FROM sm"),
     "peak_levels": (peak_levels, _SAMPLES + " SELECT levels AS peak, seq AS at_seq FROM sm ORDER BY levels DESC, seq LIMIT 1"),
     "feat_mid_spread": (feat_mid_spread, _W + " SELECT seq, mid, spread FROM ft"),

@@ -10,6 +10,7 @@ from tapeloom.operators import book as B
 from tapeloom.operators import dataset as D
 from tapeloom.plans.sql import BOOK
 from tapeloom.sources import feeds
+from tapeloom.staging import staged
 
 HORIZON = 5
 QUANTILES = {"p50": 0.5, "p99": 0.99, "p999": 0.999, "largest": 1.0}
@@ -32,11 +33,11 @@ def horizon_labels(spark, sf):
 
 
 def chrono_split(spark, sf):
-    return D.chrono_split(_training(spark, sf), width=1000).select("seq", "split")
+    return D.chrono_split(_training(spark, sf)).select("seq", "split")
 
 
 def _train(spark, sf):
-    return D.chrono_split(_training(spark, sf), width=1000).where("split = 'train'")
+    return D.chrono_split(_training(spark, sf)).where("split = 'train'")
 
 
 def zscore_stats(spark, sf):
@@ -45,7 +46,7 @@ def zscore_stats(spark, sf):
 
 
 def zscore_apply(spark, sf):
-    rows = D.chrono_split(_training(spark, sf), width=1000)
+    rows = staged(D.chrono_split(_training(spark, sf).select("seq", "spread")), "split-rows")
     stats = D.zscore_stats(rows.where("split = 'train'"), ["spread"])
     out = D.zscore_apply(rows.where("split <> 'train'").select("seq", "spread"), stats, ["spread"])
     return out.select("seq", F.round(F.col("spread").cast("double"), 4).alias("z"))
@@ -82,8 +83,9 @@ def pct_nearest_lower(spark, sf):
 
 
 def pct_linear(spark, sf):
-    p = [F.round(F.percentile("l_extendedprice", F.lit(q)), 6).alias(n) for n, q in {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p9999": 0.9999}.items()]
-    return feeds.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*p)
+    p = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p9999": 0.9999}
+    out = D.linear_percentiles(feeds.table(spark, sf, "lineitem"), "l_extendedprice", p, ["l_returnflag"])
+    return out.select("l_returnflag", *[F.round(n, 6).alias(n) for n in p])
 
 
 def log2_histogram(spark, sf):

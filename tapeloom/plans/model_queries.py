@@ -6,6 +6,8 @@ sums are exact in any order.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions import market as m
 from tapeloom.operators import dataset as D
 from tapeloom.operators import model as M
-from tapeloom.operators import schedule as S
 from tapeloom.sources import feeds
+from tapeloom.staging import staged
 
 INT8_SCALES = (2.0**-5, 2.0**-1, 2.0**2)
 WEIGHT_SCALES = (1.0, 0.5, 0.25)
@@ -65,7 +67,7 @@ def checksum(spark, sf):
 def diff_float_int8(spark, sf):
     rows = _rows(spark, sf)
     d = D.difference(M.score(rows, demo_weights()), M.score(rows, demo_int8(), backend="int8"))
-    return d.select("n", F.round("max_gap", 6).alias("max_gap"), F.round("mean_gap", 6).alias("mean_gap"), F.round("max_relative", 6).alias("max_relative"), "class_changes", "equal_rows")
+    return d.select("n", F.round("max_gap", 6).alias("max_gap"), F.round("mean_gap", 6).alias("mean_gap"), F.round("max_relative", 6).alias("max_relative"), "worst_row", "class_changes", "equal_rows")
 
 
 def model_accuracy(spark, sf):
@@ -76,7 +78,7 @@ def model_accuracy(spark, sf):
 
 def round_trip(w: M.Weights, per_row: bool) -> M.Weights:
     """The weights as they are after quantisation to int8 and back."""
-    back = {n: M.dequantize(*M.quantize_tensor(getattr(w, n), per_row)) for n in ("w0", "w2", "w4")}
+    back = {n: M.Codes.of(getattr(w, n), 1 if per_row else None).restored() for n in ("w0", "w2", "w4")}
     return M.Weights(w.mean, w.std, back["w0"], w.b0, back["w2"], w.b2, back["w4"], w.b4)
 
 
@@ -92,7 +94,7 @@ def quantized_accuracy(spark, sf):
 
 
 def quantize_values(spark, sf):
-    e = feeds.table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v"))
+    e = feeds.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     return e.select("vec_id", "i", m.quantize(F.col("v"), F.lit(0.03125)).alias("q"))
 
 
@@ -118,7 +120,7 @@ def activation_calibration(spark, sf):
 
 
 def _split_rows(spark, sf):
-    return D.chrono_split(_rows(spark, sf), "id")
+    return staged(D.chrono_split(_rows(spark, sf), "id"), "split-rows")
 
 
 def _sample(rows, limit: int):
@@ -137,7 +139,7 @@ def _sample(rows, limit: int):
 
 
 def _accuracy(rows, weights: list) -> list[float]:
-    """Share of right answers of each network over all validation rows: one scan of them."""
+    """Share of right answers of each network over all test rows: one scan of them."""
 
     def run(batches):
         for b in batches:
@@ -145,53 +147,46 @@ def _accuracy(rows, weights: list) -> list[float]:
             hits = [int((w.forward(f).argmax(1) == y).sum()) for w in weights]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(hits)), pa.int32()), pa.array(hits, pa.int64()), pa.array([b.num_rows] * len(hits), pa.int64())], ["k", "hits", "n"])
 
-    each = rows.where("split = 'val'").select(F.col("f").cast("array<float>"), F.col("y").cast("int")).mapInArrow(run, "k int, hits long, n long")
+    each = rows.where("split = 'test'").select(F.col("f").cast("array<float>"), F.col("y").cast("int")).mapInArrow(run, "k int, hits long, n long")
     found = {r.k: r.hits / r.n for r in each.groupBy("k").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
     return [found.get(k, 0.0) for k in range(len(weights))]
 
 
 def train_mlp(spark, sf, limit: int = TRAIN_ROWS):
+    """Classes that a trained network gives all rows, and its accuracy over all test rows. The
+    weights come from a sample of at most about ``limit`` training and validation rows."""
     rows = _split_rows(spark, sf)
     sample, mean, std = _sample(rows, limit)
     w = M.train(*sample, mean, std, epochs=4, batch=256)[0]
     accuracy = _accuracy(rows, [w])[0]
-    return M.score(_rows(spark, sf), w).groupBy("pred").agg(F.count("*").alias("n")).withColumn("val_accuracy", F.lit(accuracy))
+    return M.score(_rows(spark, sf), w).groupBy("pred").agg(F.count("*").alias("n")).withColumn("test_accuracy", F.lit(accuracy))
 
 
 def feature_ablation(spark, sf, limit: int = TRAIN_ROWS):
     """A network for all features and one for each at zero, a task each, on one sample; right
-    answers are counted over all validation rows."""
+    answers are counted over all test rows."""
     rows = _split_rows(spark, sf)
     sample, mean, std = _sample(rows, limit)
     sent = spark.sparkContext.broadcast(sample)  # TRAIN_ROWS rows of sixteen numbers
 
-    def fit(k: int):
-        x, y, val_x, val_y = (a.copy() for a in sent.value)
-        if k >= 0:
-            x[:, k] = val_x[:, k] = 0
-        w = M.train(x, y, val_x, val_y, mean, std, epochs=2, batch=256)[0]
-        if k >= 0:
-            w.w0[:, k] = 0
-        return w
+    def fit(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                x, y, val_x, val_y = (a.copy() for a in sent.value)
+                if k >= 0:
+                    x[:, k] = val_x[:, k] = 0
+                w = M.train(x, y, val_x, val_y, mean, std, epochs=2, batch=256)[0]
+                if k >= 0:
+                    w.w0[:, k] = 0
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(w)])], ["feature", "weights"])
 
     n = M.INPUTS + 1
-    weights = spark.sparkContext.parallelize(range(-1, M.INPUTS), n).map(fit).collect()
-    whole, *without = _accuracy(rows, weights)
+    fitted = spark.range(-1, M.INPUTS, 1, n).mapInArrow(fit, "feature long, weights binary").collect()  # a few kB a network
+    whole, *without = _accuracy(rows, [pickle.loads(r.weights) for r in sorted(fitted, key=lambda r: r.feature)])
     out = sorted(((k, a, a - whole) for k, a in enumerate(without)), key=lambda r: (r[2], r[0]))
     return spark.createDataFrame(out, "feature int, accuracy double, change double")
 
 
-def schedule_sim(spark, sf):
-    """The events of the whole table offered at three rates, to a deep and a shallow queue."""
-    n = feeds.table(spark, sf, "events").count()
-    rows = [(f"{rate // 1000}k/{queue}", n, rate, 5000, queue, S.WORK_NS) for rate in (500_000, 1_000_000, 2_000_000) for queue in (4096, 4)]
-    return S.simulate(spark.createDataFrame(rows, S.SETTINGS))
-
-
-def schedule_report(spark, sf):
-    return S.report(schedule_sim(spark, sf))
-
-
 def _lists(a: np.ndarray) -> str:
     return "[" + ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in row) + "]" for row in a) + "]"
 
@@ -228,15 +223,13 @@ CATALOG = {
     "forward_int8": (forward_int8, _INT8 + _FLAT + "i3"),
     "argmax_class": (argmax_class, _FLOAT + f" SELECT id, {_PRED} AS pred FROM l3"),
     "checksum": (checksum, _INT8 + " SELECT sum(lg[1]) AS checksum, count(*) AS n FROM i3"),
-    "diff_float_int8": (diff_float_int8, _FLOAT + _INT8.replace(_BASE, "") + ", d AS (SELECT l3.lg AS a, i3.lg AS b, list_transform(list_zip(l3.lg, i3.lg), lambda p: abs(p[1] - p[2])) AS g FROM l3 JOIN i3 USING (id)) SELECT count(*) AS n, round(max(list_max(g)), 6) AS max_gap, round(sum(list_sum(g)) / sum(len(g)), 6) AS mean_gap, round(max(list_max(g) / greatest(list_max(list_transform(a, lambda v: abs(v))), 1e-12)), 6) AS max_relative, count(CASE WHEN list_position(a, list_max(a)) <> list_position(b, list_max(b)) THEN 1 END) AS class_changes, count(CASE WHEN list_max(g) = 0 THEN 1 END) AS equal_rows FROM d"),
+    "diff_float_int8": (diff_float_int8, _FLOAT + _INT8.replace(_BASE, "") + ", d AS (SELECT l3.id, l3.lg AS a, i3.lg AS b, list_transform(list_zip(l3.lg, i3.lg), lambda p: abs(p[1] - p[2])) AS g FROM l3 JOIN i3 USING (id)) SELECT count(*) AS n, round(max(list_max(g)), 6) AS max_gap, round(sum(list_sum(g)) / sum(len(g)), 6) AS mean_gap, round(max(list_max(g) / greatest(list_max(list_transform(a, lambda v: abs(v))), 1e-12)), 6) AS max_relative, (SELECT id FROM d ORDER BY list_max(g) DESC, id LIMIT 1) AS worst_row, count(CASE WHEN list_position(a, list_max(a)) <> list_position(b, list_max(b)) THEN 1 END) AS class_changes, count(CASE WHEN list_max(g) = 0 THEN 1 END) AS equal_rows FROM d"),
     "model_accuracy": (model_accuracy, _FLOAT + f" SELECT count(CASE WHEN y = {_PRED} THEN 1 END) AS hits, count(*) AS n FROM l3"),
     "quantized_accuracy": (quantized_accuracy, _BASE + " " + " UNION ALL ".join(_hits(n, w) for n, w in (("float", _WT), ("tensor", round_trip(_WT, False)), ("row", round_trip(_WT, True))))),
-    "quantize_values": (quantize_values, "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, CAST(greatest(-127, least(127, round_even(v / 0.03125::DOUBLE, 0))) AS INTEGER) AS q FROM (SELECT vec_id, unnest(range(1, 9)) AS i, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS v FROM embeddings)"),
+    "quantize_values": (quantize_values, "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, CAST(greatest(-127, least(127, round_even(v / 0.03125::DOUBLE, 0))) AS INTEGER) AS q FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)"),
     "weight_quantize": (weight_quantize, "SELECT vec_id, round(s, 9) AS scale, CAST(list_sum(q) AS BIGINT) AS code_sum, CAST(len(list_filter(q, lambda v: abs(v) = 127)) AS BIGINT) AS at_limit FROM (SELECT vec_id, s, list_transform(t, lambda v: greatest(-127, least(127, round_even(v / s, 0)))) AS q FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS t, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))) / 127 AS s FROM embeddings))"),
     "quantize_error": (quantize_error, "SELECT vec_id, round(list_max(list_transform(t, lambda v: abs(v - round_even(v / s, 0) * s))), 9) AS max_error FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS t, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))) / 127 AS s FROM embeddings)"),
     "activation_calibration": (activation_calibration, _FLOAT + ", a AS (SELECT 'x' AS point, abs(unnest(x)) AS v FROM l1 UNION ALL SELECT 'h1', unnest(h1) FROM l1 UNION ALL SELECT 'h2', unnest(h2) FROM l2), c AS (SELECT point, max(v) AS largest, quantile_cont(v, 0.9999) AS cutoff FROM a GROUP BY point) SELECT a.point, round(max(largest), 6) AS largest, round(max(cutoff), 6) AS cutoff, round(max(cutoff) / 127, 6) AS scale, round(count(CASE WHEN v > cutoff THEN 1 END) / count(*), 9) AS clipped FROM a JOIN c ON a.point = c.point GROUP BY a.point"),
     "train_mlp": (train_mlp, None),
     "feature_ablation": (feature_ablation, None),
-    "schedule_sim": (schedule_sim, None),
-    "schedule_report": (schedule_report, None),
 }

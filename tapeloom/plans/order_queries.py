@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import book as B
+from tapeloom.operators.dataset import running_sum
 from tapeloom.plans.sql import ORDER_FOLD, ORDERS
 from tapeloom.sources import feeds
 
@@ -68,7 +69,7 @@ def feat_trade_rate(spark, sf):
 def served_records(spark, sf):
     """Features as they are served: only in hours, while the symbol trades."""
     rows = B.state_as_of(feeds.order_messages(spark, sf), feeds.trading_states(spark, sf))
-    records = B.feature_records(B.order_features(rows, gate="serve"))
+    records = B.feature_records(B.order_features(rows, gate="serve", dealt=True))
     return records.groupBy("locate").agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -79,13 +80,13 @@ def order_profile_mix(spark, sf):
 
 
 def peak_orders_sampled(spark, sf):
-    """Resting orders of all symbols at every 64th message: each chunk sums its changes, and a
-    running sum over the chunks gives the samples."""
+    """Resting orders of all symbols at every 64th message: each chunk sums its changes, and
+    running sums over blocks of chunks, then within them, give the samples."""
     rows = B.order_fold(feeds.order_messages(spark, sf)).where("last_leg")
     change = F.col("resting") - F.lag("resting", 1, 0).over(Window.partitionBy("locate").orderBy("seq"))
     rows = rows.select(F.ceil(F.col("seq") / SAMPLE_EVERY).cast("long").alias("chunk"), change.alias("change"))
     chunks = rows.groupBy("chunk").agg(F.sum("change").alias("change"))
-    return chunks.select((F.col("chunk") * SAMPLE_EVERY).alias("seq"), F.sum("change").over(Window.orderBy("chunk")).alias("resting"))  # a row per chunk
+    return running_sum(chunks, "chunk", "change", "resting").select((F.col("chunk") * SAMPLE_EVERY).alias("seq"), "resting")
 
 
 _O = "WITH RECURSIVE " + ORDER_FOLD

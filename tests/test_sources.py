@@ -142,4 +142,18 @@ def test_training_learns(spark):
     assert M.ablation(x[:900], y[:900], x[2400:], y[2400:], epochs=6, batch=64)[0][0] in (0, 1)
     q = M.Int8Weights.of(w, [np.abs(a).max() / 127 for a in w.hidden(x[:500].astype(np.float32))])
     assert (q.forward(x).argmax(1) == w.forward(x.astype(np.float32)).argmax(1)).mean() > 0.97
-    assert M.quantization_error(w.w0, True)[1] <= M.quantization_error(w.w0)[1] < 0.02
+    rough, fine = M.Codes.of(w.w0).report(w.w0), M.Codes.of(w.w0, 1).report(w.w0)
+    assert fine["relative"] <= rough["relative"] < 0.02 and fine["largest"] <= rough["largest"]
+    assert (M.Codes.of(np.zeros((2, 3)), 1).size == 1).all() and M.Codes.of(np.zeros((2, 3))).steps.max() == 0
+
+
+def test_backends_take_their_own_weights(spark):
+    rows = spark.createDataFrame([(1, [0.5] * 16)], "id long, f array<float>")
+    a, b = (M.score(rows, w, backend=n).first().logits for w, n in ((demo_weights(), "float"), (demo_int8(), "int8")))
+    assert a != b
+    with pytest.raises(TypeError, match="Int8Weights"):
+        M.score(rows, demo_weights(), backend="int8")
+    with pytest.raises(TypeError):
+        M.score(rows, demo_int8())
+    with pytest.raises(ValueError, match="no backend"):
+        M.score(rows, demo_weights(), backend="gpu")

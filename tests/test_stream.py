@@ -1,29 +1,10 @@
 import time
 
-import pytest
-
 from tapeloom.operators import book as B
-from tapeloom.operators import schedule as S
 from tapeloom.sources import feeds
 from tapeloom.streaming import book_stream
 
 
-@pytest.mark.parametrize("rate, deadline, full", [(500_000, 0, 0), (1_000_000, 578, 580), (2_000_000, 10_286, 10_288)])
-def test_known_drops(spark, rate, deadline, full):
-    rows = [(str(q), 20_000, rate, 5000, q, S.WORK_NS) for q in (4096, 4)]
-    got = {r.setting: r for r in S.report(S.simulate(spark.createDataFrame(rows, S.SETTINGS))).collect()}
-    assert got["4096"].drop_deadline == deadline and got["4096"].drop_full == 0
-    assert got["4"].drop_full == full
-    for r in got.values():
-        assert r.offered == 20_000 == r.processed + r.drop_full + r.drop_deadline
-
-
-def test_edges():
-    assert [o[3] for o in S.outcomes(5, 10**9, 0, 1, 1000)].count("full") == 4
-    with pytest.raises(ValueError, match="power of two"):
-        next(S.outcomes(1, 1, 1, 3, 1))
-
-
 def test_stream_equals_batch(spark, sf, tmp_path):
     updates = feeds.level_updates(spark, sf).selectExpr("seq", "locate", "ts_ns", "event_type", "side", "cast(price as bigint) price", "qty")
     rows = updates.orderBy("seq").collect()
