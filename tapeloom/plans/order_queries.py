@@ -11,6 +11,8 @@ from tapeloom.plans.sql import ORDER_FOLD, ORDERS
 from tapeloom.sources import feeds
 
 SAMPLE_EVERY = 64
+#: Symbols from this number on are beyond the universe.
+BOUND = 100
 
 
 def order_feed(spark, sf):
@@ -37,6 +39,22 @@ def order_counters(spark, sf):
     return last.agg(F.sum("n").alias("applied"), F.sum("u").alias("unknown_ref"), F.sum("b").alias("bad_reduce"), F.sum("r").alias("resting"), F.count("*").alias("active"))
 
 
+def run_counters(spark, sf):
+    """The counters of a whole run: messages of symbols beyond the bound, skipped by their type,
+    applied, rejected; events emitted with a two-sided book, and scored as they are served."""
+    messages = feeds.order_messages(spark, sf)
+    known = F.col("locate") < BOUND
+    outside = messages.agg(F.count_if(~known).alias("bad_locate"), F.count_if(known & ~F.col("msg_type").isin(*"AFECXDU")).alias("skipped"))
+    rows = B.state_as_of(messages.where(known), feeds.trading_states(spark, sf).where(known))
+    rows = B.order_features(rows, gate="serve", dealt=True).where("last_leg")
+    emitted = (F.col("bid_levels") > 0) & (F.col("ask_levels") > 0)
+    each = rows.groupBy("locate").agg(
+        F.count("*").alias("a"), F.count_if(emitted).alias("e"), F.count_if("kept").alias("s"), F.count_if(F.col("status") == "unknown_ref").alias("u"), F.count_if(F.col("status") == "bad_reduce").alias("b"), F.max_by("resting", "seq").alias("r")
+    )
+    total = each.agg(F.sum("a").alias("applied"), F.sum("e").alias("emitted"), F.sum("s").alias("scored"), F.sum("u").alias("unknown_ref"), F.sum("b").alias("bad_reduce"), F.sum("r").alias("resting"), F.count("*").alias("active"))
+    return outside.crossJoin(F.broadcast(total))  # one row each
+
+
 def trade_attribution(spark, sf):
     rows = B.order_fold(feeds.order_messages(spark, sf)).where("trade is not null")
     return rows.select("seq", "locate", "trade", F.when(F.col("trade") > 0, "S").otherwise("B").alias("resting_side"))
@@ -117,6 +135,15 @@ CATALOG = {
     "order_fold_status": (order_fold_status, _O + " SELECT f.seq, f.locate, m.msg_type, f.status FROM fold f JOIN om m ON m.seq = f.seq"),
     "order_fold_levels": (order_fold_levels, _BOOK + " SELECT seq, locate, CAST(leg AS BIGINT) AS leg, side, price, qty FROM lv"),
     "order_counters": (order_counters, _O + " SELECT count(*) AS applied, count(CASE WHEN status = 'unknown_ref' THEN 1 END) AS unknown_ref, count(CASE WHEN status = 'bad_reduce' THEN 1 END) AS bad_reduce, count(CASE WHEN added THEN 1 END) - count(CASE WHEN gone THEN 1 END) AS resting, count(DISTINCT locate) AS active FROM fold WHERE seq IS NOT NULL"),
+    "run_counters": (run_counters, _BOOK + """, st AS (
+  SELECT seq, locate, CASE event_type WHEN 'error' THEN 'H' ELSE 'T' END AS state FROM ev WHERE event_type IN ('error', 'signup')
+), j AS (
+  SELECT b.*, b.bid_levels > 0 AND b.ask_levels > 0 AS emitted, f.status, f.added, f.gone FROM ob b JOIN fold f ON f.seq = b.seq WHERE b.locate < 100
+) SELECT (SELECT count(*) FROM om WHERE locate >= 100) AS bad_locate, (SELECT count(*) FROM om WHERE locate < 100 AND msg_type NOT IN ('A', 'F', 'E', 'C', 'X', 'D', 'U')) AS skipped,
+  count(*) AS applied, count(CASE WHEN emitted THEN 1 END) AS emitted, count(CASE WHEN emitted AND ts_ns >= 34200000000000 AND ts_ns < 57600000000000 AND coalesce(s.state, 'T') = 'T' THEN 1 END) AS scored,
+  count(CASE WHEN status = 'unknown_ref' THEN 1 END) AS unknown_ref, count(CASE WHEN status = 'bad_reduce' THEN 1 END) AS bad_reduce,
+  count(CASE WHEN added THEN 1 END) - count(CASE WHEN gone THEN 1 END) AS resting, count(DISTINCT j.locate) AS active
+FROM j ASOF LEFT JOIN st s ON j.locate = s.locate AND j.seq >= s.seq"""),
     "trade_attribution": (trade_attribution, _O + " SELECT seq, locate, trade, CASE WHEN trade > 0 THEN 'S' ELSE 'B' END AS resting_side FROM fold WHERE trade IS NOT NULL"),
     "shared_refs": (shared_refs, "WITH " + ORDERS + " SELECT count(*) AS refs, count(CASE WHEN lo <> hi THEN 1 END) AS shared FROM (SELECT ref, min(locate) AS lo, max(locate) AS hi FROM om WHERE ref >= 0 GROUP BY ref)"),
     "order_book_touch": (order_book_touch, _BOOK + " SELECT seq, best_bid, best_ask, bid_levels, ask_levels FROM ob"),

@@ -1,8 +1,10 @@
 """Length-prefixed exchange messages as a Spark data source, ``spark.read.format("itch")``.
 
-A file is split by bytes. A split finds its first message by itself: at a message's start, a
-chain of following frames has the lengths that their types ask for. So no pass over the file
-comes first, and splits are read in parallel; ``seq`` is the message's place in the file.
+Where a message starts follows from the lengths of all before it, so an index pass hops the
+length prefixes of each file and notes splits at exact frame borders, with the ordinal of each
+one's first message. ``index_frames`` does that as a Spark job, a task per file, and writes an
+index that any number of reads share; without one the source hops when it plans its splits.
+``seq`` is a message's ordinal in its file, counted over all frames.
 """
 
 from __future__ import annotations
@@ -12,17 +14,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 HEADER = 11
 SPLIT_BYTES = 32 << 20
-CHAIN = 24
+#: Bytes read at a time.
+CHUNK = 8 << 20
 #: Fixed values of the feed: body bytes by message type.
 LENGTHS = {
     "S": 12, "R": 39, "H": 25, "Y": 20, "L": 26, "V": 35, "W": 12, "K": 28, "J": 35, "h": 21, "A": 36, "F": 40,
     "E": 31, "C": 36, "X": 23, "D": 19, "U": 35, "P": 44, "Q": 40, "B": 19, "I": 50, "N": 20, "O": 48,
 }
-SCHEMA = "seq long, msg_type string, locate int, ts_ns long, symbol string, ref long, new_ref long, side string, shares long, price long, state string"
+SCHEMA = "file string, seq long, msg_type string, locate int, ts_ns long, symbol string, ref long, new_ref long, side string, shares long, price long, state string"
 #: Columns by the types that have them: (column, types, offset, bytes).
 FIELDS = (
     ("symbol", "R", 11, 8), ("symbol", "AFP", 24, 8), ("ref", "AFECXDUP", 11, 8), ("new_ref", "U", 19, 8), ("side", "AFP", 19, 1),
@@ -48,41 +53,46 @@ def encode(rows: Sequence[dict]) -> bytes:
     return b"".join(out)
 
 
-def find_start(data: bytes, at: int) -> int:
-    """First place from ``at`` on where a chain of frames begins; the end if there is none."""
-    while at + 3 <= len(data):
-        pos, ok = at, 0
-        while ok < CHAIN:
-            if pos == len(data) or (ok and pos + 3 > len(data)):
-                break  # the chain reaches what was read
-            size = int.from_bytes(data[pos : pos + 2], "big")
-            if LENGTHS.get(chr(data[pos + 2])) != size:
-                ok = -1
+def hop(chunks: Iterator[bytes], split_bytes: int = SPLIT_BYTES) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(start, end, first ordinal, frames, short frames, leftover bytes) of each split of a
+    file, cut at frame borders every ``split_bytes`` or a little more. Short frames have less
+    than a header; leftover bytes, of the last split, belong to no whole frame."""
+    held, at, base = b"", 0, 0  # at: where the next frame starts, from the start of held
+    start = ordinal = frames = short = 0
+    for chunk in chunks:
+        held, base, at = held[at:] + chunk, base + at, 0
+        n = len(held)
+        while at + 2 <= n:
+            size = held[at] << 8 | held[at + 1]
+            if at + 2 + size > n:
                 break
-            pos, ok = pos + 2 + size, ok + 1
-        if ok > 0:
-            return at
-        at += 1
-    return len(data)
-
-
-def frames(data: bytes, at: int, until: int) -> list[int]:
-    """Starts of the whole frames that begin before ``until``."""
-    out = []
-    while at < until and at + 2 <= len(data):
-        end = at + 2 + (data[at] << 8 | data[at + 1])
-        if end > len(data):
-            break  # cut off: the end of the file
+            at += 2 + size
+            frames += 1
+            if size < HEADER:
+                short += 1
+            if base + at - start >= split_bytes:
+                yield start, base + at, ordinal, frames, short, 0
+                start, ordinal, frames, short = base + at, ordinal + frames, 0, 0
+    if frames or len(held) > at:
+        yield start, base + at, ordinal, frames, short, len(held) - at
+
+
+def frames(data: bytes) -> list[int]:
+    """Starts of the frames of ``data``, which begins and ends at a frame's border."""
+    out, at = [], 0
+    while at < len(data):
         out.append(at)
-        at = end
+        at += 2 + (data[at] << 8 | data[at + 1])
     return out
 
 
-def decode(data: bytes, starts: Sequence[int], base: int = 0) -> pa.RecordBatch:
-    """Typed columns of the frames at ``starts``; those shorter than a header are left out."""
+def decode(data: bytes, starts: Sequence[int], file: str = "", first: int = 0) -> pa.RecordBatch:
+    """Typed columns of the frames at ``starts``, whose ordinals count from ``first``; those
+    shorter than a header are left out."""
     raw = np.frombuffer(data, np.uint8)
     at = np.asarray(starts, np.int64)
     size = (raw[at].astype(np.int64) << 8) | raw[at + 1] if len(at) else at
+    ordinal = first + np.flatnonzero(size >= HEADER)
     at, size = at[size >= HEADER] + 2, size[size >= HEADER]
 
     def number(rows: np.ndarray, offset: int, width: int) -> np.ndarray:
@@ -105,32 +115,78 @@ def decode(data: bytes, starts: Sequence[int], base: int = 0) -> pa.RecordBatch:
     longs = {n: pa.array(columns[n], pa.int64()) for n in ("ref", "new_ref", "shares", "price")}
     texts = {n: pa.array(columns[n], pa.string()) for n in ("symbol", "side", "state")}
     return pa.RecordBatch.from_arrays(
-        [pa.array(at - 2 + base), pa.array([chr(k) for k in kind], pa.string()), pa.array(number(at, 1, 2).astype(np.int32)), pa.array(number(at, 5, 6)), texts["symbol"], longs["ref"], longs["new_ref"], texts["side"], longs["shares"], longs["price"], texts["state"]],
-        ["seq", "msg_type", "locate", "ts_ns", "symbol", "ref", "new_ref", "side", "shares", "price", "state"],
+        [pa.array([file] * len(at), pa.string()), pa.array(ordinal), pa.array([chr(k) for k in kind], pa.string()), pa.array(number(at, 1, 2).astype(np.int32)), pa.array(number(at, 5, 6)), texts["symbol"], longs["ref"], longs["new_ref"], texts["side"], longs["shares"], longs["price"], texts["state"]],
+        ["file", "seq", "msg_type", "locate", "ts_ns", "symbol", "ref", "new_ref", "side", "shares", "price", "state"],
     )
 
 
+# ---- the index ---------------------------------------------------------------------------
+INDEX = "path string, start long, end long, first_seq long, frames long, short_frames long, leftover_bytes long"
+
+
+def _files(path: str) -> list[str]:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    info = system.get_file_info(inner)
+    found = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file and not f.base_name.startswith(("_", "."))]
+    return sorted(f.path for f in found)
+
+
+def _splits(root: str, path: str, split_bytes: int) -> Iterator[tuple]:
+    from pyarrow import fs
+
+    system, _ = fs.FileSystem.from_uri(root)
+    with system.open_input_stream(path, compression=None) as f:
+        yield from ((path, *s) for s in hop(iter(lambda: f.read(CHUNK), b""), split_bytes))
+
+
+def index_frames(spark: SparkSession, path: str, index: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Write the frame index of the files at ``path`` to ``index`` (Parquet, columns of
+    ``INDEX``) and return it. A task hops through one file in chunks; files go in parallel."""
+    files = _files(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                rows = list(_splits(path, name, split_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, (pa.string(), *[pa.int64()] * 6), strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+
+    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)), "path")
+    listed.mapInArrow(run, INDEX).write.mode("overwrite").parquet(index)
+    return spark.read.schema(INDEX).parquet(index)
+
+
+def frame_counters(index: DataFrame) -> DataFrame:
+    """``path, frames, short_frames, leftover_bytes`` of each file."""
+    return index.groupBy("path").agg(*[F.sum(c).alias(c) for c in ("frames", "short_frames", "leftover_bytes")])
+
+
+# ---- the source --------------------------------------------------------------------------
 class Split(InputPartition):
-    def __init__(self, path: str, start: int, end: int, size: int):
-        self.path, self.start, self.end, self.size = path, start, end, size
+    def __init__(self, path: str, start: int, end: int, first: int):
+        self.path, self.start, self.end, self.first = path, start, end, first
 
 
 class ItchReader(DataSourceReader):
     def __init__(self, options: dict):
         if "path" not in options:
             raise ValueError("format itch needs a path")
-        self.path = options["path"]
+        self.path, self.index = options["path"], options.get("index")
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
-        self.locate = int(options["locate"]) if "locate" in options else None
-        self.types = options.get("types")
+        self.locates = {int(options["locate"])} if "locate" in options else None
+        self.types = set(options["types"]) if options.get("types") else None
 
     def partitions(self) -> list[Split]:
-        from pyarrow import fs
+        if self.index:
+            from pyarrow import parquet
 
-        system, path = fs.FileSystem.from_uri(self.path)
-        info = system.get_file_info(path)
-        files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file]
-        return [Split(f.path, at, min(f.size, at + self.split_bytes), f.size) for f in sorted(files, key=lambda f: f.path) for at in range(0, max(f.size, 1), self.split_bytes)]
+            rows = parquet.read_table(self.index).select(["path", "start", "end", "first_seq"]).to_pylist()
+            wanted = set(_files(self.path))
+            rows = [(r["path"], r["start"], r["end"], r["first_seq"]) for r in rows if r["path"] in wanted]
+        else:
+            rows = [s[:4] for f in _files(self.path) for s in _splits(self.path, f, self.split_bytes)]
+        return [Split(*r) for r in sorted(rows)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         from pyarrow import compute as pc
@@ -139,21 +195,37 @@ class ItchReader(DataSourceReader):
         system, _ = fs.FileSystem.from_uri(self.path)
         with system.open_input_file(split.path) as f:
             f.seek(split.start)
-            data = f.read(min(split.size, split.end + (1 << 17)) - split.start)  # the last frame may go on
-        first = find_start(data, 0) if split.start else 0
-        starts = frames(data, first, split.end - split.start)
+            data = f.read(split.end - split.start)
+        starts, name = frames(data), split.path.rsplit("/", 1)[-1]
         for at in range(0, len(starts), 100_000):
-            b = decode(data, starts[at : at + 100_000], split.start)
-            if self.locate is not None:
-                b = b.filter(pc.equal(b.column("locate"), self.locate))
-            if self.types:
-                b = b.filter(pc.is_in(b.column("msg_type"), pa.array(list(self.types))))
+            b = decode(data, starts[at : at + 100_000], name, split.first + at)
+            if self.locates is not None:
+                b = b.filter(pc.is_in(b.column("locate"), pa.array(sorted(self.locates), pa.int32())))
+            if self.types is not None:
+                b = b.filter(pc.is_in(b.column("msg_type"), pa.array(sorted(self.types), pa.string())))
             yield b
 
 
+class PushingReader(ItchReader):
+    """Takes equality and membership filters on locate and msg_type off the query. Spark asks
+    for them only if ``spark.sql.python.filterPushdown.enabled`` is set, and refuses a reader
+    that offers to take them if it isn't."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("locate",):
+                self.locates = values if self.locates is None else self.locates & values
+            elif values is not None and f.attribute == ("msg_type",):
+                self.types = values if self.types is None else self.types & values
+            else:
+                yield f
+
+
 class ItchSource(DataSource):
-    """Options: path, splitBytes, and the filters locate and types, which are applied before
-    rows reach Spark."""
+    """Options: path; index, of ``index_frames``, or splitBytes; the filters locate and types,
+    applied before rows reach Spark; pushFilters, true where the session pushes filters to
+    Python sources."""
 
     @classmethod
     def name(cls) -> str:
@@ -163,4 +235,5 @@ class ItchSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ItchReader:
-        return ItchReader({k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushingReader if options.get("pushfilters", "false").lower() == "true" else ItchReader)(options)

@@ -50,6 +50,64 @@ def test_itch_round_trip_over_splits(spark, tmp_path, split):
     assert [tuple(g[n] for n in names) for g in got] == want
 
 
+def plain_frames(data):
+    """(ordinal, body) of every whole frame, and what is left."""
+    out, at = [], 0
+    while at + 2 <= len(data) and at + 2 + int.from_bytes(data[at : at + 2], "big") <= len(data):
+        size = int.from_bytes(data[at : at + 2], "big")
+        out.append((len(out), data[at + 2 : at + 2 + size]))
+        at += 2 + size
+    return out, len(data) - at
+
+
+@pytest.mark.parametrize("split", [60, 997, 10_000, 1 << 25])
+def test_unknown_types_short_frames_and_a_cut_tail_at_any_split(spark, tmp_path, split):
+    """An unlisted type every eleventh message, frames below a header, a tail cut off."""
+    rng, parts = random.Random(5), []
+    for i, r in enumerate(sample(2200)):
+        if i % 11 == 0:
+            body = b"z" + bytes(rng.randrange(256) for _ in range(rng.choice((10, 17, 70, 3000))))
+            parts.append(len(body).to_bytes(2, "big") + body)
+        elif i % 97 == 0:
+            parts.append(rng.choice((b"\x00\x00", b"\x00\x03Sxx")))
+        else:
+            parts.append(I.encode([r]))
+    data = b"".join(parts) + b"\x00\x24A"
+    (tmp_path / "feed").mkdir()
+    for name in ("a.itch", "b.itch"):
+        (tmp_path / "feed" / name).write_bytes(data if name < "b" else data[:5000])
+    spark.dataSource.register(I.ItchSource)
+    found = I.index_frames(spark, str(tmp_path / "feed"), str(tmp_path / "index"), split)
+    counters = {r.path.rsplit("/", 1)[1]: (r.frames, r.short_frames, r.leftover_bytes) for r in I.frame_counters(found).collect()}
+    read = spark.read.format("itch").option("path", str(tmp_path / "feed"))
+    for df in (read.option("index", str(tmp_path / "index")).load(), read.option("splitBytes", split).load()):
+        got = {}
+        for r in df.collect():
+            got.setdefault(r.file, []).append((r.seq, r.msg_type, r.locate))
+        for name, own in (("a.itch", data), ("b.itch", data[:5000])):
+            whole, left = plain_frames(own)
+            want = [(n, chr(b[0]), int.from_bytes(b[1:3], "big")) for n, b in whole if len(b) >= I.HEADER]
+            assert sorted(got[name]) == want
+            assert counters[name] == (len(whole), sum(len(b) < I.HEADER for _, b in whole), left)
+
+
+def test_pushed_filters(spark, tmp_path):
+    rows = sample(500)
+    path = tmp_path / "day.itch"
+    path.write_bytes(I.encode(rows))
+    spark.dataSource.register(I.ItchSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("itch").option("path", str(path)).option("pushFilters", "true").load()
+        one = rows[7]["locate"]
+        assert df.where(f"locate = {one} and seq >= 0").count() == sum(r["locate"] == one for r in rows)
+        some = df.where("msg_type in ('A', 'U')")
+        assert some.count() == sum(r["msg_type"] in "AU" for r in rows)
+        assert ") Filter" not in some._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_itch_filters_and_short_frames(spark, tmp_path):
     rows = sample(400)
     path = tmp_path / "day.itch"
