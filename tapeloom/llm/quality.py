@@ -31,7 +31,7 @@ KEEP_FROM = 0.3
 VOCABULARY = 20_000
 LEAST_SEEN = 2
 DIMENSIONS = 48
-#: Entries of an index vector that are not zero, and words to either side that a word vector adds.
+#: Entries of an index vector that are not zero, and units to either side that a word vector adds.
 NON_ZERO = 6
 WINDOW = 2
 HIDDEN = 24
@@ -68,13 +68,6 @@ def index_vector(unit: str) -> np.ndarray:
     return v
 
 
-def sums_of_runs(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums over the runs of rows of whole numbers that begin at ``first``."""
-    upto = np.cumsum(x, axis=0, dtype=np.int64)[np.concatenate((first[1:], [len(x)])) - 1]
-    upto[1:] -= upto[:-1].copy()
-    return upto
-
-
 def grown(x: np.ndarray, more: np.ndarray) -> np.ndarray:
     """``x`` with ``more`` behind it, in place where the array that ``x`` begins has room."""
     n, room = len(x), x.base
@@ -160,67 +153,64 @@ def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
     return {r["unit"]: i for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["unit"]))[:size])}
 
 
-def neighbour_sums(rows: np.ndarray, words: WordRows, out: np.ndarray, start: int = 0) -> None:
-    """Add to ``out``, a row per unit, the index vectors of all units of the words up to WINDOW
-    places beside each of its words. Rows of 0 are no words and part texts. Words before
-    ``start`` and the last WINDOW ones are only neighbours."""
-    words.settle()
-    beside = words.values[rows]
-    around = np.zeros((len(rows), DIMENSIONS), np.int32)
+def neighbour_sums(ids: np.ndarray, base: np.ndarray, out: np.ndarray, seen: int = 0) -> None:
+    """Add to ``out`` the index vectors of each unit's neighbours up to WINDOW places away;
+    negative ids are no units and part texts. Pairs among the first ``seen`` ids, which a part
+    before ended in, are not counted again."""
+    n = len(base)
     for k in range(1, WINDOW + 1):
-        around[k:] += beside[:-k]
-        around[:-k] += beside[k:]
-    at = np.arange(start, len(rows) - WINDOW)
-    at = at[rows[at] > 0]
-    at = at[np.argsort(rows[at], kind="stable")]
-    word = rows[at]
-    if not len(word):
-        return
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    sums, word = sums_of_runs(around[at], first), word[first]
-    sizes, flat = words.sizes, words.ids
-    starts, own = np.cumsum(sizes) - sizes, sizes[word]
-    at = np.repeat(starts[word], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-    unit, source = flat[at], np.repeat(np.arange(len(word)), own)
-    unit, source = unit[unit >= 0], source[unit >= 0]
-    order = np.argsort(unit, kind="stable")
-    unit, source = unit[order], source[order]
-    if len(unit):
+        skip = max(0, seen - k)
+        a, b = ids[skip : len(ids) - k], ids[skip + k :]
+        ok = (a >= 0) & (b >= 0)
+        a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
+        pairs, times = np.unique(np.concatenate((a * n + b, b * n + a)), return_counts=True)
+        if not len(pairs):
+            continue
+        unit, other = pairs // n, pairs % n
         first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        out[unit[first]] += sums_of_runs(sums[source], first)
+        out[unit[first]] += np.add.reduceat(base[other] * times[:, None].astype(np.int32), first, axis=0)
+
+
+class UnitIds(dict):
+    """Word -> the ids of its units, -1 for those outside the vocabulary; a word seen before
+    costs a lookup."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        out = self[word] = tuple([self.vocabulary.get(u, -1) for u in units(word)])
+        return out
 
 
 def word_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """Random indexing: a unit's vector sums its own index vector and those of all units of the
-    neighbouring words, over all its places in all texts, at length one. Sums are of whole
-    numbers, so no order of tasks changes them; a task sends a row per unit that it met, the
-    driver gets the sums."""
+    """Random indexing: a unit's vector sums its own index vector and those of its neighbours,
+    over all its places in all texts, at length one. Sums are of whole numbers, so no order of
+    tasks changes them; a task sends a row per unit that it met, the driver gets the sums."""
     base = np.array([index_vector(u) for u in vocabulary], np.int32).reshape(-1, DIMENSIONS)
     if not len(vocabulary):
         return np.zeros((0, DIMENSIONS), np.float32)
-    padded = np.concatenate((base, np.zeros((1, DIMENSIONS), np.int32)))  # the last for unknown units
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordRows(vocabulary, padded)
+        known = UnitIds(vocabulary)
         sums = np.zeros((len(vocabulary), DIMENSIONS), np.int64)
-        border = np.zeros(WINDOW, np.int64)
-        held, size, start = [border], 0, 0
+        held: list[np.ndarray] = []
+        size = seen = 0
         for b in batches:
             for text in b.column(0):
-                own = (text.as_py() or "").split()
-                for at in range(0, len(own), 25_000):
-                    held.append(words.rows(own[at : at + 25_000]))
+                words = (text.as_py() or "").split()
+                held.append(np.full(WINDOW, -1, np.int32))
+                for at in range(0, len(words), 50_000):
+                    held.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words[at : at + 50_000])), np.int32))
                     size += len(held[-1])
-                    if size > 25_000:
-                        rows = np.concatenate(held)
-                        neighbour_sums(rows, words, sums, start)
-                        held, size, start = [rows[-2 * WINDOW :]], 0, WINDOW
-                held.append(border)
-                if len(words) > CACHE_WORDS:
-                    neighbour_sums(np.concatenate(held), words, sums, start)
-                    words.shrink()
-                    held, size, start = [border], 0, 0
-        neighbour_sums(np.concatenate([*held, border]), words, sums, start)
+                    if size > 150_000:
+                        ids = np.concatenate(held)
+                        neighbour_sums(ids, base, sums, seen)
+                        held, size, seen = [ids[-WINDOW:]], 0, WINDOW
+        if held:
+            neighbour_sums(np.concatenate(held), base, sums, seen)
         met = np.flatnonzero(sums.any(1)).astype(np.int32)
         for at in range(0, len(met), 2000):
             part = met[at : at + 2000]
