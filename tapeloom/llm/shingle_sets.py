@@ -9,6 +9,8 @@ each two tiles are a group of their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,6 +80,13 @@ def simhash_of(shingles: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(shingles)).tobytes(), "little", signed=True)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that the sets of a whole batch are never held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 #: A row's key: whether its doc_id is null, the doc_id, two hashes of its text and one of all
 #: other columns. Rows of one key are the same row.
 KEY = ("no_id", "id", "h1", "h2", "h3")
@@ -106,7 +115,7 @@ def with_bands(keyed: DataFrame) -> DataFrame:
     width = len(KEY)
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches):
             sets = [shingle_set(t) for t in b.column(width).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
@@ -176,7 +185,7 @@ def similar_links(keyed: DataFrame, rows: DataFrame, min_similarity: float = MIN
     texts = keyed.select(*KEY, "text").join(members, list(KEY)).select("node", "root", "tiles", "text")
 
     def sets(batches):
-        for b in batches:
+        for b in parts_of(batches):
             found = pa.array([shingle_set(t).tobytes() for t in b.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], found], ["node", "root", "tiles", "items"])
 
