@@ -147,6 +147,7 @@ class BookStage:
     def __init__(self) -> None:
         self.qty: dict[str, dict[int, int]] = {"B": {}, "S": {}}
         self.keys: dict[str, list[int]] = {"B": [], "S": []}  # best first: bids by minus price
+        self.best: dict[str, tuple[list[int], list[int]]] = {"B": ([], []), "S": ([], [])}  # prices, quantities; replaced, never changed
 
     def __call__(self, f: Columns) -> Columns:
         actions = f.get("action") or [None] * len(f["side"])
@@ -165,10 +166,11 @@ class BookStage:
                     totals[price] = qty
                 elif existed:
                     del totals[price], keys[rank]
-            bids, asks = self.keys["B"], self.keys["S"]
-            bid_px, ask_px = [-x for x in bids[:LEVELS]], asks[:LEVELS]
-            bid_qty, ask_qty = [self.qty["B"][p] for p in bid_px], [self.qty["S"][p] for p in ask_px]
-            out.append((bid_px, bid_qty, ask_px, ask_qty, len(bids), len(asks), found, rank, existed))
+                if rank < LEVELS:  # a change beyond them leaves the best levels as they are
+                    top = [-x for x in keys[:LEVELS]] if side == "B" else keys[:LEVELS]
+                    self.best[side] = top, [totals[p] for p in top]
+            (bid_px, bid_qty), (ask_px, ask_qty) = self.best["B"], self.best["S"]
+            out.append((bid_px, bid_qty, ask_px, ask_qty, len(self.keys["B"]), len(self.keys["S"]), found, rank, existed))
         names = ("bid_px", "bid_qty", "ask_px", "ask_qty", "bid_levels", "ask_levels", "found", "rank", "existed")
         return f | dict(zip(names, map(list, zip(*out, strict=True)) if out else ([] for _ in names), strict=True))
 
