@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.llm import audio, embedding_dedup, infilling, language, mixing, packing, pieces, quality, sharding, simhash, token_counts, warc
+from tapeloom.llm import audio, embedding_dedup, infilling, language, merkle, mixing, packing, pieces, quality, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
     "op11_infilling": infilling.op11_infilling,
+    "op12_merkle": merkle.op12_merkle,
     "op13_pieces": pieces.op13_pieces,
 }
 ORACLES = {
     "op7_warc": warc.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op11_infilling": infilling.OP11_SQL,
+    "op12_merkle": merkle.OP12_SQL,
 }
