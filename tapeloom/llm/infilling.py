@@ -108,7 +108,8 @@ def _joined(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(staged(counts.select("key", F.ceil(F.col("count") / limit).alias("parts")), "hot-texts"))  # fewer than 1 / HOT_SHARE rows
     index = distinct_texts(docs)
     lists = lambda df: df.withColumn("borders", border_lists("text"))
-    cold = rows.join(hot, "key", "left_anti").join(lists(index.join(hot, "key", "left_anti")), "key")
+    # a left join stays above the grouping, so that both branches read one shuffle of texts
+    cold = rows.join(hot, "key", "left_anti").join(lists(index.join(hot, "key", "left").where("parts is null").drop("parts")), "key")
     parts = lists(index.join(hot, "key")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     dealt = rows.join(hot, "key").withColumn("part", F.pmod(F.monotonically_increasing_id(), "parts")).drop("parts")
     columns = ("doc_id", "text", "borders.n", "borders.width", "borders.low", "borders.high")
