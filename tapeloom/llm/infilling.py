@@ -7,6 +7,8 @@ ranks of their two cuts from their id, and select just those two borders from th
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,15 +61,16 @@ def select(width: int, low: bytes, high: bytes, ranks: np.ndarray) -> np.ndarray
     return ((place * 8 + inside - ranks) << width) + (rest.astype(np.int64) << np.arange(width)).sum(axis=1)
 
 
-LIST = T.StructType().add("n", "integer").add("width", "integer").add("low", "binary").add("high", "binary")
+ENTRY = T.StructType().add("text", "string").add("n", "integer").add("width", "integer").add("low", "binary").add("high", "binary")
 CUT = T.StructType().add("first", "long").add("second", "long")
 
 
-@F.arrow_udf(LIST)
-def border_lists(text: pa.Array) -> pa.Array:
-    rows = [pack(borders(t.as_py())) for t in text]
-    names, kinds = ("n", "width", "low", "high"), (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+@F.arrow_udf(ENTRY)
+def entry(text: pa.Array) -> Any:
+    """A distinct text with the list of its borders; as an aggregate it leaves texts where they
+    have been dealt to."""
+    value = text[0].as_py()
+    return {"text": value, **dict(zip(("n", "width", "low", "high"), pack(borders(value)), strict=True))}
 
 
 @F.arrow_udf(CUT)
@@ -107,13 +110,12 @@ def _joined(docs: DataFrame) -> DataFrame:
     counts = rows.groupBy("key").count().where(F.col("count") > limit)
     hot = F.broadcast(staged(counts.select("key", F.ceil(F.col("count") / limit).alias("parts")), "hot-texts"))  # fewer than 1 / HOT_SHARE rows
     index = distinct_texts(docs)
-    lists = lambda df: df.withColumn("borders", border_lists("text"))
+    lists = lambda df: df.groupBy("key").agg(entry("text").alias("entry"))
     # a left join stays above the grouping, so that both branches read one shuffle of texts
-    cold = rows.join(hot, "key", "left_anti").join(lists(index.join(hot, "key", "left").where("parts is null").drop("parts")), "key")
-    parts = lists(index.join(hot, "key")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    cold = rows.join(hot, "key", "left_anti").join(lists(index.join(hot, "key", "left").where("parts is null")), "key")
+    parts = lists(index.join(hot, "key")).join(hot, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     dealt = rows.join(hot, "key").withColumn("part", F.pmod(F.monotonically_increasing_id(), "parts")).drop("parts")
-    columns = ("doc_id", "text", "borders.n", "borders.width", "borders.low", "borders.high")
-    return cold.select(*columns).unionAll(dealt.join(parts, ["key", "part"]).select(*columns))
+    return cold.select("doc_id", "entry.*").unionAll(dealt.join(parts, ["key", "part"]).select("doc_id", "entry.*"))
 
 
 # ---- documents ---------------------------------------------------------------------------
