@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,33 +72,62 @@ def zscore_apply(rows: DataFrame, stats: DataFrame, columns: Sequence[str]) -> D
     return out.withColumns(scaled).drop(*stats.columns)
 
 
-def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: Sequence[str] = (), cells: int = 4096) -> DataFrame:
-    """The value at given positions, from 0, of each group's sorted finite values, exactly;
-    ``ranks`` makes positions of a group's count.
+#: Values of an interval from which on it is cut into cells, and cells of a cut.
+SMALL, CELLS = 1 << 16, 4096
 
-    Values are dealt to cells between the group's smallest and largest. Counts of the cells say
-    in which one a position falls, and only the values of those are counted one by one and put
-    in order: no task holds or orders a group.
+
+def _place(v: Column, lo: Column, hi: Column, cells: int) -> Column:
+    """The cell of a value between ``lo`` and ``hi``, a rising function of it. Ends of one sign and
+    within a factor of four are cut in equal steps; all others by the logarithm of their size, 64
+    cells to a power of two, so that a few far values don't press the rest into one cell."""
+    wider = F.when(F.abs(hi) >= F.abs(lo), hi).otherwise(lo)  # quotients by it are exact enough to tell ends apart, and never overflow
+    a, b = F.try_divide(lo, wider), F.try_divide(hi, wider)
+    near = (F.signum(lo) == F.signum(hi)) & (F.least(F.abs(a), F.abs(b)) >= 0.25)
+    step = F.floor(F.try_divide(F.try_divide(v, wider) - a, b - a) * cells)
+    size = F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(v)) * 64) + 68_800)  # from 2^-1074 on, counted from above 0
+    return F.when(hi <= lo, F.lit(0)).when(near, F.least(F.greatest(step, F.lit(0)), F.lit(cells - 1))).otherwise(F.signum(v) * size).cast("int")
+
+
+def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: Sequence[str] = (), cells: int = CELLS, small: int = SMALL) -> DataFrame:
+    """The value at given positions, from 0, of each group's sorted values, exactly; ``ranks``
+    makes positions of a group's count. Nulls and what isn't finite are no values.
+
+    Exact selection by descent: the interval in which a position falls is cut into cells, whose
+    counts say in which of them it goes on, until the interval holds few values or one. Only
+    those few are put in order. Rows are staged once; no task holds a group, however its values
+    lie.
     """
-    v = F.col("_v").cast("double")
     key = F.to_json(F.struct(*by)) if by else F.lit("")
-    rows = rows.where(F.col(value).isNotNull()).select(*by, key.alias("_g"), F.col(value).alias("_v"))
-    ends = rows.groupBy("_g").agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_all"), *[F.first(c).alias(c) for c in by])
-    place = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells).cast("int")
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(cells - 1))).otherwise(0)
-    dealt = rows.select("_g", "_v").join(ends.select("_g", "_lo", "_hi"), "_g").select("_g", "_v", cell.alias("_cell"))
-    upto = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # cells of a group
-    counts = dealt.groupBy("_g", "_cell").count().withColumn("_to", F.sum("count").over(upto)).join(ends.select("_g", "_all"), "_g")
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_all")).cast("long").alias("rank")) for name, rank in ranks.items()]))
-    asked = counts.select("_g", "_cell", (F.col("_to") - F.col("count")).alias("_from"), "_to", asked.alias("_ask"))
-    asked = asked.where((F.col("_ask.rank") >= F.col("_from")) & (F.col("_ask.rank") < F.col("_to")))
-    asked = staged(asked.select("_g", "_cell", "_ask.name", (F.col("_ask.rank") - F.col("_from")).alias("_k")), "asked")
-    inside = Window.partitionBy("_g", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = dealt.join(asked.select("_g", "_cell").distinct(), ["_g", "_cell"], "left_semi").groupBy("_g", "_cell", "_v").count()
-    values = values.withColumn("_to", F.sum("count").over(inside))
-    found = values.join(asked, ["_g", "_cell"]).where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("count")))
+    v = F.col("_v").cast("double")
+    finite = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) != F.lit(float("inf")))
+    rows = staged(rows.where(finite).select(*by, key.alias("_g"), F.col(value).alias("_v")), "values")
+    groups = rows.groupBy("_g").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("_all"), *[F.first(c).alias(c) for c in by])
+    groups = staged(groups, "groups")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_all")).cast("long").alias("k")) for name, rank in ranks.items()]))
+    asked = groups.select("_g", "lo", "hi", F.col("_all").alias("n"), each.alias("_ask")).select("_g", "_ask.name", "_ask.k", "lo", "hi", "n").where("k >= 0 and k < n")
+    done = []
+    while True:
+        asked = staged(asked, "asked")
+        wide = (F.col("n") > small) & (F.col("lo") < F.col("hi"))
+        done.append(asked.where(~wide))
+        asked = asked.where(wide)
+        if asked.isEmpty():
+            break
+        spans = asked.select("_g", "lo", "hi").distinct()  # positions in one interval descend together
+        inside = rows.join(spans, "_g").where((v >= F.col("lo")) & (v <= F.col("hi")))
+        counts = inside.groupBy("_g", "lo", "hi", _place(v, F.col("lo"), F.col("hi"), cells).alias("cell")).agg(F.count("*").alias("m"), F.min(v).alias("first"), F.max(v).alias("last"))
+        upto = Window.partitionBy("_g", "lo", "hi").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # cells of a cut
+        counts = counts.withColumn("to", F.sum("m").over(upto))
+        found = asked.join(counts, ["_g", "lo", "hi"]).where((F.col("k") < F.col("to")) & (F.col("k") >= F.col("to") - F.col("m")))
+        asked = found.select("_g", "name", (F.col("k") - (F.col("to") - F.col("m"))).alias("k"), F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("m").alias("n"))
+    asked = reduce(DataFrame.unionAll, done)
+    spans = asked.select("_g", "lo", "hi").distinct()
+    values = rows.join(spans, "_g").where((v >= F.col("lo")) & (v <= F.col("hi"))).groupBy("_g", "lo", "hi", "_v").count()  # equal values are one row
+    inside = Window.partitionBy("_g", "lo", "hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("to", F.sum("count").over(inside))
+    found = values.join(asked, ["_g", "lo", "hi"]).where((F.col("k") < F.col("to")) & (F.col("k") >= F.col("to") - F.col("count")))
     picked = found.groupBy("_g").agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
-    return ends.select("_g", "_all", *by).join(picked, "_g").drop("_g")
+    return groups.select("_g", "_all", *by).join(picked, "_g").drop("_g")
 
 
 def nearest_lower_percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

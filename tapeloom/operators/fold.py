@@ -2,8 +2,8 @@
 
 ``symbol_fold`` deals rows by symbol once, sorts them by sequence and runs a chain of small
 stateful stages over each symbol's rows. The chain shares that one shuffle, and state passes
-from batch to batch, so a symbol's rows are never in memory together. One symbol can't be
-split; its sessions can, when the key holds a date.
+from batch to batch, so a symbol's rows are never in memory together. Chunks of hot symbols are
+keys of their own, whose first rows, without a sequence number, hold what came before them.
 
 A stage takes the columns of consecutive rows of one symbol, as lists by name, and returns
 columns. Batches hold many symbols, so what is paid per batch isn't paid per symbol.
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tapeloom.operators.chunks import summary
+
 LEVELS = 5
 Columns = dict[str, list]
 Stage = Callable[[Columns], Columns]
@@ -35,9 +37,10 @@ def runs_of(keys: list[list]) -> Iterator[tuple[tuple, int, int]]:
             start = i
 
 
-def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Stage]], schema: str, key: str | Sequence[str] = "locate", order: str = "seq", dealt: bool = False) -> DataFrame:
+def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Stage]], schema: str, key: str | Sequence[str] = "locate", order: str | Sequence[str] = "seq", dealt: bool = False) -> DataFrame:
     """``dealt`` says that all rows of a key are in one partition already."""
     keys = [key] if isinstance(key, str) else list(key)
+    order = [order] if isinstance(order, str) else list(order)
     types = _parse_datatype_string(schema)
     assert isinstance(types, StructType)
     arrow = to_arrow_schema(types)
@@ -60,7 +63,7 @@ def symbol_fold(rows: DataFrame, stages: Sequence[Callable[[], Stage]], schema:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     rows = rows if dealt else rows.repartition(*keys)
-    return rows.sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 class OrderStage:
@@ -139,6 +142,58 @@ class OrderStage:
 ORDER_SCHEMA = "seq long, locate long, ts_ns long, msg_type string, leg int, status string, trade long, last_leg boolean, side string, price long, qty long, resting long"
 
 
+class LifeStage:
+    """Messages, sorted by the root of their order's life and then by sequence, to changes of
+    levels. All that one order meets, through all references that replaces give it, is one life;
+    it is worked through like by ``OrderStage``, but gives what a message adds to a level and to
+    the number of resting orders in place of totals. Rows carry the order's symbol."""
+
+    def __init__(self) -> None:
+        self.root: int | None = None
+        self.orders: dict[int, list] = {}
+
+    def __call__(self, f: Columns) -> Columns:
+        out: list[tuple] = []
+        columns = (f[c] for c in ("root", "locate", "msg_type", "ref", "new_ref", "side", "shares", "price"))
+        for i, (root, locate, kind, ref, new_ref, side, shares, price) in enumerate(zip(*columns, strict=True)):
+            if root != self.root:
+                self.root, self.orders = root, {}
+            orders, opens = self.orders, kind in "AF"
+            if opens:
+                if side not in ("B", "S"):
+                    raise ValueError(f"side {side!r} of order {ref} is neither B nor S")
+                fresh = int(ref not in orders)
+                orders[ref] = [price, shares, side, locate]
+                out.append((i, locate, 1, "ok", None, True, side, price, shares, fresh))
+                continue
+            held = orders.get(ref)
+            if held is None:
+                out.append((i, locate, 1, "unknown_ref", None, True, None, None, None, 0))
+                continue
+            at, left, own, home = held
+            trade = (shares if own == "S" else -shares) if kind in "EC" else None
+            taken = left if kind in "DU" else shares
+            if taken > left:
+                out.append((i, home, 1, "bad_reduce", trade, True, None, None, None, 0))
+                continue
+            held[1] = left - taken
+            gone = not held[1]
+            if gone:
+                del orders[ref]
+            out.append((i, home, 1, "ok", trade, kind != "U", own, at, -taken, -int(gone)))
+            if kind == "U":
+                fresh = int(new_ref not in orders)
+                orders[new_ref] = [price, shares, own, home]
+                out.append((i, home, 2, "ok", trade, True, own, price, shares, fresh))
+        at = [r[0] for r in out]
+        names = ("locate", "leg", "status", "trade", "last_leg", "side", "price", "change", "born")
+        kept = {c: [f[c][i] for i in at] for c in ("seq", "ts_ns", "msg_type", "state", "since") if c in f}
+        return kept | dict(zip(names, map(list, zip(*[r[1:] for r in out], strict=True)) if out else ([] for _ in names), strict=True))
+
+
+LIFE_SCHEMA = "seq long, locate long, ts_ns long, msg_type string, leg int, status string, trade long, last_leg boolean, side string, price long, change long, born long"
+
+
 class BookStage:
     """Level updates to the book after each: both sides' best levels, and how deep the change
     lay in the side that it found. A row without a price leaves the book as it is; action
@@ -181,21 +236,32 @@ BOOK_COLUMNS = "bid_px array<long>, bid_qty array<long>, ask_px array<long>, ask
 class FeatureStage:
     """The recurrent features, in float32, over the rows that ``keep`` lets through: three
     averages of the middle price, decayed signed volume and trade count, and the average
-    absolute move. Trades add up at every row; all else moves only with rows kept."""
+    absolute move. Trades add up at every row; all else moves only with rows kept. Rows without
+    a sequence number are not of the feed; one with a ``start`` gives the state to start from."""
 
     def __init__(self, keep: Callable[[Columns], list[bool]] | None = None):
         self.keep = keep
         self.fast = self.middle = self.slow = self.moves = self.before = None
         self.volume = self.rate = np.float32(0)
 
+    def _start(self, state: list[float]) -> None:
+        fast, middle, slow, moves, before, self.volume, self.rate = map(np.float32, state)
+        if not np.isnan(before):
+            self.fast, self.middle, self.slow, self.moves, self.before = fast, middle, slow, moves, int(state[4])
+
     def __call__(self, f: Columns) -> Columns:
         f32 = np.float32
         one, thousand, decay, quick, mild, calm = f32(1), f32(1000), f32(0.999), f32(0.10), f32(0.03), f32(0.01)
         n = len(f["bid_px"])
         trades, legs, lasts = f.get("trade") or [None] * n, f.get("leg") or [1] * n, f.get("last_leg") or [True] * n
         gate = self.keep(f) if self.keep else [True] * n
+        starts = f.get("start")
+        if starts is not None:
+            gate = [ok and seq is not None for ok, seq in zip(gate, f["seq"], strict=True)]
         out: list[tuple] = []
-        for bids, asks, trade, leg, last, open_ in zip(f["bid_px"], f["ask_px"], trades, legs, lasts, gate, strict=True):
+        for bids, asks, trade, leg, last, open_, start in zip(f["bid_px"], f["ask_px"], trades, legs, lasts, gate, starts or [None] * n, strict=True):
+            if start is not None:
+                self._start(start)
             if trade is not None and leg == 1:
                 self.volume += f32(trade)
                 self.rate += one
@@ -224,4 +290,23 @@ class FeatureStage:
         return f | dict(zip(names, map(list, zip(*out, strict=True)) if out else ([] for _ in names), strict=True))
 
 
+class SummaryStage:
+    """One row per batch of a chunk: what its rows do to the state of ``FeatureStage``."""
+
+    def __init__(self, keep: Callable[[Columns], list[bool]] | None = None):
+        self.keep, self.part = keep, 0
+
+    def __call__(self, f: Columns) -> Columns:
+        n = len(f["bid_px"])
+        trades, legs, lasts = f.get("trade") or [None] * n, f.get("leg") or [1] * n, f.get("last_leg") or [True] * n
+        gate = self.keep(f) if self.keep else [True] * n
+        kept = np.array([bool(b and a and last and ok and seq is not None) for b, a, last, ok, seq in zip(f["bid_px"], f["ask_px"], lasts, gate, f["seq"], strict=True)], bool)
+        mids = np.array([b[0] + int((a[0] - b[0]) / 2) for b, a, k in zip(f["bid_px"], f["ask_px"], kept, strict=True) if k], float)
+        counts = np.array([t is not None and leg == 1 for t, leg in zip(trades, legs, strict=True)], float)
+        sizes = np.array([float(t) if c else 0.0 for t, c in zip(trades, counts, strict=True)], float)
+        row = {"locate": f["locate"][0], "chunk": f["chunk"][0], "part": self.part} | summary(mids, kept, sizes, counts)
+        self.part += 1
+        return {name: [value] for name, value in row.items()}
+
+
 FEATURE_COLUMNS = "kept boolean, mid long, spread long, mom_fast float, mom_slow float, signed_vol float, trade_rate float, realized_vol float"

@@ -45,8 +45,7 @@ def run_counters(spark, sf):
     messages = feeds.order_messages(spark, sf)
     known = F.col("locate") < BOUND
     outside = messages.agg(F.count_if(~known).alias("bad_locate"), F.count_if(known & ~F.col("msg_type").isin(*"AFECXDU")).alias("skipped"))
-    rows = B.state_as_of(messages.where(known), feeds.trading_states(spark, sf).where(known))
-    rows = B.order_features(rows, gate="serve", dealt=True).where("last_leg")
+    rows = B.served_features(messages.where(known), feeds.trading_states(spark, sf).where(known)).where("last_leg")
     emitted = (F.col("bid_levels") > 0) & (F.col("ask_levels") > 0)
     each = rows.groupBy("locate").agg(
         F.count("*").alias("a"), F.count_if(emitted).alias("e"), F.count_if("kept").alias("s"), F.count_if(F.col("status") == "unknown_ref").alias("u"), F.count_if(F.col("status") == "bad_reduce").alias("b"), F.max_by("resting", "seq").alias("r")
@@ -86,8 +85,7 @@ def feat_trade_rate(spark, sf):
 
 def served_records(spark, sf):
     """Features as they are served: only in hours, while the symbol trades."""
-    rows = B.state_as_of(feeds.order_messages(spark, sf), feeds.trading_states(spark, sf))
-    records = B.feature_records(B.order_features(rows, gate="serve", dealt=True))
+    records = B.feature_records(B.served_features(feeds.order_messages(spark, sf), feeds.trading_states(spark, sf)))
     return records.groupBy("locate").agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
