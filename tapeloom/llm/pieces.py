@@ -13,10 +13,12 @@ import re
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import chain, pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,10 @@ SPACE = "▁"
 #: Characters after which a batch is cut, and bytes, about, of a worker's cache before it
 #: starts anew, with what an entry takes besides its text and ids; results don't depend on it.
 BATCH_CHARS = 1 << 20
-CACHE_BYTES = 96 << 20
+#: Characters up to which a fragment's agenda is a list.
+SHORT = 24
+INFINITE = float("inf")
+CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 230
 #: Fixed values of the model file: kinds of pieces, and the number of the merge-type model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -65,7 +70,8 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             data = f.read()
-        self.scores: dict[str, float] = {}
+        #: Minus the score: the lowest cost merges first, the leftmost of equals.
+        self.costs: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         self.unknown = 0
@@ -76,7 +82,7 @@ class Vocabulary:
                 text, kind = piece[1].decode(), piece.get(3, NORMAL)
                 if kind == NORMAL:
                     self.ids[text] = n
-                    self.scores[text] = struct.unpack("<f", piece.get(2, bytes(4)))[0]
+                    self.costs[text] = -struct.unpack("<f", piece.get(2, bytes(4)))[0]
                 elif kind == UNKNOWN:
                     self.unknown = n
                 elif kind == BYTE:
@@ -112,12 +118,32 @@ class Vocabulary:
         return re.compile(f"{SPACE}*(?:{'|'.join([*choices, f'[^{SPACE}]'])})|{SPACE}+", re.DOTALL)
 
     def merge(self, fragment: str) -> list[str]:
-        """Symbols of a fragment once no pair on the agenda is left. A pair that one of its
-        symbols has left meanwhile is stale: its text differs from that of its places."""
+        """Symbols of a fragment once no pair on the agenda is left. A short agenda is a list in
+        the order of the text, a long one a heap."""
+        return self._merge_list(fragment) if len(fragment) <= SHORT else self._merge_heap(fragment)
+
+    def _merge_list(self, fragment: str) -> list[str]:
+        symbols, costs, none = list(fragment), self.costs.get, INFINITE
+        agenda = [costs(pair, none) for pair in map(add, symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best is none:
+                break
+            left = agenda.index(best)
+            symbols[left] = text = symbols[left] + symbols.pop(left + 1)
+            del agenda[left]
+            if left:
+                agenda[left - 1] = costs(symbols[left - 1] + text, none)
+            if left < len(agenda):
+                agenda[left] = costs(text + symbols[left + 1], none)
+        return symbols
+
+    def _merge_heap(self, fragment: str) -> list[str]:
+        # a pair that one of its symbols has left meanwhile is stale: its text isn't that of its places
         symbols: list[str | None] = list(fragment)
-        n, scores = len(symbols), self.scores
+        n, costs = len(symbols), self.costs
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(-scores[pair], i, pair) for i, pair in enumerate(map("".join, pairwise(fragment))) if pair in scores]
+        agenda = [(costs[pair], i, pair) for i, pair in enumerate(map(add, fragment, fragment[1:])) if pair in costs]
         heapify(agenda)
         while agenda:
             _, left, text = heappop(agenda)
@@ -128,17 +154,21 @@ class Vocabulary:
             after[left] = nxt = after[right]
             if nxt < n:
                 before[nxt] = left
-                if (pair := text + symbols[nxt]) in scores:
-                    heappush(agenda, (-scores[pair], left, pair))
-            if (prev := before[left]) >= 0 and (pair := symbols[prev] + text) in scores:
-                heappush(agenda, (-scores[pair], prev, pair))
+                if (pair := text + symbols[nxt]) in costs:
+                    heappush(agenda, (costs[pair], left, pair))
+            if (prev := before[left]) >= 0 and (pair := symbols[prev] + text) in costs:
+                heappush(agenda, (costs[pair], prev, pair))
         return [s for s in symbols if s is not None]
 
     def encode(self, fragment: str) -> list[int]:
         """Ids of a fragment; a symbol that is no piece is given by its bytes if the vocabulary
         has them."""
-        out: list[int] = []
-        for symbol in self.merge(fragment):
+        symbols = self.merge(fragment)
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            out: list[int] = []
+        for symbol in symbols:
             if symbol in self.ids:
                 out.append(self.ids[symbol])
             elif self.bytes:
@@ -165,7 +195,9 @@ class Coder(dict):
         alone = not any(self.GUARD in pair for pair in self.vocabulary.joins)
         #: Without bytes unknown characters in a row are one, so that cuts between them show.
         self.pattern = self.vocabulary.pattern() if alone and self.vocabulary.bytes else None
-        self.guard = len(self.library.encode(self.GUARD))
+        self.guard = self.library.encode(self.GUARD)
+        if self.guard[-1:] != self.vocabulary.encode(self.GUARD):  # not an id of its own
+            self.pattern = None
         self.old: dict[str, bytes] = {}
         self.fresh: list[str] = []
         self.size = 0
@@ -190,35 +222,39 @@ class Coder(dict):
         """The ids of all texts in one array, where each text's ids end, and whether the library
         agrees with every fragment that is new. A fragment is looked up once, however often
         the texts repeat it."""
-        fragments, ends = [], [0]
-        for text in texts:
-            fragments += self._fragments(text)
-            ends.append(len(fragments))
-        codes = pa.array(fragments, pa.large_string()).dictionary_encode()
-        distinct = codes.dictionary.to_pylist()
-        parts = [self[f] for f in distinct]
+        lists = [self._fragments(text) for text in texts]
+        distinct = dict.fromkeys(chain.from_iterable(lists))
+        parts = {f: self[f] for f in distinct}
         agrees = not self.check()
         if not agrees:
-            parts = [self[f] for f in distinct]
-        # without nulls and from offset 0, as taken: offsets, then the ids themselves
-        _, offsets, ids = pa.array(parts, pa.large_binary()).take(codes.indices).buffers()
-        offsets = np.frombuffer(offsets, np.int64)[: len(fragments) + 1] // 4
-        return np.frombuffer(ids or b"", "<i4")[: offsets[-1]], offsets[ends], agrees
+            parts = {f: self[f] for f in distinct}
+        data = [b"".join(map(parts.__getitem__, fragments)) for fragments in lists]
+        return np.frombuffer(b"".join(data), "<i4"), np.cumsum([0, *map(len, data)]) // 4, agrees
 
     def _library_ids(self, fragments: list[str]) -> list[list[int]]:
         if self.pattern is None:  # whole texts, in front of which the library puts a space
             return self.library.encode([f[1:] for f in fragments], num_threads=1)
-        return [ids[self.guard :] for ids in self.library.encode([self.GUARD + f for f in fragments], num_threads=1)]
+        return [ids[len(self.guard) :] for ids in self.library.encode([self.GUARD + f for f in fragments], num_threads=1)]
+
+    def _agrees(self, fragments: list[str]) -> bool:
+        """Whether the library gives all fragments, in one text with the guard before each, the
+        ids that they have here, with the guard's between them."""
+        if not fragments or self.pattern is None:
+            return not fragments
+        first, guard = (np.array(x, "<i4").tobytes() for x in (self.guard[:-1], self.guard[-1:]))
+        ours = first + b"".join([part for f in fragments for part in (guard, self[f])])
+        return np.array(self.library.encode(self.GUARD + self.GUARD.join(fragments)), "<i4").tobytes() == ours
 
     def check(self) -> int:
         """Compare the fragments that are new since the last check with the library's ids, and
         retire a full cache; returns how many differed. The library's ids replace those."""
         different = 0
-        for fragment, want in zip(self.fresh, self._library_ids(self.fresh), strict=True):
-            ids = struct.pack(f"<{len(want)}I", *want)
-            if ids != self[fragment]:
-                different += 1
-                self[fragment] = ids
+        if not self._agrees(self.fresh):
+            for fragment, want in zip(self.fresh, self._library_ids(self.fresh), strict=True):
+                ids = struct.pack(f"<{len(want)}I", *want)
+                if ids != self[fragment]:
+                    different += 1
+                    self[fragment] = ids
         self.fresh = []
         if self.size > CACHE_BYTES // 2:
             self.old = dict(self)
@@ -251,8 +287,9 @@ def _slices(column: pa.Array) -> Iterator[list[str]]:
         yield out
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, ids, agrees`` per row of ``docs``: a whole text's ids without begin or end.
+def encode_documents(docs: DataFrame, model_path: str, decode: bool = False) -> DataFrame:
+    """``doc_id, ids, agrees`` per row of ``docs``: a whole text's ids without begin or end, and,
+    if asked for, ``decoded``, the library's text of those ids.
 
     ``agrees``: none of the fragments that were new in the row's batch got other ids from the
     library; where one did, the library's ids stand. Null and empty texts have no ids; repeated
@@ -269,10 +306,19 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             for texts in _slices(b.column(1)):
                 ids, ends, agrees = words.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), lists, pa.array([agrees] * len(texts))], ["doc_id", "ids", "agrees"])
+                columns = {"doc_id": b.column(0).slice(at, len(texts)), "ids": lists, "agrees": pa.array([agrees] * len(texts))}
+                if decode:
+                    columns["decoded"] = pa.array(_decoded(words.library, ids, ends), pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, agrees boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, agrees boolean{', decoded string' if decode else ''}")
+
+
+def _decoded(library, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The library's texts of id lists that lie side by side."""
+    flat = ids.tolist()
+    return library.decode([flat[lo:hi] for lo, hi in pairwise(ends.tolist())], num_threads=1)
 
 
 def decode_documents(rows: DataFrame, model_path: str, column: str = "ids") -> DataFrame:
@@ -285,11 +331,13 @@ def decode_documents(rows: DataFrame, model_path: str, column: str = "ids") -> D
         library = coder(model_path).library
         for b in batches:
             lists = b.column(at)
-            sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_CHARS)) + 1, [len(sizes)]))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            ids = lists.flatten().to_numpy(zero_copy_only=False)  # without null lists
+            cuts = np.unique([0, *(np.flatnonzero(np.diff(ends // BATCH_CHARS)) + 1), len(sizes)]).tolist()
             texts: list[str] = []
-            for lo, hi in pairwise(starts.tolist()):
-                texts += library.decode([x or [] for x in lists.slice(lo, hi - lo).to_pylist()], num_threads=1)
+            for lo, hi in pairwise(cuts):
+                texts += _decoded(library, ids[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*schema.names, "decoded"])
 
     out = rows.select(*[F.col(f"`{c}`") for c in schema.names])
@@ -304,7 +352,7 @@ def default_model() -> str:
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = default_model()
-    rows = decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
+    rows = encode_documents(table(spark, sf_dir, "documents"), model, decode=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -5,6 +5,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 
 from tapeloom.llm import pieces as P
 
@@ -26,7 +27,7 @@ def plain_ids(vocabulary, text):
     """The best pair of all neighbours, merged again and again."""
     symbols = list("▁" + text.replace(" ", "▁")) if text else []
     while True:
-        pairs = [(-vocabulary.scores[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in vocabulary.scores]
+        pairs = [(vocabulary.costs[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in vocabulary.costs]
         if not pairs:
             break
         _, i = min(pairs)
@@ -54,6 +55,8 @@ def test_agenda_equals_repeated_best_pairs():
         text = "".join(rng.choices("aaab estring thhe.\n ", k=rng.randrange(30)))
         fragments = CODER.pattern.findall("▁" + text.replace(" ", "▁")) if text else []
         assert [x for f in fragments for x in CODER.vocabulary.encode(f)] == plain_ids(CODER.vocabulary, text) == LIBRARY.encode(text)
+        for f in [*fragments, text]:
+            assert CODER.vocabulary._merge_list(f) == CODER.vocabulary._merge_heap(f)
 
 
 def test_small_caches_change_nothing(monkeypatch):
@@ -83,6 +86,7 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, " "), (3, "  a  b "), (4, "x" * 60_000 + " y"), (5, "▁ ▁"), (None, "日本\x00"), (6, "word " * 300_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as agrees", "3 as decoded", "4 as n_tokens")
     got = P.decode_documents(P.encode_documents(docs, MODEL), MODEL).collect()
+    assert sorted(map(repr, P.encode_documents(docs, MODEL, decode=True).select(sorted(got[0].__fields__)).collect())) == sorted(repr(Row(**{c: r[c] for c in sorted(r.__fields__)})) for r in got)
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(((r.doc_id, tuple(r.ids), r.decoded, r.agrees) for r in got), key=key) == sorted(((d, tuple(LIBRARY.encode(t or "")), LIBRARY.decode(LIBRARY.encode(t or "")), True) for d, t in rows), key=key)
     assert P.encode_documents(docs.limit(0), MODEL).collect() == []
