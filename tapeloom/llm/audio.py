@@ -2,15 +2,17 @@
 
 Sound becomes frames of twelve pitch classes; filters over an integral image of those frames
 compare neighbouring areas, and sixteen of them, two bits each, make an integer per frame.
-Two recordings align where a run of integers is equal: every such run votes for the offset
-between them, and bit errors at the most voted offset tell how far the agreement reaches.
+Runs of equal integers vote for the offset between two recordings, and bit errors decide: they
+align if, at one of the offsets, enough frames in a row agree that a listener could tell from
+others. Silence and held tones sound alike everywhere and are no evidence.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,16 @@ HOP = 256
 #: Hertz that count, and the frames an integer looks at.
 LOW, HIGH = 110.0, 3520.0
 SPAN = 4
-#: Integers in a row that must be equal for two recordings to align, and the share of
-#: differing bits that a frame may have on average where their agreement is said to reach.
+#: Integers in a row that must be equal for two recordings to be compared at an offset.
 RUN = 2
-MAX_ERROR = 0.25
+#: Share of differing bits that a frame may have on average where two recordings are said to
+#: agree, and the varied frames that must: measured on texts as sound, README.
+MAX_ERROR = 0.12
+FRAMES = 3
+#: A frame is varied if no pitch class has more than this share of what sounds around it, in the
+#: frames of its integer and so many on both sides.
+SHARE = 0.3
+AROUND = 8
 #: Filters, own choice: (kind, first pitch class, pitch classes, first frame, frames).
 #: Kinds: ``pitch`` halves by pitch, ``time`` halves by time, ``cross`` a checkerboard,
 #: ``band`` the middle third by pitch, ``pulse`` the middle half by time.
@@ -100,8 +108,20 @@ def integers(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(recordings: list[bytes | None]) -> list[np.ndarray]:
-    """Integers of 8-bit unsigned mono sound; none if it is shorter than their span."""
+def varied_frames(frames: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether what sounds around each frame, between the ends of its recording, is varied.
+    Frames without any sound, whose classes are all equal, have none."""
+    at = np.arange(len(frames))
+    sound = frames * (frames.max(1) != frames.min(1))[:, None]
+    upto = np.concatenate((np.zeros((1, 12), np.int64), sound.cumsum(0)))
+    around = upto[np.minimum(last, at + SPAN + AROUND)] - upto[np.maximum(first, at - AROUND)]
+    total = around.sum(1)
+    return (total > 0) & (around.max(1) <= SHARE * total)
+
+
+def prints_of(recordings: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Integers of 8-bit unsigned mono sound, and which of them are of varied frames; none if it
+    is shorter than their span."""
     out = []
     sizes = np.array([len(r or b"") for r in recordings], np.int64)
     part = np.cumsum(sizes) // 1_000_000  # many short recordings at once, a long one alone
@@ -110,18 +130,20 @@ def fingerprints_of(recordings: list[bytes | None]) -> list[np.ndarray]:
         counts = np.maximum(0, (sizes[own] - WINDOW) // HOP + 1)
         ends = np.cumsum(counts)
         if not ends[-1]:
-            out += [np.zeros(0, np.uint32)] * len(own)
+            out += [(np.zeros(0, np.uint32), np.zeros(0, bool))] * len(own)
             continue
         samples = np.frombuffer(b"".join([recordings[i] or b"" for i in own]), np.uint8).astype(np.float32) - 128
         first = np.repeat(ends - counts, counts)
         starts = np.repeat(np.cumsum(sizes[own]) - sizes[own], counts) + HOP * (np.arange(ends[-1]) - first)
-        found = integers(chroma(samples, starts))
-        out += [found[e - n : max(e - n, e - SPAN + 1)] for n, e in zip(counts, ends, strict=True)]
+        frames = chroma(samples, starts)
+        found, varied = integers(frames), varied_frames(frames, first, np.repeat(ends, counts))
+        spans = [slice(e - n, max(e - n, e - SPAN + 1)) for n, e in zip(counts, ends, strict=True)]
+        out += [(found[x], varied[x]) for x in spans]
     return out
 
 
 def fingerprint(pcm: bytes | None) -> np.ndarray:
-    return fingerprints_of([pcm])[0]
+    return prints_of([pcm])[0][0]
 
 
 # ---- a text as sound ---------------------------------------------------------------------
@@ -174,8 +196,8 @@ def melody(text: bytes | None) -> bytes:
 
 # ---- recordings --------------------------------------------------------------------------
 def fingerprints(media: DataFrame, decode: Callable[[bytes | None], bytes | None] | None = None) -> DataFrame:
-    """``media(id, pcm)`` -> ``id, digest, items``: whole recordings, no shuffle. ``decode``
-    makes 8-bit sound of what the column holds, one recording after the other."""
+    """``media(id, pcm)`` -> ``id, digest, items, varied``: whole recordings, no shuffle.
+    ``decode`` makes 8-bit sound of what the column holds, one recording after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,35 +207,29 @@ def fingerprints(media: DataFrame, decode: Callable[[bytes | None], bytes | None
                 held.append(sound)
                 size += len(sound or b"")
                 if size > 4_000_000:
-                    found += fingerprints_of(held)
+                    found += prints_of(held)
                     held, size = [], 0
-            found = [x.view(np.int32) for x in found + (fingerprints_of(held) if held else [])]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "digest", "items"])
+            found += prints_of(held) if held else []
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x, _ in found]))), pa.int32())
+            items = np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in found]]).view(np.int32)
+            varied = np.concatenate([np.zeros(0, bool), *[v for _, v in found]])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (items, varied)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["id", "digest", "items", "varied"])
 
     keyed = media.select(F.col("id").cast("long"), F.unhex(F.sha2(F.coalesce("pcm", F.lit(b"")), 256)).alias("digest"), "pcm")
-    return keyed.mapInArrow(run, "id long, digest binary, items array<int>")
-
+    return keyed.mapInArrow(run, "id long, digest binary, items array<int>, varied array<boolean>")
 
-def proposals(prints: DataFrame, run: int = RUN) -> DataFrame:
-    """``prints(id, items)``, ids distinct -> ``id, with, shift, votes``: the offset histogram
-    of each recording against the first holders (smallest id and place) of its runs.
 
-    All recordings that share a run of ``run`` equal integers align with each other, and hence
-    with its first holder: the run's holders are a class with one representative. So every
-    aligned pair is connected by these rows, though their number grows with the recordings
-    and not with their pairs, also for a passage that all of them share.
-    """
-    hashed = F.transform("items", lambda x, i: F.xxhash64(x, *[F.get("items", i + k) for k in range(1, run)]))
+def places(prints: DataFrame, run: int = RUN) -> DataFrame:
+    """``prints(id, items, varied)`` -> ``id, place, run``: the hashed runs of ``run`` integers of
+    varied frames that aren't all equal."""
+    at = lambda c, i, k: F.get(c, i + k)
+    each = range(1, run)
+    moves = lambda x, i: reduce(or_, [at("items", i, k) != x for k in each], F.lit(run == 1))
+    told = lambda i: reduce(and_, [at("varied", i, k) for k in range(run)])
+    hashed = F.transform("items", lambda x, i: F.when(told(i) & moves(x, i), F.xxhash64(x, *[at("items", i, k) for k in each])))
     whole = F.slice(hashed, 1, F.greatest(F.size("items") - (run - 1), F.lit(0)))
-    places = prints.select("id", F.posexplode(whole).alias("place", "run"))
-    first = places.groupBy("run").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last"))
-    first = staged(first.where("last <> first.id").select("run", F.col("first.id").alias("with"), F.col("first.place").alias("at")), "audio-runs")
-    votes = places.join(first, "run").where(F.col("id") != F.col("with"))
-    out = staged(votes.groupBy("id", "with", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes")), "audio-votes")
-    discard(first)
-    return out
+    return prints.select("id", F.posexplode(whole).alias("place", "run")).where("run is not null")
 
 
 def agreement(x: np.ndarray, y: np.ndarray, shift: int, max_error: float = MAX_ERROR) -> tuple[int, int, int]:
@@ -232,46 +248,90 @@ def agreement(x: np.ndarray, y: np.ndarray, shift: int, max_error: float = MAX_E
     return start + begin, end - begin, int(errors[begin:end].sum())
 
 
-def best_alignments(prints: DataFrame, proposed: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
-    """``id, with, shift, votes, start, overlap, bit_errors``: of each recording its most voted
-    offset, nearest and smallest of equals, and the stretch that bit errors bound."""
-    best = proposed.groupBy("id").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), (-F.col("with")).alias("low"), "shift")).alias("b"))
-    best = staged(best.select("id", (-F.col("b.low")).alias("with"), "b.shift", "b.votes"), "audio-best")
-    mine, theirs = prints.select("id", F.col("items").alias("x")), prints.select(F.col("id").alias("with"), F.col("items").alias("y"))
+def decisions(prints: DataFrame, votes: DataFrame, max_error: float = MAX_ERROR, frames: int = FRAMES) -> DataFrame:
+    """``votes(id, with, shift, votes)`` -> per pair ``id, with, shift, votes, start, overlap,
+    bit_errors, told, aligned``: the offset at which most varied frames agree (more votes, then
+    the nearest and smallest, of equals), and whether ``frames`` of them do."""
+    pairs = votes.groupBy("id", "with").agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))  # fewer than a recording's frames
+    mine = prints.select("id", F.col("items").alias("x"), F.col("varied").alias("u"))
+    theirs = prints.select(F.col("id").alias("with"), F.col("items").alias("y"), F.col("varied").alias("v"))
+    names = ["shift", "votes", "start", "overlap", "bit_errors", "told"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y, found = b.column("x"), b.column("y"), []
-            for i, shift in enumerate(b.column("shift").to_pylist()):
-                found.append(agreement(*(np.asarray(v[i].values, np.int32).view(np.uint32) for v in (x, y)), shift, max_error))
-            start, overlap, errors = np.array(found, np.int32).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(start), pa.array(overlap), pa.array(errors)], ["id", "with", "shift", "votes", "start", "overlap", "bit_errors"])
-
-    both = best.join(mine, "id").join(theirs, "with").select("id", "with", "shift", "votes", "x", "y")
-    return both.mapInArrow(run, "id long, with long, shift int, votes long, start int, overlap int, bit_errors int")
-
-
-def match_recordings(media: DataFrame, decode: Callable | None = None, run: int = RUN, max_error: float = MAX_ERROR) -> DataFrame:
+            found = []
+            columns = [b.column(c) for c in ("x", "u", "y", "v")]
+            for i, offsets in enumerate(b.column("offsets").to_pylist()):
+                x, u, y, v = (c[i].values.to_numpy(zero_copy_only=False) for c in columns)
+                best = []
+                for o in offsets:
+                    shift = o["shift"]
+                    start, n, errors = agreement(x.view(np.uint32), y.view(np.uint32), shift, max_error)
+                    told = int((u[start : start + n] & v[start + shift : start + shift + n]).sum())
+                    best.append((told, o["votes"], -abs(shift), -shift, (shift, o["votes"], start, n, errors, told)))
+                found.append(max(best)[-1])
+            out = [pa.array(c, pa.int32()) for c in np.array(found, np.int64).reshape(-1, 6).T]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("with"), *out], ["id", "with", *names])
+
+    both = pairs.join(mine, "id").join(theirs, "with").select("id", "with", "offsets", "x", "u", "y", "v")
+    return both.mapInArrow(run, "id long, with long, " + ", ".join(f"{n} int" for n in names)).withColumn("aligned", F.col("told") >= frames)
+
+
+def alignments(prints: DataFrame, run: int = RUN, max_error: float = MAX_ERROR, frames: int = FRAMES) -> DataFrame:
+    """The aligned pairs of ``prints(id, items, varied)``, ids distinct, that connect all others;
+    columns as of ``decisions``.
+
+    Each run's holders are compared with its first one (smallest id and place), so that the rows
+    grow with the recordings and not with their pairs, also for a passage that all share. Those
+    that bit errors refuse are compared with the first of the refused, and so on: two holders
+    of a run are compared, unless both align with one that was. Each round retires a holder
+    of every run that goes on.
+    """
+    found, live, own = [], places(prints, run), prints
+    while True:
+        first = live.groupBy("run").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last"))
+        first = staged(first.where("last <> first.id").select("run", F.col("first.id").alias("with"), F.col("first.place").alias("at")), "audio-runs")
+        held = live.join(first, "run").where(F.col("id") != F.col("with"))
+        votes = held.groupBy("id", "with", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
+        decided = staged(decisions(prints, votes, max_error, frames), "audio-decided")
+        found.append(decided.where("aligned"))
+        refused = decided.where("not aligned").select("id", "with")
+        if refused.isEmpty():
+            break
+        own = own.join(refused.select("id").distinct(), "id", "left_semi")
+        again = places(own, run) if len(found) == 1 else live.join(refused.select("id").distinct(), "id", "left_semi")
+        live = staged(again.join(first, "run").join(refused, ["id", "with"], "left_semi").select("id", "place", "run"), "audio-refused")
+    return reduce(DataFrame.unionAll, found)
+
+
+def match_recordings(media: DataFrame, decode: Callable | None = None, run: int = RUN, max_error: float = MAX_ERROR, frames: int = FRAMES) -> DataFrame:
     """One row per row of ``media(id, pcm)``: id, n_items, fingerprint_crc32, class_id (the
-    smallest id that alignments reach), and the best alignment with a first holder of one of its
-    runs: aligned_with, shift (in hops), votes, start, overlap, bit_errors; null if it holds all
-    of its runs first.
+    smallest id that alignments reach), and of its alignments with smaller ids the one of most
+    varied frames: aligned_with, shift (in hops), votes, start, overlap, bit_errors; null if it
+    has none.
 
     Equal recordings are one class before anything is aligned. Null, empty and short ones have
-    no integers and align with nothing, but equal ones still share a class. Rows with a null
-    id take part in their class. An empty table gives an empty result.
+    no integers and align with nothing, but equal ones still share a class; neither do silence
+    and steady tones align, nor recordings that have nothing else in common. Rows with a null
+    id take part in their class. An empty table gives an empty result. Columns but id and pcm
+    are ignored, whatever their names; repeated ids keep their rows; long recordings are
+    worked through like short ones, in memory that grows with one recording.
     """
     rows = staged(fingerprints(media, decode), "audio-prints")
-    classes = rows.groupBy("digest").agg(F.min("id").alias("class"), F.any_value("items").alias("items"))
-    classes = staged(classes, "audio-classes")
-    prints = classes.where("class is not null").select(F.col("class").alias("id"), "items")
-    proposed = proposals(prints, run)
-    roots = staged(connected_components(proposed.select(F.col("id").alias("a"), F.col("with").alias("b"))), "audio-roots")
-    best = staged(best_alignments(prints, proposed, max_error), "audio-aligned")
-    known = classes.select("digest", F.col("class")).join(roots, F.col("class") == F.col("node"), "left").join(best, F.col("class") == F.col("id"), "left")
-    known = known.select("digest", F.coalesce("root", "class").alias("class_id"), F.col("with").alias("aligned_with"), "shift", "votes", "start", "overlap", "bit_errors")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("class"), F.any_value(F.struct("items", "varied")).alias("print"))
+    classes = staged(classes.select("digest", "class", "print.*"), "audio-classes")
+    prints = classes.where("class is not null").select(F.col("class").alias("id"), "digest", "items", "varied")
+    if not prints.groupBy("id").count().where("count > 1").isEmpty():  # of recordings under one id the first by digest is aligned
+        prints = prints.groupBy("id").agg(F.min_by(F.struct("items", "varied"), "digest").alias("print")).select("id", "print.*")
+    prints = prints.drop("digest")
+    links = staged(alignments(prints, run, max_error, frames), "audio-links")
+    roots = staged(connected_components(links.select(F.col("id").alias("a"), F.col("with").alias("b"))), "audio-roots")
+    best = links.groupBy("id").agg(F.max(F.struct("told", "votes", (-F.col("with")).alias("low"), "shift", "start", "overlap", "bit_errors")).alias("b"))
+    best = best.select("id", (-F.col("b.low")).alias("aligned_with"), "b.shift", F.col("b.votes").cast("long").alias("votes"), "b.start", "b.overlap", "b.bit_errors")
+    known = classes.select("digest", "class").join(roots, F.col("class") == F.col("node"), "left").join(best, F.col("class") == F.col("id"), "left")
+    known = known.select("digest", F.coalesce("root", "class").alias("class_id"), "aligned_with", "shift", "votes", "start", "overlap", "bit_errors")
     known = staged(known, "audio-known")
-    discard(classes, proposed, best, roots)
+    discard(classes, links, roots)
     crc = F.crc32(F.array_join(F.transform("items", lambda i: F.hex(i)), ",").cast("binary"))
     return rows.select("id", "digest", F.size("items").alias("n_items"), crc.alias("fingerprint_crc32")).join(known, "digest").drop("digest")
 
