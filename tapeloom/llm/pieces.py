@@ -32,7 +32,7 @@ BATCH_CHARS = 1 << 20
 #: Characters up to which a fragment's agenda is a list.
 SHORT = 24
 INFINITE = float("inf")
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 320 << 20
 ENTRY_BYTES = 230
 #: Fixed values of the model file: kinds of pieces, and the number of the merge-type model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
