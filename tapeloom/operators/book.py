@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -99,6 +99,37 @@ def books_with_states(updates: DataFrame, states: DataFrame, hot_rows: int | Non
     return _folded(state_as_of(updates, states, chunks), [BookStage], f"{LEVEL_COLUMNS}, state string, since long, {BOOK_COLUMNS}", chunks, dealt=True)
 
 
+def missing(rows: DataFrame, order: str = "seq", width: int = 1 << 20) -> DataFrame:
+    """``first, last`` of every gap in a column of whole numbers. Neighbours are compared within
+    ranges of the column, and across them by the ranges' ends."""
+    dealt = rows.select(F.col(order).alias("at"), F.floor(F.col(order) / width).alias("range"))
+    inside = dealt.select("at", F.lag("at").over(Window.partitionBy("range").orderBy("at")).alias("before"))
+    ends = dealt.groupBy("range").agg(F.min("at").alias("at"), F.max("at").alias("end"))
+    across = ends.select("at", F.lag("end").over(Window.orderBy("range")).alias("before"))  # a row per range
+    return inside.unionAll(across).where("at > before + 1").select((F.col("before") + 1).alias("first"), (F.col("at") - 1).alias("last"))
+
+
+def resynced_books(updates: DataFrame, snapshots: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """The book after each of ``updates`` that can be trusted, of a feed whose ordinals have gaps.
+
+    A gap may have lost a change of any symbol, so that from it on a symbol's book is stale
+    until its next snapshot: ``snapshots(seq, locate, side, price, qty)`` give all levels as of an
+    ordinal, in place of whatever the book holds, and a row without a price for a symbol without
+    levels. Updates while a book is stale are dropped; snapshots themselves give no rows.
+    """
+    rows = updates.withColumn("_all", F.lit(0))
+    gaps = missing(updates).select(F.lit(0).alias("_all"), F.col("last").alias("seq"), F.col("last").alias("_gap"))
+    rows = last_before(rows, gaps, ["_all"], "seq", "_gap", Chunks(rows, ["_all"], hot_rows=hot_rows))
+    marks = snapshots.select("locate", "seq", F.col("seq").alias("_known")).distinct()
+    rows = last_before(rows, marks, ["locate"], "seq", "_known", Chunks(rows, hot_rows=hot_rows))
+    rows = rows.where("_gap is null or _known >= _gap").select(*updates.columns, F.lit(2).alias("leg"))
+    clears = marks.select("locate", "seq", F.lit(0).alias("leg"), F.lit("clear").alias("action"))
+    levels = snapshots.where("price is not null").select("locate", "seq", F.lit(1).alias("leg"), "side", "price", "qty")
+    feed = staged(rows.unionByName(clears, allowMissingColumns=True).unionByName(levels, allowMissingColumns=True), "resynced")
+    out = _folded(feed, [BookStage], f"{LEVEL_COLUMNS}, leg int, {BOOK_COLUMNS}", Chunks(feed, hot_rows=hot_rows), ["seq", "leg"])
+    return out.where("leg = 2").drop("leg")
+
+
 def order_books(messages: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Messages -> the book after each leg, in one pass over each symbol that isn't hot."""
     schema = f"{ORDER_SCHEMA}, {BOOK_COLUMNS}"

@@ -88,13 +88,13 @@ def carried_levels(dealt: DataFrame) -> DataFrame:
     ``action`` nothing is cleared."""
     action = F.col("action") if "action" in dealt.columns else F.lit(None).cast("string")
     rows = dealt.select("locate", "chunk", "seq", *[c for c in ("leg",) if c in dealt.columns], "side", "price", "qty", action.alias("action"))
-    each = rows.groupBy("locate", "chunk").agg(F.max(F.when(F.col("action") == "clear", F.col("seq"))).alias("_cleared"))
+    place = F.struct("seq", "leg") if "leg" in dealt.columns else F.struct("seq")
+    each = rows.groupBy("locate", "chunk").agg(F.max(F.when(F.col("action") == "clear", place)).alias("_cleared"))
     symbol = Window.partitionBy("locate").orderBy("chunk")  # chunks of a symbol
     later = symbol.rowsBetween(1, Window.unboundedFollowing)
     every = Window.partitionBy("locate")
     ends = each.withColumn("_upto", F.coalesce(F.min(F.when(F.col("_cleared").isNotNull(), F.col("chunk"))).over(later), F.max("chunk").over(every)))
-    place = F.struct("seq", "leg") if "leg" in dealt.columns else F.col("seq")
-    live = rows.where("price is not null").join(ends, ["locate", "chunk"]).where("_cleared is null or seq >= _cleared")
+    live = rows.where("price is not null").join(ends, ["locate", "chunk"]).where(F.col("_cleared").isNull() | (place >= F.col("_cleared")))
     last = live.groupBy("locate", "side", "price", "chunk", "_upto").agg(F.max_by("qty", place).alias("qty"))
     touched = F.lead("chunk").over(Window.partitionBy("locate", "side", "price").orderBy("chunk"))
     spans = last.withColumn("_to", F.least("_upto", F.coalesce(touched, F.col("_upto")))).where("qty > 0 and _to > chunk")

@@ -39,14 +39,23 @@ class Weights:
                 raise ValueError(f"{name} has shape {value.shape}, not {shape}")
             setattr(self, name, value)
 
+    @staticmethod
+    def layer(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums that start at the bias and take one input after the other, each in a float32 step
+        of its own, for all rows at once: the same bits whatever the size of the batch."""
+        out = np.repeat(b[None], len(x), axis=0)
+        for i in range(x.shape[1]):
+            out += x[:, i, None] * w[:, i]
+        return out
+
     def hidden(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Normalised inputs and both hidden layers."""
         x = (f.astype(np.float32) - self.mean) / self.std
-        h1 = np.maximum(x @ self.w0.T + self.b0, np.float32(0))
-        return x, h1, np.maximum(h1 @ self.w2.T + self.b2, np.float32(0))
+        h1 = np.maximum(self.layer(x, self.w0, self.b0), np.float32(0))
+        return x, h1, np.maximum(self.layer(h1, self.w2, self.b2), np.float32(0))
 
     def forward(self, f: np.ndarray) -> np.ndarray:
-        return self.hidden(f)[2] @ self.w4.T + self.b4
+        return self.layer(self.hidden(f)[2], self.w4, self.b4)
 
 
 def quantize_array(v: np.ndarray, inverse_scale: np.float32) -> np.ndarray:
@@ -200,15 +209,3 @@ def train(x: np.ndarray, y: np.ndarray, val_x: np.ndarray, val_y: np.ndarray, me
     w = Weights(zeros if mean is None else mean, ones if std is None else std, *best[1])
     return w, best[0]
 
-
-def ablation(x, y, val_x, val_y, **options) -> list[tuple[int, float, float]]:
-    """(feature, accuracy without it, change): each normalised column at zero in turn, least
-    harmful first."""
-    whole = train(x, y, val_x, val_y, **options)[1]
-    out = []
-    for k in range(x.shape[1]):
-        a, b = x.copy(), val_x.copy()
-        a[:, k] = b[:, k] = 0
-        accuracy = train(a, y, b, val_y, **options)[1]
-        out.append((k, accuracy, accuracy - whole))
-    return sorted(out, key=lambda r: (r[2], r[0]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
 from tapeloom.operators import book as B
+from tapeloom.operators.chunks import carried_levels
 from tapeloom.operators.dataset import running_sum
 from tapeloom.plans.sql import BOOK, LEVELS, STATES
 from tapeloom.sources import feeds
@@ -75,6 +76,23 @@ def book_qty_at(spark, sf):
     return B.qty_at(lf.withColumn("price", F.col("price").cast("long")), wanted)
 
 
+#: Ordinals of each 1,000 that get lost on the way, for the query below.
+LOST = (600, 649)
+
+
+def book_resync(spark, sf):
+    """Touches of a feed that loses ordinals: books are stale from a gap on until the snapshot
+    that follows it, which holds every symbol's levels as of the gap's end."""
+    feed = feeds.level_updates(spark, sf)
+    delivered = feed.where(~(F.col("seq") % 1000).between(*LOST))
+    segments = feed.withColumn("chunk", F.floor((F.col("seq") - (LOST[1] + 1)) / 1000) + 1)
+    end = (LOST[1] + 1000 * (F.col("chunk") - 1)).alias("seq")
+    last = segments.agg(F.max("chunk").alias("last"))  # one row
+    empty = segments.select("locate").distinct().crossJoin(F.broadcast(last)).where("last > 0").select("locate", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("chunk"))
+    snapshots = carried_levels(segments).select(end, "locate", "side", "price", "qty").unionByName(empty.select(end, "locate"), allowMissingColumns=True)
+    return B.with_touch(B.resynced_books(delivered, snapshots)).select("seq", "locate", "best_bid", "best_ask")
+
+
 def book_two_sided(spark, sf):
     return _books(spark, sf).groupBy("locate").agg(F.count_if("two_sided").alias("two_sided"), F.count_if(~F.col("two_sided")).alias("one_sided"))
 
@@ -253,6 +271,7 @@ CATALOG = {
     "book_depth": (book_depth, _W + " SELECT seq, bid_levels, ask_levels FROM bk"),
     "book_top5": (book_top5, _W + " SELECT seq, locate, side, rk, price, qty FROM live WHERE rk <= 5"),
     "book_qty_at": (book_qty_at, "WITH " + LEVELS + ", w AS (SELECT locate, seq, unnest(['B', 'S']) AS side, CAST(999900 AS BIGINT) AS price FROM lf) SELECT w.locate, w.side, w.price, w.seq, coalesce(lf.qty, 0) AS qty FROM w ASOF LEFT JOIN lf ON w.locate = lf.locate AND w.side = lf.side AND w.price = lf.price AND w.seq >= lf.seq"),
+    "book_resync": (book_resync, _W + " SELECT seq, locate, best_bid, best_ask FROM bk WHERE NOT (seq % 1000 BETWEEN 600 AND 649)"),
     "book_two_sided": (book_two_sided, _W + " SELECT locate, count(CASE WHEN bid_levels > 0 AND ask_levels > 0 THEN 1 END) AS two_sided, count(CASE WHEN bid_levels = 0 OR ask_levels = 0 THEN 1 END) AS one_sided FROM bk GROUP BY locate"),
     "crossing_by_symbol": (crossing_by_symbol, _W + " SELECT locate, count(*) AS updates, count(CASE WHEN x THEN 1 END) AS crossings, coalesce(max(CASE WHEN x THEN best_bid - best_ask END), 0) AS worst FROM (SELECT *, bid_levels > 0 AND ask_levels > 0 AND best_bid >= best_ask AS x FROM bk) GROUP BY locate"),
     "crossing_by_type": (crossing_by_type, _W + STATES + f" SELECT event_type, count(*) AS crossings, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, count(CASE WHEN {_HOURS} THEN 1 END) AS in_hours FROM cr GROUP BY event_type"),

@@ -108,8 +108,8 @@ def decode(data: bytes, starts: Sequence[int], file: str = "", first: int = 0) -
     for name, kinds, offset, width in FIELDS:
         rows = np.flatnonzero(np.isin(kind, [ord(k) for k in kinds]) & (size >= offset + width))
         if name in ("symbol", "side", "state"):
-            text = [bytes(raw[at[i] + offset : at[i] + offset + width]).decode("latin-1").rstrip(" ") for i in rows]
-            columns[name][rows] = text
+            fixed = np.ascontiguousarray(raw[at[rows, None] + offset + np.arange(width)]).view(f"S{width}")[:, 0]
+            columns[name][rows] = np.char.rstrip(np.char.decode(fixed, "latin-1"), " ") if len(rows) else []
         else:
             columns[name][rows] = number(at[rows], offset, width)
     longs = {n: pa.array(columns[n], pa.int64()) for n in ("ref", "new_ref", "shares", "price")}
@@ -120,6 +120,10 @@ def decode(data: bytes, starts: Sequence[int], file: str = "", first: int = 0) -
     )
 
 
+#: Files up to so many bytes may be read without an index, whose splits the planner finds.
+UNINDEXED_BYTES = 1 << 30
+
+
 # ---- the index ---------------------------------------------------------------------------
 INDEX = "path string, start long, end long, first_seq long, frames long, short_frames long, leftover_bytes long"
 
@@ -133,6 +137,21 @@ def _files(path: str) -> list[str]:
     return sorted(f.path for f in found)
 
 
+def _bytes(path: str, files: list[str]) -> int:
+    from pyarrow import fs
+
+    system, _ = fs.FileSystem.from_uri(path)
+    return sum(f.size for f in system.get_file_info(files)) if files else 0
+
+
+def _below(path: str, file: str) -> str:
+    """A file's path below ``path``; its base name if it is that path itself."""
+    from pyarrow import fs
+
+    root = fs.FileSystem.from_uri(path)[1].rstrip("/")
+    return file[len(root) + 1 :] if file.startswith(root + "/") else file.rsplit("/", 1)[-1]
+
+
 def _splits(root: str, path: str, split_bytes: int) -> Iterator[tuple]:
     from pyarrow import fs
 
@@ -185,7 +204,10 @@ class ItchReader(DataSourceReader):
             wanted = set(_files(self.path))
             rows = [(r["path"], r["start"], r["end"], r["first_seq"]) for r in rows if r["path"] in wanted]
         else:
-            rows = [s[:4] for f in _files(self.path) for s in _splits(self.path, f, self.split_bytes)]
+            files = _files(self.path)
+            if (size := _bytes(self.path, files)) > UNINDEXED_BYTES:
+                raise ValueError(f"{size} bytes would be read to plan this: write an index with index_frames and name it")
+            rows = [s[:4] for f in files for s in _splits(self.path, f, self.split_bytes)]
         return [Split(*r) for r in sorted(rows)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
@@ -196,7 +218,7 @@ class ItchReader(DataSourceReader):
         with system.open_input_file(split.path) as f:
             f.seek(split.start)
             data = f.read(split.end - split.start)
-        starts, name = frames(data), split.path.rsplit("/", 1)[-1]
+        starts, name = frames(data), _below(self.path, split.path)
         for at in range(0, len(starts), 100_000):
             b = decode(data, starts[at : at + 100_000], name, split.first + at)
             if self.locates is not None:

@@ -14,10 +14,13 @@ def _qualified(spark: SparkSession, base: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the session's warehouse where that isn't set: both are
-    shared between machines. Never a machine's own temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return _qualified(spark, base)[1].toString().rstrip("/")
+    """``spark.checkpoint.dir``, or the session's warehouse where that isn't set. On a cluster the
+    warehouse must not be a local folder, of which each machine has its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    path = _qualified(spark, base or spark.conf.get("spark.sql.warehouse.dir"))[1].toString().rstrip("/")
+    if not base and path.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} isn't shared between machines: set spark.checkpoint.dir")
+    return path
 
 
 def _own_dir(spark: SparkSession) -> str:

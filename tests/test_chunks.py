@@ -149,3 +149,19 @@ def test_running_sums_over_chunks(spark, size):
         key = i % 3 // 2
         totals[key] += i % 7 - 3
         assert got[i // 2, i % 2, key] == totals[key]
+
+
+def test_gaps_over_ranges(spark):
+    df = spark.createDataFrame([(i,) for i in (3, 4, 7, 8, 20, 21, 40)], "seq long")
+    for width in (1, 5, 1000):
+        assert sorted(map(tuple, B.missing(df, width=width).collect())) == [(5, 6), (9, 19), (22, 39)]
+
+
+@pytest.mark.parametrize("size", [None, 4])
+def test_stale_books_wait_for_their_snapshot(spark, size):
+    row = lambda seq, locate, side, price, qty: (seq, locate, seq, "x", side, price, qty)
+    ups = spark.createDataFrame([row(1, 1, "B", 10, 5), row(2, 2, "S", 30, 5), row(5, 1, "B", 11, 1), row(6, 2, "S", 31, 2), row(7, 1, "S", 12, 3), row(8, 2, "S", 29, 0)], B.LEVEL_COLUMNS)
+    snaps = spark.createDataFrame([(4, 1, "B", 9, 7), (6, 2, None, None, None)], "seq long, locate long, side string, price long, qty long")
+    got = {r.seq: (r.bid_px, r.ask_px) for r in B.resynced_books(ups, snaps, size).collect()}
+    # symbol 1 is known again from the gap's end on, symbol 2 from 6 on, with an empty book before
+    assert got == {1: ([10], []), 2: ([], [30]), 5: ([11, 9], []), 6: ([], [31]), 7: ([11, 9], [12]), 8: ([], [31])}

@@ -197,7 +197,6 @@ def test_training_learns(spark):
     y = (x[:, 0] > 0.5).astype(int) + (x[:, 1] > 0).astype(int)
     w, accuracy = M.train(x[:2400], y[:2400], x[2400:], y[2400:], epochs=20, batch=64)
     assert accuracy > 0.85
-    assert M.ablation(x[:900], y[:900], x[2400:], y[2400:], epochs=6, batch=64)[0][0] in (0, 1)
     q = M.Int8Weights.of(w, [np.abs(a).max() / 127 for a in w.hidden(x[:500].astype(np.float32))])
     assert (q.forward(x).argmax(1) == w.forward(x.astype(np.float32)).argmax(1)).mean() > 0.97
     rough, fine = M.Codes.of(w.w0).report(w.w0), M.Codes.of(w.w0, 1).report(w.w0)
@@ -215,3 +214,66 @@ def test_backends_take_their_own_weights(spark):
         M.score(rows, demo_int8())
     with pytest.raises(ValueError, match="no backend"):
         M.score(rows, demo_weights(), backend="gpu")
+
+
+def test_files_of_one_name_in_two_folders_are_told_apart(spark, tmp_path):
+    spark.dataSource.register(I.ItchSource)
+    for day, n in (("day1", 5), ("day2", 3)):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "all.bin").write_bytes(I.encode([{"msg_type": "D", "locate": 1, "ts_ns": i, "ref": i} for i in range(n)]))
+    rows = spark.read.format("itch").load(str(tmp_path)).select("file", "seq").collect()
+    assert sorted(map(tuple, rows)) == [("day1/all.bin", i) for i in range(5)] + [("day2/all.bin", i) for i in range(3)]
+
+
+def test_large_files_ask_for_an_index(spark, tmp_path, monkeypatch):
+    path = tmp_path / "all.bin"
+    path.write_bytes(I.encode([{"msg_type": "D", "locate": 1, "ts_ns": i, "ref": i} for i in range(5)]))
+    monkeypatch.setattr(I, "UNINDEXED_BYTES", 10)
+    with pytest.raises(ValueError, match="index"):
+        I.ItchReader({"path": str(path)}).partitions()
+    I.index_frames(spark, str(path), str(tmp_path / "index"))
+    assert len(I.ItchReader({"path": str(path), "index": str(tmp_path / "index")}).partitions()) == 1
+
+
+@pytest.mark.parametrize("n", [1, 7, 15, 16, 17, 31, 32, 64, 100, 255, 256, 1000])
+def test_float_forward_adds_in_order_in_batches_of_any_size(n):
+    rng = np.random.default_rng(n)
+    real = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    w = M.Weights(real(16), np.abs(real(16)) + np.float32(0.5), real(32, 16), real(32), real(32, 32), real(32), real(3, 32), real(3))
+    f = real(n, 16)
+    got = w.forward(f)
+    for k in {0, n // 2, n - 1}:
+        x = [(v - a) / b for v, a, b in zip(f[k], w.mean, w.std)]
+        for weights, bias in ((w.w0, w.b0), (w.w2, w.b2), (w.w4, w.b4)):
+            sums = []
+            for j in range(len(bias)):
+                total = bias[j]
+                for i, v in enumerate(x):
+                    total = np.float32(total + np.float32(v * weights[j, i]))
+                sums.append(total)
+            x = sums if len(bias) == 3 else [max(v, np.float32(0)) for v in sums]
+        assert got[k].tobytes() == np.array(x, np.float32).tobytes()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tapeloom import staging
+
+    class Path:
+        def __init__(self, text):
+            self.text = text
+
+        def getFileSystem(self, _):
+            return SimpleNamespace(makeQualified=lambda p: SimpleNamespace(toString=lambda: p.text))
+
+    conf = {"spark.sql.warehouse.dir": "file:/work/warehouse"}
+    hadoop = SimpleNamespace(apache=SimpleNamespace(hadoop=SimpleNamespace(fs=SimpleNamespace(Path=Path))))
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)), sparkContext=SimpleNamespace(master="spark://host:7077"),
+        _jvm=SimpleNamespace(org=hadoop), _jsparkSession=SimpleNamespace(sessionState=lambda: SimpleNamespace(newHadoopConf=lambda: None)),
+    )
+    with pytest.raises(ValueError, match="checkpoint"):
+        staging.shared_dir(session)
+    conf["spark.checkpoint.dir"] = "hdfs://store/shared"
+    assert staging.shared_dir(session) == "hdfs://store/shared"
