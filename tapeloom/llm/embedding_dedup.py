@@ -195,7 +195,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
     Equal vectors form a class before anything is compared, whose members link to each other
     and share all other links; a vector that a third of all rows repeat is compared once.
     Vectors that are null or zero, or hold null or non-finite components, link with nothing,
-    nor do rows with a null vec_id, or vectors of different dimensions. A vec_id that names
+    nor do rows with a null vec_id, which aren't kept, or vectors of different dimensions. A vec_id that names
     different vectors is one node. Repeated rows are vectors of their own. An empty table
     gives an empty result. Columns but vec_id and embedding are ignored.
     """
@@ -216,7 +216,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
     discard(classes, links, roots, counts)
     out = named.join(result, ["h1", "h2"], "left")
     component = F.when(F.col("usable"), F.col("c")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("usable"), F.col("n")).otherwise(F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.when(F.col("usable"), F.col("n")).otherwise(F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,12 +327,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, chunks: int = CHUNK
     if any(k > capacity or k < 1 for k in counts):
         raise ValueError(f"piece lengths must be 1 to {capacity}")
     runs = spark.sparkContext.broadcast(places(pack_lengths(counts, capacity)))
-    chunk = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int")
+    order = [c for c in ("doc_id", "piece", "ids_crc32", "start") if c in pieces.columns]  # ties are alike throughout
+    chunk = F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int")
     rows = pieces.withColumn("_chunk", chunk)
     along = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("length", "_chunk").count()
     starts = starts.select("length", "_chunk", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece"))
+    inside = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy(*order))
     ranked = rows.withColumn("_n", inside).join(starts, ["length", "_chunk"])
     ranked = ranked.select(*pieces.columns, (F.col("_start") + F.col("_n") - 1).alias("_rank"))
 
