@@ -16,7 +16,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import discard, staged, table
@@ -220,16 +220,30 @@ def fingerprints(media: DataFrame, decode: Callable[[bytes | None], bytes | None
     return keyed.mapInArrow(run, "id long, digest binary, items array<int>, varied array<boolean>")
 
 
-def places(prints: DataFrame, run: int = RUN) -> DataFrame:
-    """``prints(id, items, varied)`` -> ``id, place, run``: the hashed runs of ``run`` integers of
-    varied frames that aren't all equal."""
+def _hashed(run: int) -> Column:
+    """Per place of an integer the hash of the run of ``run`` integers from it on; null if one of
+    them is of no varied frame, if none differs from the first, or beyond the last run."""
     at = lambda c, i, k: F.get(c, i + k)
     each = range(1, run)
     moves = lambda x, i: reduce(or_, [at("items", i, k) != x for k in each], F.lit(run == 1))
     told = lambda i: reduce(and_, [at("varied", i, k) for k in range(run)])
-    hashed = F.transform("items", lambda x, i: F.when(told(i) & moves(x, i), F.xxhash64(x, *[at("items", i, k) for k in each])))
-    whole = F.slice(hashed, 1, F.greatest(F.size("items") - (run - 1), F.lit(0)))
-    return prints.select("id", F.posexplode(whole).alias("place", "run")).where("run is not null")
+    return F.transform("items", lambda x, i: F.when(told(i) & moves(x, i), F.xxhash64(x, *[at("items", i, k) for k in each])))
+
+
+def places(prints: DataFrame, run: int = RUN) -> DataFrame:
+    """``prints(id, items, varied)`` -> ``id, place, run``: the hashed runs of ``run`` integers of
+    varied frames that aren't all equal."""
+    return prints.select("id", F.posexplode(_hashed(run)).alias("place", "run")).where("run is not null")
+
+
+def longer_places(prints: DataFrame, runs: DataFrame, run: int = RUN) -> DataFrame:
+    """``id, place, run`` of the runs of one integer more that begin or end with one of ``runs``."""
+    shorter, longer = _hashed(run), _hashed(run + 1)
+    both = F.transform(shorter, lambda r, i: F.struct(r.alias("run"), F.get(longer, i).alias("on"), F.when(i > 0, F.get(longer, i - 1)).alias("back")))
+    held = prints.select("id", F.posexplode(both).alias("place", "r")).select("id", "place", "r.*").where("run is not null and (on is not null or back is not null)")
+    held = held.join(runs, "run", "left_semi")
+    sides = F.explode(F.array(F.struct("place", F.col("on").alias("run")), F.struct((F.col("place") - 1).alias("place"), F.col("back").alias("run"))))
+    return held.select("id", sides.alias("s")).select("id", "s.place", "s.run").where("run is not null").distinct()
 
 
 def agreement(x: np.ndarray, y: np.ndarray, shift: int, max_error: float = MAX_ERROR) -> tuple[int, int, int]:
@@ -277,31 +291,33 @@ def decisions(prints: DataFrame, votes: DataFrame, max_error: float = MAX_ERROR,
     return both.mapInArrow(run, "id long, with long, " + ", ".join(f"{n} int" for n in names)).withColumn("aligned", F.col("told") >= frames)
 
 
+def _offered(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs that several recordings hold, with their first holder (smallest id and place), and
+    ``id, with, shift, votes``: the offset histogram of each recording against those holders."""
+    first = live.groupBy("run").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last"))
+    first = staged(first.where("last <> first.id").select("run", F.col("first.id").alias("with"), F.col("first.place").alias("at")), "audio-runs")
+    held = live.join(first, "run").where(F.col("id") != F.col("with"))
+    return first, held.groupBy("id", "with", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
+
+
 def alignments(prints: DataFrame, run: int = RUN, max_error: float = MAX_ERROR, frames: int = FRAMES) -> DataFrame:
     """The aligned pairs of ``prints(id, items, varied)``, ids distinct, that connect all others;
     columns as of ``decisions``.
 
-    Each run's holders are compared with its first one (smallest id and place), so that the rows
-    grow with the recordings and not with their pairs, also for a passage that all share. Those
-    that bit errors refuse are compared with the first of the refused, and so on: two holders
-    of a run are compared, unless both align with one that was. Each round retires a holder
-    of every run that goes on.
+    Each run's holders are compared with its first one, so that the rows grow with the recordings
+    and not with their pairs, also for a passage that all share. Where bit errors refuse one,
+    two holders may still align with each other: they share a run of one integer more, as
+    a rule, whose first holder agrees with both in all of it. So the longer runs around
+    refused ones vote once more, for all recordings that hold them.
     """
-    found, live, own = [], places(prints, run), prints
-    while True:
-        first = live.groupBy("run").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last"))
-        first = staged(first.where("last <> first.id").select("run", F.col("first.id").alias("with"), F.col("first.place").alias("at")), "audio-runs")
-        held = live.join(first, "run").where(F.col("id") != F.col("with"))
-        votes = held.groupBy("id", "with", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
-        decided = staged(decisions(prints, votes, max_error, frames), "audio-decided")
-        found.append(decided.where("aligned"))
-        refused = decided.where("not aligned").select("id", "with")
-        if refused.isEmpty():
-            break
-        own = own.join(refused.select("id").distinct(), "id", "left_semi")
-        again = places(own, run) if len(found) == 1 else live.join(refused.select("id").distinct(), "id", "left_semi")
-        live = staged(again.join(first, "run").join(refused, ["id", "with"], "left_semi").select("id", "place", "run"), "audio-refused")
-    return reduce(DataFrame.unionAll, found)
+    first, votes = _offered(places(prints, run))
+    decided = staged(decisions(prints, votes, max_error, frames), "audio-decided")
+    refused = decided.where("not aligned").select("id", "with")
+    own = prints.join(refused.select("id").distinct(), "id", "left_semi")
+    runs = staged(places(own, run).join(first, "run").join(refused, ["id", "with"], "left_semi").select("run").distinct(), "audio-refused")
+    _, votes = _offered(staged(longer_places(prints, runs, run), "audio-longer"))
+    again = decisions(prints, votes.join(decided.where("aligned").select("id", "with"), ["id", "with"], "left_anti"), max_error, frames)
+    return decided.where("aligned").unionAll(again.where("aligned"))
 
 
 def match_recordings(media: DataFrame, decode: Callable | None = None, run: int = RUN, max_error: float = MAX_ERROR, frames: int = FRAMES) -> DataFrame:
