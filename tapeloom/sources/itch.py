@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 HEADER = 11
 SPLIT_BYTES = 32 << 20
@@ -228,6 +228,62 @@ class ItchReader(DataSourceReader):
             yield b
 
 
+class ItchStreamReader(DataSourceStreamReader):
+    """The files of a folder as a stream: new ones, and what is appended to known ones.
+
+    An offset holds how far each file has been taken, ``{file: [bytes, frames]}``, always up to a
+    frame's border; a frame that isn't whole yet waits. Each message comes once, with the
+    ordinal that the batch source gives it. The driver hops through what is new, and after a
+    restart once through all, to find borders; messages are read by tasks.
+    """
+
+    def __init__(self, options: dict):
+        self.source = ItchReader(options)
+        self.taken: dict[str, list[int]] = {}
+
+    def _new(self, file: str, start: list[int], end: int | None = None) -> list[tuple]:
+        """Splits of a file from ``start`` on, or up to byte ``end``: (start, end, first, frames)."""
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.source.path)
+        at, ordinal = start
+
+        def chunks(f) -> Iterator[bytes]:
+            f.seek(at)
+            left = f.size() - at if end is None else end - at
+            while left > 0 and (chunk := f.read(min(CHUNK, left))):
+                left -= len(chunk)
+                yield chunk
+
+        with system.open_input_file(file) as f:
+            return [(at + lo, at + hi, ordinal + first, n) for lo, hi, first, n, _, _ in hop(chunks(f), self.source.split_bytes) if n]
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        out = dict(self.taken)
+        for file in _files(self.source.path):
+            if splits := self._new(file, self.taken.get(file, [0, 0])):
+                _, end, first, n = splits[-1]
+                out[file] = [end, first + n]
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        out = []
+        for file, (upto, _) in sorted(end.items()):
+            begin = start.get(file, [0, 0])
+            if upto > begin[0]:
+                out += [Split(file, lo, hi, first) for lo, hi, first, _ in self._new(file, begin, upto)]
+        return out
+
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        return self.source.read(split)
+
+    def commit(self, end: dict) -> None:
+        self.taken = dict(end)
+
+
 class PushingReader(ItchReader):
     """Takes equality and membership filters on locate and msg_type off the query. Spark asks
     for them only if ``spark.sql.python.filterPushdown.enabled`` is set, and refuses a reader
@@ -256,6 +312,9 @@ class ItchSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def streamReader(self, schema) -> ItchStreamReader:  # noqa: N802
+        return ItchStreamReader({k.lower(): v for k, v in self.options.items()})
+
     def reader(self, schema) -> ItchReader:
         options = {k.lower(): v for k, v in self.options.items()}
         return (PushingReader if options.get("pushfilters", "false").lower() == "true" else ItchReader)(options)

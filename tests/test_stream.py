@@ -1,7 +1,8 @@
 import time
+from collections import Counter
 
 from tapeloom.operators import book as B
-from tapeloom.sources import feeds
+from tapeloom.sources import feeds, itch
 from tapeloom.streaming import book_stream
 
 
@@ -21,3 +22,26 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert q.exception() is None
     got = sorted(map(repr, spark.table("books").collect()))
     assert got == sorted(map(repr, B.books(updates).collect()))
+
+
+def test_each_message_of_growing_files_comes_once(spark, tmp_path):
+    """Files that grow in the middle of a frame, new files, and a restart from the checkpoint."""
+    spark.dataSource.register(itch.ItchSource)
+    messages = [{"msg_type": "D", "locate": 1 + i % 3, "ts_ns": i, "ref": i} for i in range(40)]
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    data = itch.encode(messages[:20])
+
+    def run():
+        stream = spark.readStream.format("itch").option("splitBytes", 100).load(str(folder)).select("file", "seq", "ref")
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+        return Counter(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+
+    (folder / "a.bin").write_bytes(data[:-7])
+    assert run() == {("a.bin", i, i): 1 for i in range(19)}
+    (folder / "a.bin").write_bytes(data + itch.encode(messages[20:30]))
+    (folder / "b.bin").write_bytes(itch.encode(messages[30:]))
+    want = Counter({("a.bin", i, i): 1 for i in range(30)} | {("b.bin", i, 30 + i): 1 for i in range(10)})
+    assert run() == want and run() == want
