@@ -238,8 +238,9 @@ def places(prints: DataFrame, run: int = RUN) -> DataFrame:
 
 def longer_places(prints: DataFrame, runs: DataFrame, run: int = RUN) -> DataFrame:
     """``id, place, run`` of the runs of one integer more that begin or end with one of ``runs``."""
-    shorter, longer = _hashed(run), _hashed(run + 1)
-    both = F.transform(shorter, lambda r, i: F.struct(r.alias("run"), F.get(longer, i).alias("on"), F.when(i > 0, F.get(longer, i - 1)).alias("back")))
+    longer = _hashed(run + 1)  # zipped, not looked up: each array is made once per recording
+    back = F.concat(F.array(F.lit(None).cast("long")), longer)
+    both = F.arrays_zip(_hashed(run).alias("run"), longer.alias("on"), back.alias("back"))
     held = prints.select("id", F.posexplode(both).alias("place", "r")).select("id", "place", "r.*").where("run is not null and (on is not null or back is not null)")
     held = held.join(runs, "run", "left_semi")
     sides = F.explode(F.array(F.struct("place", F.col("on").alias("run")), F.struct((F.col("place") - 1).alias("place"), F.col("back").alias("run"))))
