@@ -2,9 +2,12 @@
 
 Anchors and bands only propose. SimHash fingerprints of the sets meet at their anchors
 (``simhash.fingerprint_links``), which finds close copies; at a similarity of 0.8 fingerprints
-are too far apart for that, so bands of min-hashes join texts, too. What hangs together is a
-block. Within a block sets are compared exactly. Blocks over a bound are dealt into tiles, and
-each two tiles are a group of their own.
+are too far apart for that, so bands of min-hashes propose texts, too: each text and the first
+of each of its buckets. All min-hashes of a set, a byte each, are its sketch, and sketches judge
+each proposal. A bucket with a text that is unlike its first is gone through whole, by sketches.
+What alike sketches connect is a block; texts that share some of a template meet in buckets, but
+make no block. Within a block sets are compared exactly. Buckets and blocks over a bound are
+dealt into tiles, and each two tiles are a group of their own.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ BANDS, ROWS = 40, 8
 #: Min-hashes that sort out pairs before their sets are compared, and how many must agree: at
 #: 0.8 fewer than 36 of 64 do with a chance below 0.0001.
 SKETCH, AGREE = 64, 36
-#: Texts and shingles of a tile.
-TILE_TEXTS, TILE_SHINGLES = 2_000, 2_000_000
+#: Texts and shingles of a tile of a block, and texts of a tile of a bucket.
+TILE_TEXTS, TILE_SHINGLES, TILE_SKETCHES = 2_000, 2_000_000, 4_000
 
-_ODD = np.random.default_rng(20).integers(0, 2**63, BANDS * ROWS + SKETCH + SHINGLE + ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
-_BAND, _SKETCH, _WORD, _ROW = np.split(_ODD, np.cumsum([BANDS * ROWS, SKETCH, SHINGLE]))
+_ODD = np.random.default_rng(20).integers(0, 2**63, BANDS * ROWS + SKETCH + SHINGLE, np.uint64) << np.uint64(1) | np.uint64(1)
+_BAND, _SKETCH, _WORD = np.split(_ODD, np.cumsum([BANDS * ROWS, SKETCH]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,7 +114,8 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 
 def with_bands(keyed: DataFrame) -> DataFrame:
     """The key and text of rows -> the key, and ``node, n, fp, bands``: a number that equal sets
-    share, the set's size, SimHash and band keys. Whole texts, no shuffle."""
+    share, the set's size, SimHash and band keys. A key is a byte of each min-hash of its band,
+    so that the keys are the sketch as well. Whole texts, no shuffle."""
     width = len(KEY)
 
     def run(batches):
@@ -119,25 +123,29 @@ def with_bands(keyed: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in b.column(width).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            node, fp, keys = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.int64), np.zeros((0, BANDS), np.uint64)
+            node, fp, keys = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.int64), np.zeros(0, np.int64)
             if len(full):
                 node[full] = mix(np.array([mix(sets[i] ^ np.uint64(0x5EED)).sum() for i in full], np.uint64))
                 fp[full] = [simhash_of(sets[i]) for i in full]
-                found = minima([sets[i] for i in full], _BAND).reshape(len(full), BANDS, ROWS)
-                keys = mix((found * _ROW).sum(2) + np.arange(BANDS, dtype=np.uint64))
+                keys = mix(minima([sets[i] for i in full], _BAND)).astype(np.uint8).ravel().view(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(node.view(np.int64)), pa.array(sizes), pa.array(fp), lists], [*KEY, "node", "n", "fp", "bands"])
 
     return keyed.select(*KEY, "text").mapInArrow(run, f"{_KEY_SCHEMA}, node long, n long, fp long, bands array<long>")
 
 
-def proposed_pairs(classes: DataFrame) -> DataFrame:
-    """``classes(node, fp, bands)`` -> ``a, b``: each node with the smallest one of each of its
-    bands and of its fingerprint, and the smallest of two fingerprints that meet at an anchor."""
+def bucket_firsts(classes: DataFrame) -> DataFrame:
+    """``key, node, least``: each node of a bucket of several, but the smallest, with that one."""
     each = classes.select("node", F.explode("bands").alias("key"))
     first = each.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("key", "least")
-    by_band = each.join(first, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return each.join(first, "key").where("node <> least").select("key", "node", "least")
+
+
+def proposed_pairs(classes: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
+    """``classes(node, fp, bands)`` -> ``a, b``: each node with the smallest one of each of its
+    bands and of its fingerprint, and the smallest of two fingerprints that meet at an anchor."""
+    by_band = (bucket_firsts(classes) if firsts is None else firsts).select(F.col("node").alias("a"), F.col("least").alias("b"))
     # the empty set is a class of its own, whatever its fingerprint
     prints = staged(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("least")), "set-prints")
     near = fingerprint_links(prints.select("fp"), SIMHASH_BITS, (SIMHASH_BITS + 1) // 2)
@@ -149,6 +157,104 @@ def proposed_pairs(classes: DataFrame) -> DataFrame:
     return out
 
 
+# ---- sketches ----------------------------------------------------------------------------
+def least_agreeing(min_similarity: float) -> int:
+    """How many of the min-hashes of a sketch must agree: fewer do, for sets that are just
+    similar enough, with a chance below 0.0001."""
+    n = BANDS * ROWS
+    return int(n * min_similarity - 3.9 * (n * min_similarity * (1 - min_similarity)) ** 0.5)
+
+
+def sketches_of(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, min-hashes) bytes of a column of band keys."""
+    flat = (lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).flatten()
+    return flat.to_numpy(zero_copy_only=False).view(np.uint8).reshape(len(lists), BANDS * ROWS)
+
+
+def _sizes_fit(n: np.ndarray, m, min_similarity: float) -> np.ndarray:
+    return np.minimum(n, m) >= min_similarity * np.maximum(n, m) - 1e-6
+
+
+def judged_pairs(pairs: DataFrame, classes: DataFrame, min_similarity: float) -> DataFrame:
+    """``a, b, alike`` of each pair: whether sketches and sizes allow the similarity."""
+    agreeing = least_agreeing(min_similarity)
+
+    def run(batches):
+        for b in batches:
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            same = (sketches_of(b.column(3)) == sketches_of(b.column(5))).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((same >= agreeing) & _sizes_fit(n, m, min_similarity))], ["a", "b", "alike"])
+
+    one = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bands").alias("s_a"))
+    two = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("s_b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return both.mapInArrow(run, "a long, b long, alike boolean")
+
+
+def connecting_sketches(sketch: np.ndarray, sizes: np.ndarray, tile: np.ndarray, min_similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that connect what pairs of alike sketches connect; where there are two tiles,
+    only pairs between them count. As many pairs at most as there are sketches."""
+    agreeing, columns = least_agreeing(min_similarity), np.ascontiguousarray(sketch[:, :SKETCH].T)
+    first = int(SKETCH * min_similarity - 3.9 * (SKETCH * min_similarity * (1 - min_similarity)) ** 0.5)
+    root, across, out = np.arange(len(sketch)), tile.min() != tile.max(), []
+    for i in range(len(sketch) - 1):
+        may = (root[i + 1 :] != root[i]) & _sizes_fit(sizes[i + 1 :], sizes[i], min_similarity)
+        if across:
+            may &= tile[i + 1 :] != tile[i]
+        # most pairs fall at a part of the sketch, which is laid out by columns
+        may &= np.add.reduce(columns[:, i + 1 :] == columns[:, i, None], axis=0, dtype=np.uint8) >= first
+        j = np.flatnonzero(may) + i + 1
+        for k in j[(sketch[j] == sketch[i]).sum(1) >= agreeing]:
+            if root[k] != root[i]:
+                out.append((i, int(k)))
+                root[root == root[k]] = root[i]
+    return out
+
+
+def alike_in_buckets(classes: DataFrame, each: DataFrame, min_similarity: float, tile_sketches: int) -> DataFrame:
+    """``a, b``: links that connect all nodes of alike sketches in each bucket of ``each(key,
+    node)``. Sketches are shuffled, not texts; the work of a bucket grows with the square of its
+    tiles, the links with its size."""
+    tiles = each.groupBy("key").agg(F.ceil(F.count("*") / tile_sketches).cast("int").alias("tiles"))
+    dealt = each.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.join(classes.select("node", "n", "bands"), "node")
+    # with another tile each time: every two tiles of a bucket meet once, each with itself too
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("node", "n", "bands", "tile", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("group"))
+
+    def compare(batches):
+        for t in whole_groups(batches, "group"):
+            node, n, tile, sketch = t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("tile").to_numpy(), sketches_of(t.column("bands"))
+            bounds, a, b = group_bounds(t.column("group").to_numpy()), [], []
+            for g in np.flatnonzero(np.diff(bounds) > 1):
+                own = slice(bounds[g], bounds[g + 1])
+                found = connecting_sketches(sketch[own], n[own], tile[own], min_similarity)
+                a += [node[own][i] for i, _ in found]
+                b += [node[own][k] for _, k in found]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+
+
+def alike_links(classes: DataFrame, min_similarity: float = MIN_SIMILARITY, tile_sketches: int = TILE_SKETCHES) -> DataFrame:
+    """``classes(node, n, fp, bands)`` -> ``a, b``: links of alike sketches. They connect all
+    alike nodes of each bucket: through its first, or, if a node is unlike that, by going
+    through the whole bucket."""
+    firsts = staged(bucket_firsts(classes), "set-firsts")
+    proposed = proposed_pairs(classes, firsts)
+    judged = staged(judged_pairs(proposed, classes, min_similarity), "set-judged")
+    unlike = judged.where("not alike").select(F.col("a").alias("node"), F.col("b").alias("least"))
+    keys = firsts.join(unlike, ["node", "least"], "left_semi").select("key").distinct()
+    mixed = staged(classes.select("node", F.explode("bands").alias("key")).join(keys, "key", "left_semi"), "set-mixed")
+    discard(firsts, proposed)
+    inside = alike_in_buckets(classes, mixed, min_similarity, tile_sketches)
+    out = staged(judged.where("alike").select("a", "b").union(inside).distinct(), "set-alike")
+    discard(judged, mixed)
+    return out
+
+
+# ---- sets --------------------------------------------------------------------------------
 def connecting_pairs(sets: list[np.ndarray], tile: np.ndarray, min_similarity: float) -> list[tuple[int, int]]:
     """Index pairs that connect what pairs of at least ``min_similarity`` connect. Where there
     are two tiles, only pairs between them count. Pairs already connected aren't compared."""
@@ -176,12 +282,12 @@ def similar_links(keyed: DataFrame, rows: DataFrame, min_similarity: float = MIN
     """``a, b``: nodes whose sets are at least ``min_similarity`` alike, as many links as connect
     them. Texts of blocks, and no others, are read again for their sets."""
     classes = staged(rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.min(F.struct(*KEY)).alias("row")), "set-classes")
-    proposed = proposed_pairs(classes)
-    blocks = staged(connected_components(proposed), "set-blocks")
+    alike = alike_links(classes, min_similarity)
+    blocks = staged(connected_components(alike), "set-blocks")
     members = blocks.join(classes.select("node", "n", "row.*"), "node")
     totals = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
     members = staged(members.join(totals, "root").select(*KEY, "node", "root", "tiles"), "set-members")
-    discard(blocks, classes, proposed)
+    discard(blocks, classes, alike)
     texts = keyed.select(*KEY, "text").join(members, list(KEY)).select("node", "root", "tiles", "text")
 
     def sets(batches):

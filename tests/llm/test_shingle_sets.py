@@ -94,3 +94,82 @@ def test_odd_rows(spark):
     one = [r.source for r in J.keep_first(docs).collect() if r.doc_id == 8]
     assert one == [r.source for r in J.keep_first(docs.orderBy("source")).collect() if r.doc_id == 8]  # not by chance
     assert J.keep_first(docs.limit(0)).collect() == []
+
+
+def classes_of(spark, texts):
+    rows = J.with_bands(J.keyed_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    return rows.where("n > 0").select("node", "n", "fp", "bands", "id")
+
+
+def template_texts(n, shared, own, seed=9):
+    rng, base = np.random.default_rng(seed), [f"b{i}" for i in range(shared)]
+    return [" ".join(base + [f"t{v}" for v in rng.integers(0, 10**9, own)]) for _ in range(n)]
+
+
+def test_texts_of_a_template_are_no_block(spark):
+    """Texts two thirds of which are one template (similarity 0.49) share many buckets; sketches
+    leave just the pairs that are alike."""
+    texts = template_texts(1500, 100, 50)
+    copies = [t + " and more" for t in texts[:40]]
+    classes = J.staged(classes_of(spark, texts + copies), "template")
+    firsts = J.bucket_firsts(classes).count()
+    assert firsts > 1500  # the plain proposals connect most of them
+    ids = {r.node: r.id for r in classes.collect()}
+    got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in J.alike_links(classes).collect()}
+    assert got == {(k, 1500 + k) for k in range(40)}
+
+
+def test_bucket_whose_first_is_unlike_the_others(spark):
+    """All texts share a bucket; the first is like none, and tiles give what one group gives."""
+    classes = classes_of(spark, ["one " * 9, *edited(12)])
+    rows = [(r.node, r.n, 1000 * i, list(r.bands)) for i, r in enumerate(classes.collect())]
+    key = min(rows)[3][0]
+    rows = [(node, n, fp, [key, *bands[1:]]) for node, n, fp, bands in rows]
+    one = J.staged(spark.createDataFrame(rows, "node long, n long, fp long, bands array<long>"), "one-bucket")
+    for tile in (4_000, 5):
+        links = J.alike_links(one, tile_sketches=tile).collect()
+        reached = J.connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).count()
+        assert reached == 12
+
+
+def edited(n, words=400):
+    """Texts that differ from each other in a word each."""
+    base = [f"w{i}" for i in range(words)]
+    return [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(40, 40 + 20 * n, 20)]
+
+
+def test_sketches_keep_pairs_at_the_limit(spark):
+    rows = edited_pairs()
+    classes = J.staged(classes_of(spark, [t for _, t in rows]), "limit")
+    node = {r.id: r.node for r in classes.collect()}
+    pairs = spark.createDataFrame([(node[2 * k], node[2 * k + 1]) for k in range(200)], "a long, b long")
+    alike = {(r.a, r.b) for r in J.judged_pairs(pairs, classes, 0.8).collect() if r.alike}
+    sets = [shingles(t) for _, t in rows]
+    near = [k for k in range(200) if len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) >= 0.8]
+    assert near and all((node[2 * k], node[2 * k + 1]) in alike for k in near)
+
+
+def test_sketch_links_against_all_pairs():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, (6, J.BANDS * J.ROWS), np.uint8)
+    s = base[rng.integers(0, 6, 90)].copy()
+    s[rng.random(s.shape) < 0.13] = 7
+    n, zero = rng.integers(80, 120, 90), np.zeros(90, np.int64)
+    need = J.least_agreeing(0.8)
+    fits = np.minimum(n[:, None], n) >= 0.8 * np.maximum(n[:, None], n) - 1e-6
+    pairs = np.argwhere(((s[:, None] == s).sum(2) >= need) & fits)
+    want = smallest_reached(90, pairs)
+    assert 6 <= len(set(want)) < 90
+    assert smallest_reached(90, J.connecting_sketches(s, n, zero, 0.8)) == want
+    tiles = np.arange(90) % 3
+    parts = [J.connecting_sketches(s[o], n[o], tiles[o], 0.8) for o in (np.flatnonzero((tiles == a) | (tiles == b)) for a in range(3) for b in range(a, 3))]
+    owners = [np.flatnonzero((tiles == a) | (tiles == b)) for a in range(3) for b in range(a, 3)]
+    assert smallest_reached(90, [(o[i], o[j]) for o, part in zip(owners, parts, strict=True) for i, j in part]) == want
+
+
+def smallest_reached(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
