@@ -94,7 +94,7 @@ def test_tree_of_levels_is_the_book():
 
 def test_what_a_message_writes_does_not_grow_with_the_book():
     most = []
-    for levels in (300, 30_000):
+    for levels in (20_000, 100_000):  # nodes below the root are full at 256 entries
         store, counts = Store(), {"B": 0, "S": 0}
         nodes = StateDict(store, pack_node, unpack_node)
         book = TreeBook(nodes, counts)
@@ -110,7 +110,7 @@ def test_what_a_message_writes_does_not_grow_with_the_book():
                 seen.append(store.written)
         most.append(max(seen))
     assert all(m <= len(book_stream.SHIFTS) * 256 * 16 for m in most)
-    assert most[1] < 2_500 and most[1] < 3 * most[0] + 600
+    assert most[1] < 1.2 * most[0]
 
 
 def test_each_message_of_growing_files_comes_once(spark, tmp_path):
