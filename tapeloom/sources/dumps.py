@@ -1,4 +1,4 @@
-"""Binary feature dumps as a data source and sink, and the weight files."""
+"""Binary feature dumps and flat logit files as data sources and sinks, and the weight files."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tapeloom.operators.model import CLASSES, HIDDEN, INPUTS, Int8Weights, Weights
@@ -36,18 +37,24 @@ class Split(InputPartition):
         self.path, self.first, self.rows = path, first, rows
 
 
+def data_files(uri: str):
+    """The file system of ``uri``, and its files (or it alone) by path."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    info = system.get_file_info(path)
+    files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and not f.base_name.startswith(("_", "."))]
+    return system, sorted(files, key=lambda f: f.path)
+
+
 class DumpReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[Split]:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.path)
-        info = system.get_file_info(path)
-        files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and not f.base_name.startswith(("_", "."))]
+        system, files = data_files(self.path)
         out = []
-        for f in sorted(files, key=lambda f: f.path):
+        for f in files:
             with system.open_input_file(f.path) as data:
                 header(data.read(8), DUMP_MAGIC, DUMP_VERSION, f.path)
             rows, rest = divmod(f.size - 8, RECORD.itemsize)
@@ -115,6 +122,83 @@ class DumpWriter(DataSourceArrowWriter):
                 system.delete_file(m.path)
 
 
+class LogitReader(DataSourceReader):
+    """Rows are numbered through all files, in the order of their names."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[Split]:
+        out, first = [], 0
+        for f in data_files(self.path)[1]:
+            rows, rest = divmod(f.size, 4 * CLASSES)
+            if rest:
+                raise ValueError(f"{f.path}: {f.size} bytes aren't whole rows of {CLASSES} numbers")
+            for at in range(0, rows, SPLIT_ROWS):
+                split = Split(f.path, at, min(SPLIT_ROWS, rows - at))
+                split.number = first + at
+                out.append(split)
+            first += rows
+        return out
+
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path)
+        with system.open_input_file(split.path) as f:
+            f.seek(split.first * 4 * CLASSES)
+            values = np.frombuffer(f.read(split.rows * 4 * CLASSES), "<f4").reshape(-1, CLASSES)
+        for at in range(0, len(values), 50_000):
+            v = values[at : at + 50_000]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * CLASSES), pa.array(np.ascontiguousarray(v).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(split.number + at + np.arange(len(v))), lists], ["row", "logits"])
+
+
+class LogitWriter(DumpWriter):
+    """Flat float32, without a header: a file for each task, named by its place among them, so
+    that all files one after the other are the rows in the order of the frame."""
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, path = fs.FileSystem.from_uri(self.path)
+        system.create_dir(path, recursive=True)
+        name = f"{path}/.{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.f32"
+        with system.open_output_stream(name, compression=None) as out:
+            for b in batches:
+                lists = b.column("logits")
+                if lists.null_count or any(n != CLASSES for n in pa.compute.list_value_length(lists).unique().to_pylist()):
+                    raise ValueError(f"each row must have {CLASSES} logits")
+                values = lists.flatten().to_numpy(zero_copy_only=False)  # a null logit is NaN
+                out.write(np.ascontiguousarray(values, "<f4").tobytes())
+        return Written(name)
+
+
+class FlatLogits(DataSource):
+    """``flatlogits``: rows of the three logits as flat float32, in the order of the frame. To
+    write them in the order of a key, sort the frame by it; to append would break the order and
+    is refused. Reading numbers the rows from 0."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "flatlogits"
+
+    def schema(self) -> str:
+        return "row long, logits array<float>"
+
+    def reader(self, schema) -> LogitReader:
+        return LogitReader(self.options["path"])
+
+    def writer(self, schema, overwrite: bool) -> LogitWriter:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.options["path"])
+        if system.get_file_info(path).type != fs.FileType.NotFound and data_files(self.options["path"])[1]:
+            raise ValueError(f"{path} has files already")
+        return LogitWriter(self.options["path"])
+
+
 class FeatureDump(DataSource):
     @classmethod
     def name(cls) -> str:

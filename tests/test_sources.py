@@ -277,3 +277,27 @@ def test_a_cluster_needs_a_shared_folder():
         staging.shared_dir(session)
     conf["spark.checkpoint.dir"] = "hdfs://store/shared"
     assert staging.shared_dir(session) == "hdfs://store/shared"
+
+
+def test_flat_logits_keep_the_order_of_rows(spark, tmp_path):
+    spark.dataSource.register(U.FlatLogits)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), [float(v) for v in rng.normal(size=16).astype(np.float32)]) for k in rng.permutation(500)]
+    scored = M.score(spark.createDataFrame(rows, "id long, f array<float>").repartition(7), demo_weights())
+    path = str(tmp_path / "logits")
+    scored.repartitionByRange(5, "id").sortWithinPartitions("id").select("logits").write.format("flatlogits").mode("append").save(path)
+    files = sorted((tmp_path / "logits").glob("*.f32"))
+    flat = np.concatenate([np.fromfile(f, "<f4") for f in files]).reshape(-1, 3)
+    want = np.array([r.logits for r in scored.orderBy("id").collect()], np.float32)
+    assert len(files) > 1 and flat.tobytes() == want.tobytes()
+    (tmp_path / "one.f32").write_bytes(flat.tobytes())  # one flat file, as another program writes it
+    for source in (path, str(tmp_path / "one.f32")):
+        got = spark.read.format("flatlogits").load(source).orderBy("row").collect()
+        assert [r.row for r in got] == list(range(500)) and np.array([r.logits for r in got], np.float32).tobytes() == flat.tobytes()
+    with pytest.raises(Exception, match="has files already"):
+        scored.select("logits").write.format("flatlogits").mode("append").save(path)
+    (tmp_path / "cut.f32").write_bytes(flat.tobytes()[:-4])
+    with pytest.raises(Exception, match="whole rows"):
+        spark.read.format("flatlogits").load(str(tmp_path / "cut.f32")).collect()
+    with pytest.raises(Exception, match="3 logits"):
+        spark.createDataFrame([([1.0],)], "logits array<float>").write.format("flatlogits").mode("append").save(str(tmp_path / "odd"))
