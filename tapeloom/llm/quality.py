@@ -336,14 +336,17 @@ class Classifier:
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     """Word vectors from all documents outside the held-out fold; the network from about
     ``fit_rows`` labelled ones of them, whatever their length, chosen by the hash of doc_id.
-    Texts stay on the executors. Null labels and labels without a document are ignored."""
+    Texts stay on the executors. Null labels and labels without a document are ignored. An id
+    of several labels has that of most of its rows (good, if even). Where ids repeat in ``docs``,
+    the rows with the smallest hashes of id and text are learned from, so reruns agree."""
     open_docs = docs.where(~held_out(F.col("doc_id")))
     vocabulary = vocabulary_of(open_docs)
     pooler = Pooler(vocabulary, word_vectors(open_docs, vocabulary))
-    known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "quality")
+    known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id"))
+    known = known.agg((F.avg((F.col("quality") > 0).cast("int")) >= 0.5).cast("int").alias("quality"))
     total = known.count()
     share = min(1.0, fit_rows / total) if total else 0.0
-    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * fit_rows)
+    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("_id"), "_id").limit(2 * fit_rows)
 
     @F.pandas_udf("array<float>")
     def pooled(texts: pd.Series) -> pd.Series:
@@ -351,7 +354,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Class
 
     # broadcast: at most 2 x fit_rows ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("doc_id", "quality", pooled("text").alias("x")).limit(2 * fit_rows).collect()
+    rows = rows.select("doc_id", "quality", pooled("text").alias("x"), F.xxhash64("doc_id", "text").alias("_order"))
+    rows = rows.orderBy("_order", "doc_id").limit(2 * fit_rows).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"], r["quality"]))
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, DIMENSIONS + 4)
     return Classifier(pooler, x, np.array([r["quality"] > 0 for r in rows], np.float64))

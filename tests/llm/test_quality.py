@@ -107,3 +107,13 @@ def test_odd_rows(spark):
         none = Q.learn(docs, labels.limit(0))
     assert {r.score for r in Q.score_documents(docs, none).collect()} == {1.0}
     assert Q.score_documents(docs.limit(0), m).collect() == []
+
+
+def test_repeated_ids_and_labels_are_chosen_by_content(spark, sf):
+    """The order and the partitions of rows decide nothing, also where ids repeat beyond the bound."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.withColumn("doc_id", docs.doc_id % 40)
+    labels = docs.selectExpr("doc_id", "cast(length(text) % 2 as int) quality")  # several labels an id
+    learned = [Q.learn(d, k, fit_rows=30) for d, k in ((docs.repartition(5), labels.repartition(3)), (docs.orderBy("text"), labels.orderBy("quality")))]
+    texts = [r.text for r in docs.limit(20).collect()]
+    assert np.allclose(learned[0].score(texts), learned[1].score(texts))
