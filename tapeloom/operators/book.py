@@ -109,23 +109,52 @@ def missing(rows: DataFrame, order: str = "seq", width: int = 1 << 20) -> DataFr
     return inside.unionAll(across).where("at > before + 1").select((F.col("before") + 1).alias("first"), (F.col("at") - 1).alias("last"))
 
 
-def resynced_books(updates: DataFrame, snapshots: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def resynced_books(updates: DataFrame, snapshots: DataFrame, hot_rows: int | None = None, at: DataFrame | None = None) -> DataFrame:
     """The book after each of ``updates`` that can be trusted, of a feed whose ordinals have gaps.
 
     A gap may have lost a change of any symbol, so that from it on a symbol's book is stale
     until its next snapshot: ``snapshots(seq, locate, side, price, qty)`` give all levels as of an
     ordinal, in place of whatever the book holds, and a row without a price for a symbol without
     levels. Updates while a book is stale are dropped; snapshots themselves give no rows.
+
+    With ``at(seq)`` the snapshots are of all symbols, at those ordinals, and a level that stands
+    in many of them is given once: it is in those from ``seq`` to ``until``, or to the last if that
+    is null.
+
+    Of a snapshot only what can change the book is applied: levels updated since the one before
+    and those that came, went or changed between the two, if any update follows. So the rows
+    grow with updates and snapshot rows, not with symbols times gaps.
     """
+    level, action = ["locate", "side", "price"], [c for c in ("action",) if c in updates.columns]
+    mark = lambda seq, whole: (F.lit(0).alias("_all"), F.col(seq).alias("seq"), F.struct(F.col(seq).alias("at"), F.lit(whole).alias("whole")).alias("_mark"))
+    marks = missing(updates).select(*mark("last", False))
+    if at is not None:
+        marks = marks.unionAll(at.select(*mark("seq", True)))
     rows = updates.withColumn("_all", F.lit(0))
-    gaps = missing(updates).select(F.lit(0).alias("_all"), F.col("last").alias("seq"), F.col("last").alias("_gap"))
-    rows = last_before(rows, gaps, ["_all"], "seq", "_gap", Chunks(rows, ["_all"], hot_rows=hot_rows))
-    marks = snapshots.select("locate", "seq", F.col("seq").alias("_known")).distinct()
-    rows = last_before(rows, marks, ["locate"], "seq", "_known", Chunks(rows, hot_rows=hot_rows))
-    rows = rows.where("_gap is null or _known >= _gap").select(*updates.columns, F.lit(2).alias("leg"))
-    clears = marks.select("locate", "seq", F.lit(0).alias("leg"), F.lit("clear").alias("action"))
-    levels = snapshots.where("price is not null").select("locate", "seq", F.lit(1).alias("leg"), "side", "price", "qty")
-    feed = staged(rows.unionByName(clears, allowMissingColumns=True).unionByName(levels, allowMissingColumns=True), "resynced")
+    rows = last_before(rows, marks, ["_all"], "seq", "_mark", Chunks(rows, ["_all"], hot_rows=hot_rows))
+    if at is not None:  # a gap that ends later than the last snapshot leaves all books stale
+        rows, spans = rows.withColumn("_known", F.when(F.col("_mark.whole"), F.col("_mark.at"))), snapshots.select("seq", "until", *level, "qty")
+    else:
+        own = snapshots.select("locate", "seq", F.col("seq").alias("_known")).distinct()
+        rows, spans = last_before(rows, own, ["locate"], "seq", "_known", Chunks(rows, hot_rows=hot_rows)), snapshots.select("seq", F.col("seq").alias("until"), *level, "qty")
+    rows = staged(rows.where("_mark is null or _known >= _mark.at").select(*updates.columns, "_known"), "trusted")
+    spans = spans.where("price is not null")
+
+    # the places after which a level may differ, and the first snapshot in use from there on
+    used = rows.select("locate", F.col("_known").alias("_at")).where("_at is not null").distinct()
+    after = rows.where("price is not null").select(*level, (F.col("seq") + 1).alias("seq"))
+    after = after.unionAll(spans.select(*level, "seq")).unionAll(spans.where("until is not null").select(*level, (F.col("until") + 1).alias("seq")))
+    first = lambda places: last_before(places.withColumn("seq", -F.col("seq")), used.withColumn("seq", -F.col("_at")), ["locate"], "seq", "_at").where("_at is not null")
+    wanted = first(after).select(*level, F.col("_at").alias("seq"))
+    if action:  # of a book that the feed itself has cleared all levels are
+        cleared = first(rows.where("action = 'clear'").select("locate", (F.col("seq") + 1).alias("seq"))).select("locate", "_at")
+        wanted = wanted.unionAll(spans.join(cleared, "locate").where("seq <= _at and (until is null or until >= _at)").select(*level, F.col("_at").alias("seq")))
+    held = spans.select(*level, "seq", F.struct("until", "qty").alias("_held"))
+    found = last_before(wanted.distinct(), held, level, "seq", "_held")
+    stands = F.col("_held.until").isNull() | (F.col("_held.until") >= F.col("seq"))
+    fixes = found.select(*level, "seq", F.lit(1).alias("leg"), F.when(stands, F.coalesce("_held.qty", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("qty"))
+    feed = rows.drop("_known").withColumn("leg", F.lit(2)).unionByName(fixes, allowMissingColumns=True)
+    feed = staged(feed, "resynced")
     out = _folded(feed, [BookStage], f"{LEVEL_COLUMNS}, leg int, {BOOK_COLUMNS}", Chunks(feed, hot_rows=hot_rows), ["seq", "leg"])
     return out.where("leg = 2").drop("leg")
 

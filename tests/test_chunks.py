@@ -165,3 +165,53 @@ def test_stale_books_wait_for_their_snapshot(spark, size):
     got = {r.seq: (r.bid_px, r.ask_px) for r in B.resynced_books(ups, snaps, size).collect()}
     # symbol 1 is known again from the gap's end on, symbol 2 from 6 on, with an empty book before
     assert got == {1: ([10], []), 2: ([], [30]), 5: ([11, 9], []), 6: ([], [31]), 7: ([11, 9], [12]), 8: ([], [31])}
+
+
+def test_levels_that_stand_in_many_snapshots(spark):
+    """Given once, with the ordinals between which they stand, or in each snapshot: the same books,
+    those of a replay. Feeds that clear their books themselves, too."""
+    rng, rows, spans, every, books = random.Random(4), [], [], [], {}
+    levels, began = {1: {}, 2: {}, 3: {}}, {}
+    gap_ends = [-1, 9, 24, 26, 61, 75, 99]
+    lost = {s for e in gap_ends for s in range(e - 3, e + 1)} - {26}
+    for seq in range(140):
+        locate, side, price = rng.choice([1, 1, 2]) if seq < 130 else 3, rng.choice("BS"), rng.randrange(10, 14)
+        clear = rng.random() < 0.06
+        qty = rng.choice([0, 5, 5, 9])
+        for key in list(levels[locate]) if clear else [(side, price)]:
+            if key in levels[locate]:
+                spans.append((*began.pop((locate, *key)), seq - 1, locate, *key, levels[locate].pop(key)))
+        if not clear and qty:
+            levels[locate][side, price], began[locate, side, price] = qty, (seq,)
+        rows.append((seq, locate, seq, "x", *((None, None, None) if clear else (side, price, qty)), "clear" if clear else None))
+        books[seq] = tuple(sorted((p for s, p in levels[locate] if s == x), reverse=x == "B") for x in "BS")
+        if seq in gap_ends:
+            every += [(seq, own, *key, q) for own, held in levels.items() for key, q in held.items()] + [(seq, own, None, None, None) for own, held in levels.items() if not held]
+    spans += [(*began[own, *key], None, own, *key, q) for own, held in levels.items() for key, q in held.items()]
+    ups = spark.createDataFrame([r for r in rows if r[0] not in lost], B.LEVEL_COLUMNS + ", action string")
+    at = spark.createDataFrame([(e,) for e in gap_ends], "seq long")
+    once = spark.createDataFrame(spans, "seq long, until long, locate long, side string, price long, qty long")
+    each = spark.createDataFrame(every, "seq long, locate long, side string, price long, qty long")
+    want = {s: b for s, b in books.items() if s not in lost}
+    for size in (None, 20):
+        for got in (B.resynced_books(ups, once, size, at), B.resynced_books(ups, each, size)):
+            assert {r.seq: (r.bid_px, r.ask_px) for r in got.collect()} == want
+
+
+def test_resync_rows_grow_with_updates(spark, tmp_path, monkeypatch):
+    """Not with symbols times gaps: 400 symbols and ten gaps here."""
+    from tapeloom.plans.book_queries import book_resync
+
+    events = spark.range(10_000).selectExpr("id as event_id", "timestamp_micros(id * 1000) as ts", "id % 400 as user_id", "'view' as event_type", "id * 1.0 as value", "concat('{\"k\": ', id % 7, '}') as props")
+    events.where("event_id not between 4000 and 4020").write.parquet(f"{tmp_path}/events.parquet")  # ordinals that never were
+    staged, sizes = B.staged, []
+
+    def counted(df, name):
+        out = staged(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "staged", counted)
+    monkeypatch.setattr(C, "staged", counted)
+    assert book_resync(spark, str(tmp_path)).count() == 10_000 - 10 * 50 - 21
+    assert max(sizes) < 3 * 10_000
