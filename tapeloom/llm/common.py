@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.staging import clean, discard, new_path, shared_dir, staged
 
-__all__ = ["clean", "discard", "held_out", "new_path", "shared_dir", "staged", "table", "text_or_empty"]
+__all__ = ["clean", "discard", "held_out", "kept", "new_path", "release", "shared_dir", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,3 +25,20 @@ def held_out(doc_id: Column) -> Column:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+_KEPT: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """``make()``, kept by a reused worker process for later tasks, one at a time: another key's
+    takes its place."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Let go of what ``kept`` holds, before work that has no use for it."""
+    _KEPT.clear()

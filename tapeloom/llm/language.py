@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import held_out, table
+from tapeloom.llm.common import held_out, release, table
 
 #: n-grams to a profile, and documents of each language that its profile is learned from:
 #: about this many, chosen by hash, whatever the size of the corpus.
@@ -120,6 +120,7 @@ def learn_profiles(docs: DataFrame, k: int = PROFILE, learn_from: int = LEARN_FR
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str, dict[int, int]] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import staged, table
+from tapeloom.llm.common import kept, staged, table
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -113,14 +113,9 @@ class WordCoder(dict):
         return b"".join(map(self.__getitem__, text.split())) if self.by_word else self._encode(text.decode())
 
 
-_CODERS: dict[str, WordCoder] = {}
-
-
 def coder(path: str) -> WordCoder:
-    """One per worker process; reused workers keep what they have seen."""
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    """One per worker process; reused workers keep what they have seen until other work begins."""
+    return kept(path, lambda: WordCoder(path))
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import discard, held_out, staged, table
+from tapeloom.llm.common import discard, held_out, release, staged, table
 
 #: The network is fitted on about this many labelled rows, chosen by hash.
 FIT_ROWS = 3000
@@ -39,6 +39,8 @@ EPOCHS = 60
 SEED = 7
 #: Words whose vectors a worker keeps before it starts anew; results don't depend on it.
 CACHE_WORDS = 100_000
+#: Pairs of neighbours whose vectors are added up at once; results don't depend on it.
+PAIRS = 16_384
 
 _PARTS = re.compile(r"\w+|[^\w\s]+")
 
@@ -133,12 +135,14 @@ def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
     last unit only: a window over the distinct counts says where the top ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             words: Counter[str] = Counter()
             for text in b.column(0):
                 words.update(set((text.as_py() or "").split()))
             seen: dict[str, int] = {}
-            for w, n in words.items():
+            while words:
+                w, n = words.popitem()
                 for u in units(w):
                     seen[u] = seen.get(u, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
@@ -166,9 +170,11 @@ def neighbour_sums(ids: np.ndarray, base: np.ndarray, out: np.ndarray, seen: int
         pairs, times = np.unique(np.concatenate((a * n + b, b * n + a)), return_counts=True)
         if not len(pairs):
             continue
-        unit, other = pairs // n, pairs % n
-        first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        out[unit[first]] += np.add.reduceat(base[other] * times[:, None].astype(np.int32), first, axis=0)
+        for at in range(0, len(pairs), PAIRS):  # a part of the pairs has its vectors in memory
+            part = slice(at, at + PAIRS)
+            unit, other = pairs[part] // n, pairs[part] % n
+            first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+            out[unit[first]] += np.add.reduceat(base[other] * times[part, None].astype(np.int32), first, axis=0)
 
 
 class UnitIds(dict):

@@ -117,3 +117,31 @@ def test_repeated_ids_and_labels_are_chosen_by_content(spark, sf):
     learned = [Q.learn(d, k, fit_rows=30) for d, k in ((docs.repartition(5), labels.repartition(3)), (docs.orderBy("text"), labels.orderBy("quality")))]
     texts = [r.text for r in docs.limit(20).collect()]
     assert np.allclose(learned[0].score(texts), learned[1].score(texts))
+
+
+def test_memory_of_neighbour_sums():
+    """Vectors of all pairs of 150,000 units at once took over 200 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    ids, base = rng.integers(0, 20_000, 150_000).astype(np.int32), rng.integers(-1, 2, (20_000, Q.DIMENSIONS)).astype(np.int32)
+    sums = np.zeros(base.shape, np.int64)
+    tracemalloc.start()
+    Q.neighbour_sums(ids, base, sums)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(base.shape, np.int64)
+    for k in range(1, Q.WINDOW + 1):
+        np.add.at(want, ids[:-k], base[ids[k:]])
+        np.add.at(want, ids[k:], base[ids[:-k]])
+    assert (sums == want).all() and peak < 60e6
+
+
+def test_one_kept_object_per_worker():
+    from tapeloom.llm import common
+
+    assert common.kept("a", lambda: [1]) is common.kept("a", lambda: [2])
+    common.kept("b", lambda: [3])
+    assert common.kept("a", lambda: [4]) == [4]
+    common.release()
+    assert not common._KEPT
