@@ -16,7 +16,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import discard, staged, table
@@ -220,31 +220,29 @@ def fingerprints(media: DataFrame, decode: Callable[[bytes | None], bytes | None
     return keyed.mapInArrow(run, "id long, digest binary, items array<int>, varied array<boolean>")
 
 
-def _hashed(run: int) -> Column:
-    """Per place of an integer the hash of the run of ``run`` integers from it on; null if one of
-    them is of no varied frame, if none differs from the first, or beyond the last run."""
-    at = lambda c, i, k: F.get(c, i + k)
-    each = range(1, run)
-    moves = lambda x, i: reduce(or_, [at("items", i, k) != x for k in each], F.lit(run == 1))
-    told = lambda i: reduce(and_, [at("varied", i, k) for k in range(run)])
-    return F.transform("items", lambda x, i: F.when(told(i) & moves(x, i), F.xxhash64(x, *[at("items", i, k) for k in each])))
+def _hash_at(place: Column, run: int) -> Column:
+    """The hash of the run of ``run`` integers from ``place`` on; null if one of them is of no
+    varied frame, if none differs from the first, or beyond the last run."""
+    each = [F.get("items", place + k) for k in range(run)]
+    moves = reduce(or_, [x != each[0] for x in each[1:]], F.lit(run == 1))
+    told = reduce(and_, [F.get("varied", place + k) for k in range(run)])
+    return F.when(told & moves, F.xxhash64(*each))
 
 
 def places(prints: DataFrame, run: int = RUN) -> DataFrame:
     """``prints(id, items, varied)`` -> ``id, place, run``: the hashed runs of ``run`` integers of
     varied frames that aren't all equal."""
-    return prints.select("id", F.posexplode(_hashed(run)).alias("place", "run")).where("run is not null")
+    hashed = F.transform("items", lambda x, i: _hash_at(i, run))
+    return prints.select("id", F.posexplode(hashed).alias("place", "run")).where("run is not null")
 
 
-def longer_places(prints: DataFrame, runs: DataFrame, run: int = RUN) -> DataFrame:
-    """``id, place, run`` of the runs of one integer more that begin or end with one of ``runs``."""
-    longer = _hashed(run + 1)  # zipped, not looked up: each array is made once per recording
-    back = F.concat(F.array(F.lit(None).cast("long")), longer)
-    both = F.arrays_zip(_hashed(run).alias("run"), longer.alias("on"), back.alias("back"))
-    held = prints.select("id", F.posexplode(both).alias("place", "r")).select("id", "place", "r.*").where("run is not null and (on is not null or back is not null)")
-    held = held.join(runs, "run", "left_semi")
-    sides = F.explode(F.array(F.struct("place", F.col("on").alias("run")), F.struct((F.col("place") - 1).alias("place"), F.col("back").alias("run"))))
-    return held.select("id", sides.alias("s")).select("id", "s.place", "s.run").where("run is not null").distinct()
+def longer_places(prints: DataFrame, at: DataFrame, run: int = RUN) -> DataFrame:
+    """``id, place, run`` of the runs of one integer more that begin or end with the run at one
+    of the places ``at(id, place)``."""
+    each = at.groupBy("id").agg(F.collect_set("place").alias("at"))  # fewer than a recording's frames
+    both = F.array_distinct(F.concat("at", F.transform("at", lambda p: p - 1)))
+    longer = F.transform(both, lambda p: F.struct(p.alias("place"), _hash_at(p, run + 1).alias("run")))
+    return prints.join(each, "id").select("id", F.explode(longer).alias("r")).select("id", "r.place", "r.run").where("run is not null")
 
 
 def agreement(x: np.ndarray, y: np.ndarray, shift: int, max_error: float = MAX_ERROR) -> tuple[int, int, int]:
@@ -292,13 +290,19 @@ def decisions(prints: DataFrame, votes: DataFrame, max_error: float = MAX_ERROR,
     return both.mapInArrow(run, "id long, with long, " + ", ".join(f"{n} int" for n in names)).withColumn("aligned", F.col("told") >= frames)
 
 
-def _offered(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs that several recordings hold, with their first holder (smallest id and place), and
-    ``id, with, shift, votes``: the offset histogram of each recording against those holders."""
-    first = live.groupBy("run").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last"))
-    first = staged(first.where("last <> first.id").select("run", F.col("first.id").alias("with"), F.col("first.place").alias("at")), "audio-runs")
-    held = live.join(first, "run").where(F.col("id") != F.col("with"))
-    return first, held.groupBy("id", "with", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
+def _shared(live: DataFrame) -> DataFrame:
+    """``id, place, run, with, at``: the places of runs that several recordings hold, with the
+    run's first holder (smallest id and place). All places are dealt by run, once; a run that
+    all recordings hold has a row for each of them, sorted with the others of its task."""
+    own = Window.partitionBy("run")
+    held = live.select("id", "place", "run", F.min(F.struct("id", "place")).over(own).alias("first"), F.max("id").over(own).alias("last"))
+    return held.where("last <> first.id").select("id", "place", "run", F.col("first.id").alias("with"), F.col("first.place").alias("at"))
+
+
+def _votes(shared: DataFrame) -> DataFrame:
+    """``id, with, shift, votes``: the offset histogram of each recording against first holders."""
+    held = shared.where(F.col("id") != F.col("with"))
+    return held.groupBy("id", "with", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
 
 
 def alignments(prints: DataFrame, run: int = RUN, max_error: float = MAX_ERROR, frames: int = FRAMES) -> DataFrame:
@@ -311,12 +315,11 @@ def alignments(prints: DataFrame, run: int = RUN, max_error: float = MAX_ERROR,
     a rule, whose first holder agrees with both in all of it. So the longer runs around
     refused ones vote once more, for all recordings that hold them.
     """
-    first, votes = _offered(places(prints, run))
-    decided = staged(decisions(prints, votes, max_error, frames), "audio-decided")
+    shared = staged(_shared(places(prints, run)), "audio-shared")
+    decided = staged(decisions(prints, _votes(shared), max_error, frames), "audio-decided")
     refused = decided.where("not aligned").select("id", "with")
-    own = prints.join(refused.select("id").distinct(), "id", "left_semi")
-    runs = staged(places(own, run).join(first, "run").join(refused, ["id", "with"], "left_semi").select("run").distinct(), "audio-refused")
-    _, votes = _offered(staged(longer_places(prints, runs, run), "audio-longer"))
+    runs = shared.join(refused, ["id", "with"], "left_semi").select("run").distinct()
+    votes = _votes(_shared(longer_places(prints, shared.join(runs, "run", "left_semi").select("id", "place"), run)))
     again = decisions(prints, votes.join(decided.where("aligned").select("id", "with"), ["id", "with"], "left_anti"), max_error, frames)
     return decided.where("aligned").unionAll(again.where("aligned"))
 

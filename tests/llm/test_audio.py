@@ -196,3 +196,18 @@ def test_query(spark, sf):
         first.setdefault(texts[d], d)
     by = {r.doc_id: r.class_id for r in got}
     assert all(by[d] == by[first[t]] for d, t in texts.items())
+
+
+def test_places_are_dealt_by_run_once(spark):
+    """Longer runs are looked up at the places that hold a refused run, not dealt out anew."""
+    rng = np.random.default_rng(5)
+    same = rng.integers(0, 9, 40).tolist()
+    rows = [(i, (rng.integers(0, 9, 30).tolist() + same)[: 50 + i], [True] * (50 + i)) for i in range(20)]
+    prints = spark.createDataFrame(rows, "id long, items array<int>, varied array<boolean>")
+    at = A.places(prints).where("run % 3 = 0").select("id", "place")
+    got = sorted((r.id, r.place, r.run) for r in A.longer_places(prints, at).collect())
+    held = {(r.id, r.place) for r in at.collect()}
+    want = [(r.id, r.place, r.run) for r in A.places(prints, A.RUN + 1).collect() if {(r.id, r.place), (r.id, r.place + 1)} & held]
+    assert got == sorted(want)
+    plan = A._shared(A.places(prints))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
