@@ -9,15 +9,14 @@ driver gets the pooled vectors, not the texts.
 from __future__ import annotations
 
 import re
+import string
 import warnings
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +36,26 @@ WINDOW = 2
 HIDDEN = 24
 EPOCHS = 60
 SEED = 7
-#: Words whose vectors a worker keeps before it starts anew; results don't depend on it.
-CACHE_WORDS = 100_000
-#: Pairs of neighbours whose vectors are added up at once; results don't depend on it.
-PAIRS = 16_384
-
+#: Bytes of texts whose distinct words are looked up at once, and fewer where each has a vector;
+#: results don't depend on them.
+CHUNK, POOLED = 8_000_000, 2_000_000
+#: Places whose neighbours, and pairs of neighbours whose vectors, are added up at once.
+PLACES, PAIRS = 200_000, 16_384
+#: The most frequent units, whose neighbours are counted in a table.
+FREQUENT = 64
+
+_SIGNS = string.punctuation.replace("_", "")
 _PARTS = re.compile(r"\w+|[^\w\s]+")
 
 
 def units(word: str) -> list[str]:
     """A word's units: each letter run in lower case, each run of signs as it is, and the
     shape of the whole."""
-    if word.isalnum():
-        return [word.lower(), "=0" if word.isdigit() else "=X" if word.isupper() and len(word) > 1 else "=x"]
+    core = word if word.isalnum() else word.rstrip(_SIGNS)
+    if core.isalnum():  # most words: one run, with or without signs behind it
+        kind = "=0" if core.isdigit() else "=X" if core.isupper() and len(core) > 1 else "=x"
+        signs = word[len(core) :]
+        return [core.lower(), "~" + signs[:4], kind + signs[:2]] if signs else [core.lower(), kind]
     out, shape = [], []
     for part in _PARTS.findall(word):
         if part[0].isalnum() or part[0] == "_":
@@ -70,63 +76,49 @@ def index_vector(unit: str) -> np.ndarray:
     return v
 
 
-def grown(x: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """``x`` with ``more`` behind it, in place where the array that ``x`` begins has room."""
-    n, room = len(x), x.base
-    if room is None or room.ndim != x.ndim or len(room) < n + len(more):
-        room = np.empty((2 * (n + len(more)), *x.shape[1:]), x.dtype)
-        room[:n] = x
-    room[n : n + len(more)] = more
-    return room[: n + len(more)]
-
-
-class WordRows(dict):
-    """Word -> a row number from 1 on; row 0 is no word. ``settle`` gives the rows that are new
-    since its last call the ids of their units (negative: not in the vocabulary) and the sum of
-    their units' rows of ``each``, whose last row is for unknown units."""
-
-    def __init__(self, vocabulary: dict[str, int], each: np.ndarray):
-        self.vocabulary, self.each, self.new = vocabulary, each, []
-        self.sizes, self.ids, self.values = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros_like(each[:1])
-
-    def __missing__(self, word: str) -> int:
-        self.new.append([self.vocabulary.get(u, -1) for u in units(word)])
-        row = self[word] = len(self) + 1
-        return row
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def settle(self) -> None:
-        if not self.new:
-            return
-        sizes, flat = np.array([len(x) for x in self.new]), np.array(list(chain.from_iterable(self.new)), np.int64)
-        self.new = []
-        made, starts, left, k = np.zeros((len(sizes), self.each.shape[1]), self.each.dtype), np.cumsum(sizes) - sizes, np.arange(len(sizes)), 0
-        while len(left):
-            made[left] += self.each[flat[starts[left] + k]]
-            k += 1
-            left = left[sizes[left] > k]
-        self.values, self.sizes, self.ids = grown(self.values, made), grown(self.sizes, sizes), grown(self.ids, flat)
-
-    def shrink(self) -> None:
-        """Forget words that have an unknown unit, which are seldom seen twice; all, if that
-        leaves more than half of CACHE_WORDS. Rows are numbered anew."""
-        self.settle()
-        unknown = np.zeros(len(self.sizes), bool)
-        unknown[np.repeat(np.arange(len(self.sizes)), self.sizes)[self.ids < 0]] = True
-        keep = np.flatnonzero(~unknown)[1:]
-        if len(keep) > CACHE_WORDS // 2:
-            keep = keep[:0]
-        names = list(self)  # in the order of their rows
-        self.clear()
-        for row in keep:
-            self[names[row - 1]] = len(self) + 1
-        stays = np.zeros(len(self.sizes), bool)
-        stays[keep] = True
-        self.ids = self.ids[np.repeat(stays, self.sizes)]
-        self.sizes = np.concatenate(([0], self.sizes[keep]))
-        self.values = np.concatenate((self.values[:1], self.values[keep]))
+def encoded(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """The texts' words, as many texts at once as have about ``chunk`` bytes: distinct words,
+    the places of all words among them, text by text, and the number of words of each text.
+    A word costs no Python object but the first time."""
+    size, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chunk, "right")))
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts.slice(at, end - at), ""))
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        words = lists.flatten().dictionary_encode()
+        codes, names = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if "" in names:  # white space at the ends of a text parts it from nothing
+            some = codes != names.index("")
+            counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[some], minlength=len(counts))
+            codes = codes[some]
+        yield names, codes, counts
+        del lists, words, names, codes  # before the next ones are made
+        pa.default_memory_pool().release_unused()
+        at = end
+
+
+def unit_ids(words: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words' units, word by word, -1 for those outside the vocabulary, and the
+    number of units of each word."""
+    get, flat, sizes = vocabulary.get, [], []
+    for word in words:
+        own = units(word)
+        sizes.append(len(own))
+        flat += [get(u, -1) for u in own]
+    return np.array(flat, np.int32), np.array(sizes, np.int64)
+
+
+def met(codes: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts and words that ``encoded`` gives, each pair once."""
+    pairs = np.sort(np.repeat(np.arange(len(counts)), counts) * words + codes)
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)]]
+    return pairs // max(words, 1), pairs % max(words, 1)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places ``starts[i]`` to ``starts[i] + sizes[i]`` of each i, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
@@ -137,14 +129,13 @@ def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            words: Counter[str] = Counter()
-            for text in b.column(0):
-                words.update(set((text.as_py() or "").split()))
             seen: dict[str, int] = {}
-            while words:
-                w, n = words.popitem()
-                for u in units(w):
-                    seen[u] = seen.get(u, 0) + n
+            for words, codes, counts in encoded(b.column(0)):
+                texts = np.bincount(met(codes, counts, len(words))[1], minlength=len(words))
+                for w, n in zip(words, texts.tolist(), strict=True):
+                    if n:
+                        for u in units(w):
+                            seen[u] = seen.get(u, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
     counts = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -161,34 +152,28 @@ def neighbour_sums(ids: np.ndarray, base: np.ndarray, out: np.ndarray, seen: int
     """Add to ``out`` the index vectors of each unit's neighbours up to WINDOW places away;
     negative ids are no units and part texts. Pairs among the first ``seen`` ids, which a part
     before ended in, are not counted again."""
-    n = len(base)
+    n, top = len(base), min(FREQUENT, len(base))
+    table = np.zeros(top * n)
     for k in range(1, WINDOW + 1):
         skip = max(0, seen - k)
         a, b = ids[skip : len(ids) - k], ids[skip + k :]
-        ok = (a >= 0) & (b >= 0)
-        a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
-        pairs, times = np.unique(np.concatenate((a * n + b, b * n + a)), return_counts=True)
-        if not len(pairs):
-            continue
-        for at in range(0, len(pairs), PAIRS):  # a part of the pairs has its vectors in memory
-            part = slice(at, at + PAIRS)
-            unit, other = pairs[part] // n, pairs[part] % n
-            first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            out[unit[first]] += np.add.reduceat(base[other] * times[part, None].astype(np.int32), first, axis=0)
-
-
-class UnitIds(dict):
-    """Word -> the ids of its units, -1 for those outside the vocabulary; a word seen before
-    costs a lookup."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = tuple([self.vocabulary.get(u, -1) for u in units(word)])
-        return out
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        pairs = (low.astype(np.int64) * n + high)[low >= 0]
+        often = pairs < top * n
+        table += np.bincount(pairs[often], minlength=top * n)
+        pairs, times = np.unique(pairs[~often], return_counts=True)
+        low, high, times = pairs // n, pairs % n, times.astype(np.int32)
+        order = np.argsort(high, kind="stable")
+        for ones, others, counts in ((low, high, times), (high[order], low[order], times[order])):
+            for at in range(0, len(pairs), PAIRS):  # a part of the pairs has its vectors in memory
+                part = slice(at, at + PAIRS)
+                unit = ones[part]
+                first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+                out[unit[first]] += np.add.reduceat(base[others[part]] * counts[part, None], first, axis=0)
+    # whole numbers below 2^53, so products of floats are exact
+    table = table.reshape(top, n)
+    out[:top] += (table @ base).astype(np.int64)
+    out += (table.T @ base[:top]).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
@@ -200,23 +185,19 @@ def word_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
         return np.zeros((0, DIMENSIONS), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = UnitIds(vocabulary)
         sums = np.zeros((len(vocabulary), DIMENSIONS), np.int64)
-        held: list[np.ndarray] = []
-        size = seen = 0
         for b in batches:
-            for text in b.column(0):
-                words = (text.as_py() or "").split()
-                held.append(np.full(WINDOW, -1, np.int32))
-                for at in range(0, len(words), 50_000):
-                    held.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words[at : at + 50_000])), np.int32))
-                    size += len(held[-1])
-                    if size > 150_000:
-                        ids = np.concatenate(held)
-                        neighbour_sums(ids, base, sums, seen)
-                        held, size, seen = [ids[-WINDOW:]], 0, WINDOW
-        if held:
-            neighbour_sums(np.concatenate(held), base, sums, seen)
+            for words, codes, counts in encoded(b.column(0)):
+                flat, sizes = unit_ids(words, vocabulary)
+                # texts are parted by a word of unknown units only
+                flat, sizes = np.append(flat, np.full(WINDOW, -1, np.int32)), np.append(sizes, WINDOW)
+                codes = np.insert(codes, np.cumsum(counts)[:-1], len(words))
+                starts, tail = np.cumsum(sizes) - sizes, flat[:0]
+                for at in range(0, len(codes), PLACES):
+                    own = codes[at : at + PLACES]
+                    ids = np.concatenate((tail, flat[ragged(starts[own], sizes[own])]))
+                    neighbour_sums(ids, base, sums, len(tail))
+                    tail = ids[-WINDOW:]
         met = np.flatnonzero(sums.any(1)).astype(np.int32)
         for at in range(0, len(met), 2000):
             part = met[at : at + 2000]
@@ -235,38 +216,39 @@ class Pooler:
     """Texts' mean word vectors, and how much of them is known, repeated and distinct."""
 
     def __init__(self, vocabulary: dict[str, int], vectors: np.ndarray):
-        self.vocabulary, self.vectors, self.words = vocabulary, vectors, None
+        self.vocabulary, self.vectors = vocabulary, vectors
         # of each unit its vector, whether it is known, and that it is one; the last for unknown units
         self.each = np.zeros((len(vectors) + 1, DIMENSIONS + 2), np.float32)
         self.each[:-1, :DIMENSIONS], self.each[:-1, DIMENSIONS], self.each[:, -1] = vectors, 1, 1
 
-    def __getstate__(self):
-        return self.__dict__ | {"words": None}
+    def word_sums(self, words: list[str]) -> np.ndarray:
+        """For each word the sum of its units' rows of ``each``."""
+        ids, sizes = unit_ids(words, self.vocabulary)
+        starts, left, k = np.cumsum(sizes) - sizes, np.flatnonzero(sizes > 2), 2
+        out = self.each[ids[starts]]
+        out += self.each[ids[np.minimum(starts + 1, len(ids) - 1)]]  # all but the empty word, which no text has, have two
+        while len(left):
+            out[left] += self.each[ids[starts[left] + k]]
+            k += 1
+            left = left[sizes[left] > k]
+        return out
 
-    def pool(self, texts: list[str | None]) -> np.ndarray:
+    def pool(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         """(texts, DIMENSIONS + 4). A text without words is all zeros."""
-        out, at = np.zeros((len(texts), DIMENSIONS + 4)), 0
-        while at < len(texts):
-            if self.words is None:
-                self.words = WordRows(self.vocabulary, self.each)
-            elif len(self.words) > CACHE_WORDS:
-                self.words.shrink()
-            held, owner, size = [], [], 0
-            while at < len(texts) and size < 25_000:
-                words = texts[at].split() if texts[at] else []
-                if words:
-                    held.append(self.words.rows(words))
-                    owner.append(at)
-                    out[at, -3:] = (np.count_nonzero(held[-1][1:] == held[-1][:-1]) / len(words), len(set(words)) / len(words), np.log1p(len(words)) / 10)
-                size += len(words)
-                at += 1
-            self.words.settle()
-            for row, own in zip(owner, held, strict=True):
-                total = np.zeros(DIMENSIONS + 2)
-                for part in range(0, len(own), 50_000):
-                    values = self.words.values[own[part : part + 50_000]]
-                    total += np.ones(len(values), np.float32) @ values
-                out[row, : DIMENSIONS + 1] = total[:-1] / total[-1]
+        out, row = np.zeros((len(texts), DIMENSIONS + 4)), 0
+        for words, codes, counts in encoded(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts, POOLED):
+            sums, end = self.word_sums(words), 0
+            distinct = np.bincount(met(codes, counts, len(words))[0], minlength=len(counts))
+            for n, kinds in zip(counts.tolist(), distinct.tolist(), strict=True):
+                own = codes[end : end + n]
+                if n:
+                    total = np.zeros(DIMENSIONS + 2)
+                    for part in range(0, n, 50_000):
+                        values = sums[own[part : part + 50_000]]
+                        total += np.ones(len(values), np.float32) @ values
+                    out[row, : DIMENSIONS + 1] = total[:-1] / total[-1]
+                    out[row, -3:] = np.count_nonzero(own[1:] == own[:-1]) / n, kinds / n, np.log1p(n) / 10
+                end, row = end + n, row + 1
         return out
 
 
@@ -333,7 +315,7 @@ class Classifier:
             self.constant = float(y.mean()) if len(y) else 1.0
             warnings.warn(f"no two labels to learn quality from: every document scores {self.constant}", stacklevel=3)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         if self.network is None or not len(texts):
             return np.full(len(texts), 0.0 if self.constant is None else self.constant)
         return self.network.probability(self.pooler.pool(texts))
@@ -354,9 +336,10 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Class
     share = min(1.0, fit_rows / total) if total else 0.0
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.xxhash64("_id"), "_id").limit(2 * fit_rows)
 
-    @F.pandas_udf("array<float>")
-    def pooled(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(pooler.pool(texts.tolist()).astype(np.float32)))
+    @F.arrow_udf("array<float>")
+    def pooled(texts: pa.Array) -> pa.Array:
+        x = pooler.pool(texts).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     # broadcast: at most 2 x fit_rows ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
@@ -371,9 +354,9 @@ def score_of(model: Classifier, text: str = "text") -> Column:
     """Score of a text column: whole texts, no shuffle."""
     shared = model
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.score(texts.tolist()))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.score(texts))
 
     return score(F.col(text))
 

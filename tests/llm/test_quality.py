@@ -1,6 +1,8 @@
 import zlib
+from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapeloom.llm import quality as Q
@@ -13,6 +15,53 @@ def test_units():
     assert Q.units("River") == ["river", "=x"] and Q.units("12") == ["12", "=0"] and Q.units("USA") == ["usa", "=X"] and Q.units("I") == ["i", "=x"]
 
 
+def test_units_by_the_plain_rule():
+    """Words of one run, with signs behind it or not, take a shorter way to the same units."""
+
+    def plain(word):
+        parts = Q._PARTS.findall(word)
+        kind = lambda p: "0" if p.isdigit() else "X" if p.isupper() and len(p) > 1 else "x"
+        run = lambda p: p[0].isalnum() or p[0] == "_"
+        return [p.lower() if run(p) else "~" + p[:4] for p in parts] + ["=" + "".join(kind(p) if run(p) else p[:2] for p in parts)[:8]]
+
+    words = "a I USA 12 ²½ a_b _ __! a_. A_B! x. x… x.… .x don't e.g. (x) -12.5% ÉTÉ!!! ΣΑΣ. ΣΑΣ ΣΑ.ΣΑ straße, İx! 12, AB### ~~~~~ = =x == x=y=z=w+u-v ٣٤؟ 漢字。 a\u0301. \u0301 x\u200b. 👍 a👍!".split()
+    assert [Q.units(w) for w in words] == [plain(w) for w in words]
+
+
+def test_encoded_words_are_those_of_split():
+    texts = [None, "", " ", "a b  a", "\u3000a\x1cb\x85 c\u2028", "c " * 50, "\n", "ab"] * 3
+    for kind in (pa.string(), pa.large_string()):
+        for chunk in (1, 30, 10_000):
+            got = [[words[c] for c in part] for words, codes, counts in Q.encoded(pa.array(texts, kind).slice(1), chunk) for part in np.split(codes, np.cumsum(counts)[:-1])]
+            assert got == [(t or "").split() for t in texts[1:]]
+    assert list(Q.encoded(pa.array([], pa.string()))) == []
+
+
+def test_each_word_is_looked_up_once(monkeypatch):
+    """More distinct words than a cache of 100,000 held were taken apart at each of their places."""
+    words, calls, units = ["".join(w) for w in product("abcdefghijklmnopqr", repeat=4)], [], Q.units
+    monkeypatch.setattr(Q, "units", lambda word: calls.append(word) or units(word))
+    got = Q.Pooler({"=x": 0}, np.ones((1, Q.DIMENSIONS), np.float32)).pool([" ".join(words)] * 3)
+    assert len(calls) == len(words) == 104_976
+    assert np.allclose(got[:, : Q.DIMENSIONS + 1], 1 / 2) and (got[:, -2] == 1).all() and (got[:, -3] == 0).all()
+
+
+def test_neighbour_sums_of_frequent_and_rare_units():
+    """Also where a text comes in parts, and pairs are counted in the table, beside it or not at all."""
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.2, 20_000) - 2, 499).astype(np.int32)  # -1 to 499
+    base = rng.integers(-1, 2, (500, Q.DIMENSIONS)).astype(np.int32)
+    want, got = np.zeros(base.shape, np.int64), np.zeros(base.shape, np.int64)
+    for k in range(1, Q.WINDOW + 1):
+        ok = (ids[:-k] >= 0) & (ids[k:] >= 0)
+        np.add.at(want, ids[:-k][ok], base[ids[k:][ok]])
+        np.add.at(want, ids[k:][ok], base[ids[:-k][ok]])
+    for at in range(0, len(ids), 7000):
+        seen = min(at, Q.WINDOW)
+        Q.neighbour_sums(ids[at - seen : at + 7000], base, got, seen)
+    assert (got == want).all()
+
+
 def learned(spark, texts):
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
     known = Q.vocabulary_of(docs)
